@@ -32,19 +32,19 @@ WITH t AS (
   SELECT *,
     15 + length(role) + length(text)
       + length(regexp_replace(role, '[^\\#<:]', '', 'g')) + length(regexp_replace(text, '[^\\#<]', '', 'g')) AS chars,
-    row_number() OVER w AS at,
+    row_number() OVER w AS k,
     count(*) OVER (PARTITION BY conv_id) AS n
   FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
 ), e AS (
-  SELECT *, role = 'assistant' AS trained, role = 'assistant' OR at = n AS made,
-    sum(chars) OVER (PARTITION BY conv_id ORDER BY at) AS upto
+  SELECT *, role = 'assistant' AS trained, role = 'assistant' OR k = n AS made,
+    sum(chars) OVER (PARTITION BY conv_id ORDER BY k) AS upto
   FROM r
 )
 SELECT conv_id,
   CAST(count(*) AS BIGINT) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY at)) AS turns_sha256,
-  CAST(length(coalesce(string_agg(CASE WHEN trained THEN text END, '' ORDER BY at), '')) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(CASE WHEN trained THEN text END, '' ORDER BY at), '')) AS loss_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(length(coalesce(string_agg(CASE WHEN trained THEN text END, '' ORDER BY k), '')) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN trained THEN text END, '' ORDER BY k), '')) AS loss_sha256,
   CAST(sum(CASE WHEN made THEN upto ELSE 0 END) AS BIGINT) AS formatted_chars,
   CAST(sum(CASE WHEN made THEN 1 ELSE 0 END) AS BIGINT) AS n_examples
 FROM e GROUP BY conv_id
