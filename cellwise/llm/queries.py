@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwise.llm import chat_format, sharding
+from cellwise.llm import chat_format, sentencepiece_bpe, sharding
 from cellwise.llm.common import table
 
 
@@ -13,12 +13,19 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.summarise(chat_format.prefix_examples(rows.unionByName(chat_format.awkward_conversation(rows))))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
 QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
+    "op5_sentencepiece": op5_sentencepiece,
     "op9_sharding": op9_sharding,
 }
 
