@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwise.llm import chat_format, sentencepiece_bpe, sharding
+from cellwise.llm import chat_format, sentencepiece_bpe, sharding, simhash
 from cellwise.llm.common import table
 
 
@@ -23,10 +23,15 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op5_sentencepiece": op5_sentencepiece,
     "op9_sharding": op9_sharding,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES = {
