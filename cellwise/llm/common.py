@@ -108,7 +108,21 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, and the offsets of the rows in words."""
+    """A 64-bit hash of each word, and the offsets of the rows in words; about a megabyte of rows at a time."""
+    cuts = np.unique(np.searchsorted(offsets, np.arange(0, len(data) + 1, 1 << 20)))
+    cuts = np.unique(np.r_[0, cuts[cuts < len(offsets) - 1], len(offsets) - 1])
+    if len(cuts) <= 2:
+        return _words(data, offsets, is_word)
+    hashes, rows, n = [], [np.zeros(1, np.int64)], 0
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        h, r = _words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], is_word)
+        hashes.append(h)
+        rows.append(r[1:] + n)
+        n += len(h)
+    return np.concatenate(hashes), np.concatenate(rows)
+
+
+def _words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     inside = is_word[data]
