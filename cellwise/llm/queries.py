@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwise.llm import chat_format, sentencepiece_bpe, sharding, simhash, substring_dedup
+from cellwise.llm import chat_format, sentencepiece_bpe, sharding, simhash, substring_dedup, suffix_dedup
 from cellwise.llm.common import table
 
 
@@ -25,6 +25,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.deduplicate(table(spark, sf_dir, "documents"), window=50)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
@@ -37,6 +42,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_formatting": op2_chat_formatting,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
 }

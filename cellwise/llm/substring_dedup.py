@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import SPACE, buffers, chunked, ints, mix64, order_id, rolling, text_key, words
-from cellwise.llm.windows import Plan, anchors, broadcast, covered, in_round, merged_sketch, runs
+from cellwise.llm.common import SPACE, buffers, chunked, ints, mix64, order_id, rolling, spread_ranges, text_key, words
+from cellwise.llm.windows import Plan, anchor_runs, broadcast, covered, in_round, merged_sketch, runs
 
 GRAM = 8
 CHUNK = 12 << 20
@@ -26,8 +26,7 @@ CHUNK = 12 << 20
 def _grams(part: pa.Table, plan: Plan, turn: int) -> np.ndarray:
     tokens, rows = words(*buffers(part.column("_text")), SPACE)
     grams = rolling(tokens, plan.gram, 0xD1342543DE82EF95)
-    _, at = anchors(grams, rows, plan)
-    found = grams[at[np.r_[True, at[1:] != at[:-1]]]] if len(at) else grams[:0]
+    found = grams[anchor_runs(grams, rows, plan)[3]]
     return found[in_round(found, plan, turn)]
 
 
@@ -35,13 +34,10 @@ def _windows(part: pa.Table, plan: Plan, turn: int, sketch) -> pa.RecordBatch:
     """Windows that may repeat: of those equal in this part only the smallest document's stay, the others are settled."""
     tokens, rows = words(*buffers(part.column("_text")), SPACE)
     grams = rolling(tokens, plan.gram, 0xD1342543DE82EF95)
-    starts, at = anchors(grams, rows, plan)
-    if len(at):
-        heads = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        own = grams[at[heads]]
-        may = in_round(own, plan, turn)
-        may[may] = sketch.repeated(own[may])[0]
-        starts = starts[np.repeat(may, np.diff(np.r_[heads, len(at)]))]
+    heads, sizes, _, at = anchor_runs(grams, rows, plan)
+    may = in_round(grams[at], plan, turn)
+    may[may] = sketch.repeated(grams[at[may]])[0]
+    starts = spread_ranges(heads[may], sizes[may])
     ids, keys = ints(part.column("_id")), ints(part.column("_key")).astype(np.int64)
     one = rolling(tokens, plan.window, 0x9E3779B97F4A7C15)[starts]
     two = rolling(mix64(tokens + np.uint64(1)), plan.window, 0xC2B2AE3D27D4EB4F)[starts] & np.uint64(0xFFFFFFFF00000000)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from cellwise.llm.common import lowest, mix64, spread_ranges
+from cellwise.llm.common import lowest, mix64
 
 DEPTH, SLICES = 2, 64
 SALTS = (0x51ED270B7F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -39,14 +39,21 @@ class Plan:
         return Plan(window, gram, bits, math.ceil(anchors / (1 << most_bits)))
 
 
-def anchors(grams: np.ndarray, rows: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """The starts of all windows inside rows, and the place of each one's anchor."""
-    starts = spread_ranges(rows[:-1], np.maximum(np.diff(rows) - plan.window + 1, 0))
-    if not len(starts):
-        return starts, starts
-    key = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
-    low = lowest(key, plan.window - plan.gram + 1)
-    return starts, (low[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+def anchor_runs(grams: np.ndarray, rows: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows inside rows, as runs with one anchor: first start, number of windows, row, place of the anchor."""
+    span = plan.window - plan.gram + 1
+    if len(grams) < span:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    low = lowest((grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64), span)
+    ends = np.maximum(rows[1:] - plan.window + 1, rows[:-1])  # after a row's last window
+    heads = np.unique(np.concatenate([np.flatnonzero(low[1:] != low[:-1]) + 1, rows[:-1], ends]))
+    heads = heads[heads < len(low)]
+    sizes = np.diff(np.r_[heads, len(low)])
+    row = np.searchsorted(rows, heads, side="right") - 1
+    inside = heads < ends[np.minimum(row, len(ends) - 1)]
+    heads, sizes, row = heads[inside], sizes[inside], row[inside]
+    return heads, sizes, row, (low[heads] & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def in_round(grams: np.ndarray, plan: Plan, turn: int) -> np.ndarray:
