@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from cellwise.llm.common import chunked, spread_ranges
+from cellwise.llm.common import chunked, extended, spread_ranges
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
@@ -284,7 +284,5 @@ def encode_decode(docs: DataFrame, model_path: str, keep: list[str] | None = Non
                 out = out.append_column(pa.field(name, kind), column)
             yield from out.combine_chunks().to_batches()
 
-    schema = rows.select(*keep).schema
-    for name, kind in (("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *((("ids", "array<int>"), ("decoded", "string")) if with_text else ())):
-        schema = schema.add(name, kind)
-    return rows.mapInArrow(run, schema)
+    ddl = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_text
+    return rows.mapInArrow(run, extended(rows.select(*keep), ddl))
