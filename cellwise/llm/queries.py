@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwise.llm import chat_format, decontamination, language_id, sentencepiece_bpe, sharding, simhash, substring_dedup, suffix_dedup
+from cellwise.llm import chat_format, decontamination, language_id, media, sentencepiece_bpe, sharding, simhash, substring_dedup, suffix_dedup
 from cellwise.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_and_read(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = decontamination.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return marked.select(
@@ -61,6 +65,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,
+    "op7_media_columns": op7_media_columns,
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
