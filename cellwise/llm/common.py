@@ -39,6 +39,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """docs as _doc (a struct of all its columns), doc_id and text: what a column is called can't clash with a name used here."""
+    return docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text")
+
+
+def unpacked(rows: DataFrame, *more: str) -> DataFrame:
+    """The columns inside _doc again, and more; a column of the same name gives way to one of more."""
+    own = [f.name for f in rows.schema["_doc"].dataType.fields]
+    return rows.select(*[F.col(f"_doc.`{c}`").alias(c) for c in own if c not in more], *more)
+
+
 def extended(df: DataFrame, ddl: str) -> T.StructType:
     """df's schema with further columns."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(ddl).fields])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import ALNUM, LOWER, buffers, chunked, extended, spread_ranges, words
+from cellwise.llm.common import ALNUM, LOWER, buffers, chunked, extended, packed, spread_ranges, unpacked, words
 from cellwise.llm.windows import covered
 
 CHUNK = 6 << 20
@@ -193,7 +193,4 @@ def _marked(part: pa.Table, test: TestSuffixes) -> pa.Table:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs without the documents in which a window of an item stands."""
-    marked = mark(docs, benchmark, window, keep=docs.columns) if not set(docs.columns) & set(dict(STATE)) else None
-    if marked is None:
-        raise ValueError(f"docs has columns named like the results: {sorted(set(docs.columns) & set(dict(STATE)))}")
-    return marked.where("n_hit = 0").select(*docs.columns)
+    return unpacked(mark(packed(docs), benchmark, window, keep=["_doc"]).where("n_hit = 0"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import chunked, mix64
+from cellwise.llm.common import chunked, mix64, packed, unpacked
 
 #: N-grams of a profile.
 RANKS = 300
@@ -162,6 +162,11 @@ def predict(docs: DataFrame, profiles: Profiles, keep: list[str] | None = None)
     return rows.mapInArrow(run, rows.select(*keep).schema.add("lang_pred", "string").add("score", "double"))
 
 
+def known_language(docs: DataFrame) -> DataFrame:
+    """docs (with their columns) without those that have no language: null texts and texts without a letter."""
+    return unpacked(predict(packed(docs), train(docs), keep=["_doc"]).where(F.col("lang_pred") != UNKNOWN))
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Trains on docs and predicts every one of them: doc_id, held_out, lang_pred, score."""
     rows = predict(docs.select("doc_id", "text"), train(docs))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwise.llm import chat_format, decontamination, language_id, media, sentencepiece_bpe, sharding, simhash, substring_dedup, suffix_dedup
+from cellwise.llm import chat_format, decontamination, language_id, media, sentencepiece_bpe, sharding, simhash, substring_dedup, suffix_dedup, warc
 from cellwise.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.summarise(chat_format.prefix_examples(rows.unionByName(chat_format.awkward_conversation(rows))))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("key").alias("url_key"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_formatting": op2_chat_formatting,
+    "op3_warc": op3_warc,
     "op4_language_id": op4_language_id,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_suffix_array_dedup": op6_suffix_array_dedup,

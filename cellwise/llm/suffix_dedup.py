@@ -239,13 +239,14 @@ def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
     return gone.groupBy(F.col("id").alias("_id"), F.shiftright("place", 32).cast("int").alias("_key")).agg(F.collect_list(span).alias("spans"))
 
 
-def deduplicate(docs: DataFrame, window: int = 50, keep: list[str] | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, window: int = 50, keep: list[str] | None = None, whole_characters: bool = False) -> DataFrame:
     """doc_id (or keep's columns), n_bytes, n_removed, n_spans and kept (binary) of every row.
 
     A byte of the UTF-8 text goes if a string of window bytes over it also starts in a document with a smaller
     doc_id; strings are judged on the input. Null text is empty; texts shorter than the window keep all; null doc_ids
     come after all others, equal doc_ids take nothing from each other (repeated rows stay alike); an empty table gives
-    an empty result; columns outside keep are not carried. kept may end inside a character; kept_text() mends that.
+    an empty result; columns outside keep are not carried. kept may begin or end inside a character; with whole_characters a
+    character stays unless all its bytes go.
     """
     keep = ["doc_id"] if keep is None else keep
     rows = docs.select(*keep, order_id().alias("_id"), text_key().alias("_key"), F.coalesce("text", F.lit("")).alias("_text"))
@@ -264,6 +265,9 @@ def deduplicate(docs: DataFrame, window: int = 50, keep: list[str] | None = None
                 if spans:
                     at = np.array(spans, np.int64)
                     out = covered(len(own), at >> 32, (at & 0xFFFFFFFF) + window - 1)
+                    if whole_characters:
+                        heads = np.flatnonzero((own & 0xC0) != 0x80)
+                        out = np.repeat(np.logical_and.reduceat(out, heads), np.diff(np.r_[heads, len(own)]))
                     n = int(out[0]) + int((out[1:] > out[:-1]).sum())
                     own = own[~out]
                 count.append(n)
