@@ -100,10 +100,10 @@ class Archive:
     path: str
 
     def records(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/records")
+        return spark.read.schema("offset long, length long, key string, record binary, archive string").parquet(f"{self.path}/records")
 
     def blocks(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/blocks")
+        return spark.read.schema("part int, block int, first_key string, n int, data binary").parquet(f"{self.path}/blocks")
 
 
 def write_archives(pages: DataFrame, path: str) -> Archive:
