@@ -24,8 +24,8 @@ from cellwise.llm.windows import Plan, anchor_runs, broadcast, covered, in_round
 GRAM = 18
 BASE = 0xD1342543DE82EF95
 CHUNK, BLOCK = 6 << 20, 1 << 19
-#: A bucket estimated to hold more anchors is dealt out window by window instead of whole.
-HOT = 20_000
+#: A bucket estimated to hold more anchors (some 50 MB of text) is dealt out window by window instead of whole.
+HOT = 400_000
 
 
 def _blocks(data: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int]]:

@@ -64,20 +64,36 @@ def _cells(grams: np.ndarray, row: int, bits: int) -> np.ndarray:
     return mix64(grams ^ np.uint64(SALTS[row])) >> np.uint64(64 - bits)
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Small numbers, a byte each: a number is the sum of its bytes, all 255 but the last."""
+    times = numbers // 255
+    out = np.full(len(numbers) + int(times.sum()), 255, np.uint8)
+    out[np.cumsum(times + 1) - 1] = numbers % 255
+    return out.tobytes()
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers' running sum, and the numbers."""
+    raw = np.frombuffer(data, np.uint8)
+    total = np.cumsum(raw, dtype=np.int64)[raw != 255]
+    return total, np.diff(np.r_[0, total])
+
+
 def sketch_rows(grams: np.ndarray, bits: int) -> pa.RecordBatch:
-    """A partition's sketch: for each slice of a row, its cells that are not zero and their counts."""
+    """A partition's sketch: for each slice of a row, its cells that are not zero (as gaps) and their counts, less one."""
     slices, cells, counts = [], [], []
     low = bits - int(math.log2(SLICES))
     for row in range(DEPTH):
         cell, count = np.unique(_cells(grams, row, bits), return_counts=True)
         of = (cell >> np.uint64(low)).astype(np.int64)
         ends = np.searchsorted(of, np.arange(SLICES + 1))
-        inside = (cell & np.uint64((1 << low) - 1)).astype(np.uint32)
+        inside = (cell & np.uint64((1 << low) - 1)).astype(np.int64)
         for k in range(SLICES):
             if ends[k] < ends[k + 1]:
                 slices.append(row * SLICES + k)
-                cells.append(inside[ends[k] : ends[k + 1]].tobytes())
-                counts.append(np.minimum(count[ends[k] : ends[k + 1]], 2**31).astype(np.uint32).tobytes())
+                own = slice(ends[k], ends[k + 1])
+                cells.append(_packed(np.diff(np.r_[0, inside[own]])))
+                counts.append(_packed(count[own] - 1))
     return pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(cells, pa.binary()), pa.array(counts, pa.binary())], ["slice", "cells", "counts"])
 
 
@@ -129,8 +145,8 @@ def merged_sketch(rows: DataFrame, make: Callable[[pa.Table], np.ndarray], plan:
                     if at >= 0:
                         yield done(at, total)
                     at, total = k, np.zeros(1 << low, np.uint32)
-                cell = np.frombuffer(cells, np.uint32)
-                total[cell] = np.minimum(total[cell].astype(np.uint64) + np.frombuffer(counts, np.uint32), 2**32 - 1)
+                cell, more = _unpacked(cells)[0], _unpacked(counts)[1] + 1
+                total[cell] = np.minimum(total[cell].astype(np.int64) + more, 2**32 - 1)
         if at >= 0:
             yield done(at, total)
 
