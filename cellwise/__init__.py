@@ -1,0 +1 @@
+"""Spatio-temporal event analytics as Spark DataFrames."""
