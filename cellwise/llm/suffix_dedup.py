@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import buffers, chunked, ints, mix64, order_id, powers, rolling, spread_ranges, text_key
+from cellwise.llm.common import buffers, chunked, ints, joined_by_key, mix64, order_id, powers, rolling, saved, spread_ranges, text_key
 from cellwise.llm.windows import Plan, anchor_runs, broadcast, covered, in_round, merged_sketch, runs
 
 GRAM = 18
@@ -59,15 +59,28 @@ def _grams(part: pa.Table, plan: Plan, turn: int) -> np.ndarray:
     return _found(part, plan, turn)[2][3].astype(np.uint64)
 
 
-def _hashes(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of hash of each of the consecutive pieces of data."""
-    if not len(sizes):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    heads = np.cumsum(sizes) - sizes
-    place = np.arange(len(data)) - np.repeat(heads, sizes)
-    value = data.astype(np.uint64) + np.uint64(1)
-    most = int(sizes.max())
-    return tuple(mix64(np.add.reduceat(value * powers(base, most)[place], heads) ^ sizes.astype(np.uint64)) for base in (BASE, 0x9E3779B97F4A7C15))
+def _slices(n: int) -> Iterator[slice]:
+    """Runs by the ten thousand: index arrays of all their bytes at once would take many times the text's memory."""
+    return (slice(at, at + 10_000) for at in range(0, n, 10_000))
+
+
+def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pieces of data one after the other."""
+    return np.concatenate([data[spread_ranges(starts[k], sizes[k])] for k in _slices(len(starts))] or [data[:0]])
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of hash of each piece of data."""
+    out = [np.zeros(len(starts), np.uint64) for _ in range(2)]
+    tables = [powers(base, int(sizes.max(initial=1))) for base in (BASE, 0x9E3779B97F4A7C15)]
+    for k in _slices(len(starts)):
+        own = sizes[k]
+        heads = np.cumsum(own) - own
+        value = data[spread_ranges(starts[k], own)].astype(np.uint64) + np.uint64(1)
+        place = np.arange(len(value)) - np.repeat(heads, own)
+        for o, table in zip(out, tables, strict=True):
+            o[k] = mix64(np.add.reduceat(value * table[place], heads) ^ own.astype(np.uint64))
+    return out[0], out[1]
 
 
 def _smallest(ids: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,7 +96,12 @@ def _smallest(ids: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, np.cumsum(heads) - 1, least
 
 
-SCHEMA = "route long, id long, place long, n int, bytes binary"
+SCHEMA = "route int, id long, place long, n int, bytes binary"
+
+
+def _route(keys: np.ndarray) -> np.ndarray:
+    """32 bits: buckets that share a route are told apart by their bytes."""
+    return (mix64(keys.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _batch(route, ids, place, n, data, offsets) -> pa.RecordBatch:
@@ -92,7 +110,7 @@ def _batch(route, ids, place, n, data, offsets) -> pa.RecordBatch:
     offsets = np.r_[offsets, np.full(settled, offsets[-1])].astype(np.int32)
     valid = pa.array(np.arange(len(route)) < len(route) - settled).buffers()[1]
     binary = pa.Array.from_buffers(pa.binary(), len(route), [valid, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(route, pa.int64()), pa.array(ids, pa.int64()), pa.array(place, pa.int64()), pa.array(n, pa.int32()), binary], ["route", "id", "place", "n", "bytes"])
+    return pa.RecordBatch.from_arrays([pa.array(route, pa.int32()), pa.array(ids, pa.int64()), pa.array(place, pa.int64()), pa.array(n, pa.int32()), binary], ["route", "id", "place", "n", "bytes"])
 
 
 def _emit(part: pa.Table, plan: Plan, turn: int, sketch) -> Iterator[pa.RecordBatch]:
@@ -103,13 +121,11 @@ def _emit(part: pa.Table, plan: Plan, turn: int, sketch) -> Iterator[pa.RecordBa
         single = spread_ranges(start[hot], count[hot])
         of = np.repeat(row[hot], count[hot])
         start, row = np.r_[start[~hot], single], np.r_[row[~hot], of]
-        flat = data[spread_ranges(single, np.full(len(single), plan.window))]
-        gram = np.r_[gram[~hot], _hashes(flat, np.full(len(single), plan.window))[0]]
+        gram = np.r_[gram[~hot], _hashes(data, single, np.full(len(single), plan.window))[0]]
         count = np.r_[count[~hot], np.ones(len(single), np.int64)]
     ids, keys = ints(part.column("_id")), ints(part.column("_key")).astype(np.int64)
     sizes = count + plan.window - 1
-    flat = data[spread_ranges(start, sizes)]
-    order, _, least = _smallest(ids[row], *_hashes(flat, sizes), gram)
+    order, _, least = _smallest(ids[row], *_hashes(data, start, sizes), gram)
     gone = np.sort(order[~least])
     gone = gone[np.argsort(start[gone], kind="stable")]
     starts = spread_ranges(start[gone], count[gone])
@@ -121,11 +137,11 @@ def _emit(part: pa.Table, plan: Plan, turn: int, sketch) -> Iterator[pa.RecordBa
     place = lambda r, x: (keys[r] << 32) | (x - rows[r])
     settled = place(of, starts)
     yield _batch(
-        np.r_[mix64(gram[kept].astype(np.uint64)).view(np.int64), mix64(settled.view(np.uint64) ^ ids[of].view(np.uint64)).view(np.int64)],
+        np.r_[_route(gram[kept]), _route(settled.view(np.uint64) ^ ids[of].view(np.uint64))],
         np.r_[ids[row[kept]], ids[of]],
         np.r_[place(row[kept], start[kept]), settled],
         np.r_[count[kept], n],
-        data[spread_ranges(start[kept], kept_sizes)],
+        _gather(data, start[kept], kept_sizes),
         np.r_[0, np.cumsum(kept_sizes)],
     )
 
@@ -161,7 +177,7 @@ def _sort_buckets(part: pa.Table, window: int) -> pa.RecordBatch:
     route, ids, place, n = route[~settled], ids[~settled], place[~settled], n[~settled].astype(np.int64)
     data, offsets = buffers(part.column("bytes"))
     starts = offsets[:-1][~settled]
-    order, group, least = _smallest(ids, *_hashes(data, n + window - 1), route)
+    order, group, least = _smallest(ids, *_hashes(data, starts, n + window - 1), route)
     out_id.append(ids[order[~least]])
     out_place.append(place[order[~least]])
     out_n.append(n[order[~least]])
@@ -250,8 +266,8 @@ def deduplicate(docs: DataFrame, window: int = 50, keep: list[str] | None = None
     """
     keep = ["doc_id"] if keep is None else keep
     rows = docs.select(*keep, order_id().alias("_id"), text_key().alias("_key"), F.coalesce("text", F.lit("")).alias("_text"))
-    spans = repeated_spans(rows.select("_id", "_key", "_text"), window)
-    joined = rows.join(spans, ["_id", "_key"], "left").select(*keep, "_text", "spans")
+    spans = saved(repeated_spans(rows.select("_id", "_key", "_text"), window), "spans")
+    joined = joined_by_key(rows, spans).select(*keep, "_text", "spans")
     extra = (("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

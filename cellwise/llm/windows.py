@@ -24,7 +24,10 @@ SALTS = (0x51ED270B7F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 @dataclass(frozen=True)
 class Plan:
-    """Sizes of a sketch. rounds: beyond the largest sketch, anchors are taken in so many parts, one after the other."""
+    """Sizes of a sketch. rounds: beyond the largest sketch, anchors are taken in so many parts, one after the other.
+
+    There are few rounds at most; beyond them the sketch gets fuller, and more that does not repeat is shuffled and sorted.
+    """
 
     window: int
     gram: int
@@ -32,11 +35,11 @@ class Plan:
     rounds: int
 
     @staticmethod
-    def of(tokens: int, window: int, gram: int, most_bits: int = 28) -> Plan:
+    def of(tokens: int, window: int, gram: int, most_bits: int = 30, most_rounds: int = 4) -> Plan:
         """Four cells an anchor, up to 2**most_bits cells a row of the sketch (a bit each, in memory of every task)."""
         anchors = max(1, 2 * tokens // (window - gram + 2))
         bits = min(most_bits, max(16, math.ceil(math.log2(4 * anchors))))
-        return Plan(window, gram, bits, math.ceil(anchors / (1 << most_bits)))
+        return Plan(window, gram, bits, min(most_rounds, math.ceil(anchors / (1 << most_bits))))
 
 
 def anchor_runs(grams: np.ndarray, rows: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -118,7 +121,7 @@ class Sketch:
 def merged_sketch(rows: DataFrame, make: Callable[[pa.Table], np.ndarray], plan: Plan, parts: Callable, hot: int) -> Sketch:
     """The sketch of what make finds in the parts of rows. Partition sketches are added slice by slice, never whole.
 
-    Two bits of 2**plan.bits cells come to the driver, at most 2 * 2**28 bits, and the cells of hot or more.
+    Two bits of 2**plan.bits cells come to the driver, at most 2 * 2**30 bits, and the cells of hot or more.
     """
     low = plan.bits - int(math.log2(SLICES))
 
