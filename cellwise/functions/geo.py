@@ -30,6 +30,13 @@ INVERSE = (
     17 * N**3 / 480 - 37 * N**4 / 840,
     4397 * N**4 / 161280,
 )
+# From conformal to geographic latitude.
+LATITUDE = (
+    2 * N - 2 * N**2 / 3 - 2 * N**3 + 116 * N**4 / 45,
+    7 * N**2 / 3 - 8 * N**3 / 5 - 227 * N**4 / 45,
+    56 * N**3 / 15 - 136 * N**4 / 35,
+    4279 * N**4 / 630,
+)
 
 
 def _central(zone: int) -> float:
@@ -57,14 +64,11 @@ def utm_inverse(x: Column, y: Column, zone: int, south: bool = False) -> tuple[C
     for k, b in enumerate(INVERSE, 1):
         xi0 = xi0 - b * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
         eta0 = eta0 - b * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
-    target = F.sin(xi0) / F.sqrt(F.pow(F.sinh(eta0), 2) + F.pow(F.cos(xi0), 2))  # tangent of the conformal latitude
-    tau = target
-    for _ in range(3):  # Newton's steps; two reach double precision
-        sigma = F.sinh(ECC * F.atanh(ECC * tau / F.sqrt(1 + tau * tau)))
-        own = tau * F.sqrt(1 + sigma * sigma) - sigma * F.sqrt(1 + tau * tau)
-        slope = (F.sqrt((1 + sigma * sigma) * (1 + tau * tau)) - sigma * tau) * (1 - ECC**2) * F.sqrt(1 + tau * tau) / (1 + (1 - ECC**2) * tau * tau)
-        tau = tau + (target - own) / slope
-    return F.degrees(F.atan2(F.sinh(eta0), F.cos(xi0)) + _central(zone)), F.degrees(F.atan(tau))
+    chi = F.asin(F.sin(xi0) / F.cosh(eta0))  # conformal latitude
+    phi = chi
+    for k, d in enumerate(LATITUDE, 1):
+        phi = phi + d * F.sin(2 * k * chi)
+    return F.degrees(F.atan2(F.sinh(eta0), F.cos(xi0)) + _central(zone)), F.degrees(phi)
 
 
 #: The synthetic events' local origin in UTM zone 16: fixed values.

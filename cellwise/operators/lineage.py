@@ -20,7 +20,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node, root (its component's smallest node) of an undirected edge table (a, b).
+    """node, root (its component's smallest node) of an undirected edge table (a, b); the roots themselves have no row.
 
     Large-star and small-star rounds: the edges never outgrow the input, and a chain of n halves with each round.
     """
