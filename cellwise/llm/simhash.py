@@ -201,7 +201,9 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, shingle: int
     found = components(links(least.select("fp"), distance))
     # Roots are nodes without a row of their own.
     rooted = least.join(found, least["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    whole = rooted.withColumn("component_id", F.min("least").over(Window.partitionBy("root"))).select("fp", "component_id")
+    # An aggregate and a join, which AQE can split, rather than a window that holds a large component in one task.
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    whole = rooted.join(smallest, "root").select("fp", "component_id")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(whole, "fp").select(*keep, text, "component_id")
 
