@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cellwise.operators.forecast import taps
+from cellwise.sources.events import HOTSPOTS
 
 Z = "1.959963984540054"
 
@@ -147,7 +148,16 @@ SELECT m."row", {fold("col")} AS col, sum(m.yhat * k.w) AS yhat FROM (
 SELECT {fold('"row"')} AS "row", m.col, sum(m.yhat * k.w) AS yhat FROM mo m CROSS JOIN (VALUES {values}) k(k, w) GROUP BY 1, 2) m CROSS JOIN (VALUES {values}) k(k, w) GROUP BY 1, 2)"""
 
 
+def _synthetic() -> str:
+    spots = ", ".join(f"({k}, CAST({i!r} AS DOUBLE), CAST({g!r} AS DOUBLE), {first})" for k, (_, _, _, i, g, first) in enumerate(HOTSPOTS))
+    return f"""WITH m AS (SELECT CAST(m AS INTEGER) AS m, DATE '2022-01-01' + to_months(CAST(m AS INTEGER)) AS d FROM range(24) r(m)),
+q AS (SELECT m, d, floor(500.0::DOUBLE * (1 + 0.35::DOUBLE * sin(pi() * (month(d) - 1) / 6 - pi() / 2))) AS total FROM m)
+SELECT q.m, strftime(q.d, '%Y-%m-%d') AS month_start, CAST(floor(q.total * 0.3::DOUBLE) + sum(CASE WHEN q.m >= s.f THEN floor(q.total * least(greatest(s.i * (1 + s.g * (q.m - s.f)), 0), 1)) ELSE 0 END) AS BIGINT) AS n
+FROM q CROSS JOIN (VALUES {spots}) s(k, i, g, f) GROUP BY q.m, q.d, q.total"""
+
+
 ORACLES = {
+    "synthetic_counts": _synthetic(),
     "events_points": _sql(f"SELECT {POINT} FROM pe", "pe"),
     "offence_map": _sql("SELECT CASE crime_type WHEN 'click' THEN 'theft' WHEN 'purchase' THEN 'assault' WHEN 'signup' THEN 'burglary' ELSE 'other' END AS category, count(*) AS n FROM pe GROUP BY 1", "pe"),
     "date_filter": _sql(f"SELECT {POINT} FROM pe WHERE datetime >= TIMESTAMP '2024-01-05' AND datetime <= TIMESTAMP '2024-01-12'", "pe"),
