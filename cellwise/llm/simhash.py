@@ -126,8 +126,9 @@ def _touch(a: np.ndarray, b: np.ndarray, distance: int) -> bool:
 
 def links(fps: DataFrame, distance: int = 3) -> DataFrame:
     """Pairs (a, b) of fingerprints that join what lies within distance, from distinct fps: fewer pairs than fingerprints in a bucket."""
-    # Each row becomes 64: dealt to a fixed number of tasks, lest the small input be coalesced into a few.
-    dealt = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # Each row becomes 64: dealt to a fixed number of tasks, lest the small input be coalesced into a few. By a hash of
+    # fp, as a repartition by fp itself is left out as redundant where fps comes from an aggregate over fp.
+    dealt = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     spread = dealt.select("fp", F.explode(signatures(F.col("fp"))).alias("sig"))
     buckets = spread.groupBy("sig").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
 
