@@ -23,7 +23,8 @@ class BatchConfig:
     eps_spatial: float = 1500.0
     eps_days: float = 45.0
     min_samples: int = 8
-    cluster_sample: int | None = 5000
+    #: Clusters come from all events; from a sample of so many only on request.
+    cluster_sample: int | None = None
     train_periods: int = 20
     steps: int = 4
     sigma: float = 0.8

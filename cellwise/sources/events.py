@@ -56,21 +56,22 @@ def of_types(rows: DataFrame, types: list[str]) -> DataFrame:
     return rows.where(F.col("crime_type").isin(types))
 
 
-def _loaded(raw: DataFrame, when: str, offense: str, names: dict[str, str], zone: int, limit: int, start: str | None, end: str | None) -> DataFrame:
-    """Filter, sort and limit as the remote service would, then categories, projection and order by time."""
+def _loaded(raw: DataFrame, when: str, offense: str, names: dict[str, str], zone: int, limit: int | None, start: str | None, end: str | None) -> DataFrame:
+    """Filter and, with a limit, keep the newest rows as the remote service would; then categories, projection and order by time."""
     rows = raw.withColumn("datetime", F.try_to_timestamp(F.col(when)).cast("timestamp_ntz"))
-    found = in_period(rows.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()), start, end).orderBy(F.desc("datetime")).limit(limit)
+    found = in_period(rows.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()), start, end)
+    found = found if limit is None else found.orderBy(F.desc("datetime")).limit(limit)
     made = cleansed(found.withColumn("crime_type", categorised(F.col(offense), names)), zone=zone)
     return made.select(F.xxhash64("datetime", "x", "y", offense).alias("event_id"), "x", "y", "datetime", "crime_type", F.lit(-1).alias("hotspot_id")).orderBy("datetime")
 
 
-def nyc(raw: DataFrame, limit: int = 20_000, start: str | None = None, end: str | None = None, types: list[str] | None = None) -> DataFrame:
+def nyc(raw: DataFrame, limit: int | None = None, start: str | None = None, end: str | None = None, types: list[str] | None = None) -> DataFrame:
     """Events from the New York table's columns (cmplnt_fr_dt, ofns_desc, latitude, longitude), UTM zone 18."""
     out = _loaded(raw, "cmplnt_fr_dt", "ofns_desc", NYC_OFFENSES, 18, limit, start, end)
     return of_types(out, types) if types else out
 
 
-def chicago(raw: DataFrame, limit: int = 20_000, start: str | None = None, end: str | None = None) -> DataFrame:
+def chicago(raw: DataFrame, limit: int | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """Events from the Chicago table's columns (date, primary_type, latitude, longitude), UTM zone 16."""
     return _loaded(raw, "date", "primary_type", CHICAGO_TYPES, 16, limit, start, end)
 

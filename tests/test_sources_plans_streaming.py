@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from cellwise.functions import geo
-from cellwise.operators import cube
+from cellwise.operators import cluster, cube
 from cellwise.plans import batch
 from cellwise.sources import events, sinks, socrata
 from cellwise.sources.adapter import BBOX, GRID, event_points
@@ -139,3 +139,18 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
 def test_entry_and_registration(spark, sf_dir):
     assert __spark_entry__.entry(spark).count() == 10
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_loaders_keep_every_row_by_default(spark):
+    raw = spark.range(20_500).select(F.date_format(F.timestamp_seconds(F.col("id") * 60), "yyyy-MM-dd HH:mm:ss").alias("date"), F.lit("THEFT").alias("primary_type"), F.lit("41.8").alias("latitude"), F.lit("-87.6").alias("longitude"))
+    assert events.chicago(raw).count() == 20_500 and events.chicago(raw, limit=20_000).count() == 20_000
+    assert events.nyc(raw.select(F.col("date").alias("cmplnt_fr_dt"), F.lit("ROBBERY").alias("ofns_desc"), "latitude", "longitude")).count() == 20_500
+
+
+def test_batch_clusters_all_events(spark, monkeypatch):
+    """More than 5,000 events: all of them are clustered, not a sample."""
+    made = events.synthetic(spark, 5000).persist()
+    monkeypatch.setattr(cluster, "fit_transform", lambda rows, **_: rows.withColumn("cluster", F.lit(0)))
+    result = batch.run(made, batch.BatchConfig(cell_size=4000.0), BBOX)
+    assert result.clusters.first().n_events == made.count() > 5000
+    result.close()
