@@ -69,12 +69,16 @@ def _ranked(key: np.ndarray, count: np.ndarray, most: int) -> tuple[np.ndarray,
     """Row, n-gram and rank of each row's most frequent n-grams; ties by the n-gram's hash."""
     top = np.uint64((1 << COUNT_BITS) - 1)
     row, gram = key >> np.uint64(GRAM_BITS), key & np.uint64((1 << GRAM_BITS) - 1)
-    both = np.sort(row << np.uint64(GRAM_BITS + COUNT_BITS) | (top - np.minimum(count.astype(np.uint64), top)) << np.uint64(GRAM_BITS) | gram)
-    row = (both >> np.uint64(GRAM_BITS + COUNT_BITS)).astype(np.int64)
+    if len(count) and count.max() > int(top):  # does not fit 64 bits
+        order = np.lexsort((gram, -count.astype(np.int64), row))
+        row, gram = row[order].astype(np.int64), gram[order]
+    else:
+        both = np.sort(row << np.uint64(GRAM_BITS + COUNT_BITS) | (top - count.astype(np.uint64)) << np.uint64(GRAM_BITS) | gram)
+        row, gram = (both >> np.uint64(GRAM_BITS + COUNT_BITS)).astype(np.int64), both & np.uint64((1 << GRAM_BITS) - 1)
     heads = np.r_[True, row[1:] != row[:-1]] if len(row) else np.zeros(0, bool)
     rank = np.arange(len(row)) - np.maximum.accumulate(np.where(heads, np.arange(len(row)), 0)) if len(row) else np.zeros(0, np.int64)
     few = rank < most
-    return row[few], (both & np.uint64((1 << GRAM_BITS) - 1))[few], rank[few]
+    return row[few], gram[few], rank[few]
 
 
 class Profiles:

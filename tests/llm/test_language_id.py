@@ -73,3 +73,13 @@ def test_stage_and_empty(odd_docs, no_docs):
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     assert not ids & {900, 901, 902, 903} and {904, 905, 906} <= ids
     assert language_id.identify(no_docs).count() == 0 == language_id.known_language(no_docs).count()
+
+
+def test_long_text_is_ranked_by_its_whole_counts():
+    """More than 2**17 of several n-grams: their order is that of their counts, not of their hashes."""
+    parts = [(c + " ") * (140_000 + 10_000 * k) for k, c in enumerate("abcde")]
+    row, gram, rank = language_id._ranked(*language_id._gram_counts(["".join(parts), "b a b"]), 300)
+    counts = dict(zip(*[x.tolist() for x in language_id._gram_counts(["".join(parts)])], strict=True))
+    own = [counts[g] for g in gram[row == 0].tolist()]
+    assert own == sorted(own, reverse=True) and rank[row == 0].tolist() == list(range(len(own)))
+    assert sorted(rank[row == 1].tolist()) == list(range((row == 1).sum()))
