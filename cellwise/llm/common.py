@@ -39,22 +39,33 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def joined_by_key(rows: DataFrame, found: DataFrame, most_bits: int = 27) -> DataFrame:
-    """rows left-joined with found on _id and _key, where most rows have no match: only rows that may have one are shuffled.
+def dropped(df: DataFrame) -> None:
+    """Removes the files of a table made by saved, which nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
-    Which may is read from a bitmap of hashed keys, eight bits a row of found and 2**most_bits bits (16 MB) at most: that is
-    what is broadcast. A fuller bitmap only sends more rows through the join.
+
+def may_be_in(rows: DataFrame, found: DataFrame, on: list[str], most_bits: int = 27) -> DataFrame:
+    """rows with _may: false where found has certainly no row of the same keys.
+
+    Read from a bitmap of hashed keys, eight bits a row of found and 2**most_bits bits (16 MB) at most, which is broadcast.
     """
-    n = found.count()
-    bits = min(most_bits, max(15, (8 * n).bit_length()))
-    place = F.pmod(F.xxhash64("_id", "_key"), F.lit(1 << bits)) + 1
+    bits = min(most_bits, max(15, (8 * found.count()).bit_length()))
+    place = F.pmod(F.xxhash64(*on), F.lit(1 << bits)) + 1
     maps = found.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_map"))
     marked = rows.withColumn("_p", F.bitmap_bit_position(place)).withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "_bucket", "left")
     byte = F.conv(F.hex(F.expr("substring(_map, CAST(_p DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
     may = F.coalesce(F.floor(byte / F.pow(F.lit(2), F.col("_p") % 8)) % 2 == 1, F.lit(False))
-    marked = marked.withColumn("_may", may).drop("_p", "_bucket", "_map")
+    return marked.withColumn("_may", may).drop("_p", "_bucket", "_map")
+
+
+def joined_by_key(rows: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
+    """rows left-joined with found (on and spans), where most rows have no match: only rows that may have one are shuffled."""
+    marked = may_be_in(rows, found, on)
     kind = found.schema["spans"].dataType
-    return marked.where("_may").join(found, ["_id", "_key"], "left").drop("_may").unionByName(marked.where("NOT _may").withColumn("spans", F.lit(None).cast(kind)).drop("_may"))
+    return marked.where("_may").join(found, on, "left").drop("_may").unionByName(marked.where("NOT _may").withColumn("spans", F.lit(None).cast(kind)).drop("_may"))
 
 
 def packed(docs: DataFrame) -> DataFrame:

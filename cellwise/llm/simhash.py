@@ -13,10 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import buffers, chunked, order_id, packed, saved, unpacked
+from cellwise.llm.common import buffers, chunked, saved
+from cellwise.llm.near_copies import without_near_copies
 
 BITS, SEGMENT = 64, 32
 #: Spark's xxhash64 has the same seed.
@@ -209,13 +210,6 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, shingle: int
     return prints.join(whole, "fp").select(*keep, text, "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """docs with one row of each near-duplicate component: that of the smallest doc_id (of repeated ids one row)."""
-    rows = packed(docs).withColumns({"_id": order_id(), "_row": F.xxhash64("_doc")})
-    marked = near_duplicates(rows, keep=["_id", "_row"], shingle=shingle, distance=distance)
-    # Nulls have no component of their own: those left without an id go by their fingerprint.
-    group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
-    first = marked.groupBy(group).agg(F.min(F.struct("_id", "_row")).alias("first")).select("first.*")
-    once = Window.partitionBy("_id", "_row").orderBy(F.lit(0))
-    kept = rows.join(first, ["_id", "_row"]).withColumn("_n", F.row_number().over(once))
-    return unpacked(kept.where("_n = 1"))
+def one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """docs with one row of each group of near copies: of a Jaccard similarity of 0.8 or more, verified (see near_copies)."""
+    return without_near_copies(docs, shingle)

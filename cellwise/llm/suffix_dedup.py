@@ -267,7 +267,7 @@ def deduplicate(docs: DataFrame, window: int = 50, keep: list[str] | None = None
     keep = ["doc_id"] if keep is None else keep
     rows = docs.select(*keep, order_id().alias("_id"), text_key().alias("_key"), F.coalesce("text", F.lit("")).alias("_text"))
     spans = saved(repeated_spans(rows.select("_id", "_key", "_text"), window), "spans")
-    joined = joined_by_key(rows, spans).select(*keep, "_text", "spans")
+    joined = joined_by_key(rows, spans, ["_id", "_key"]).select(*keep, "_text", "spans")
     extra = (("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
