@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwise.llm import decontamination, language_id, near_copies, sentencepiece_bpe, suffix_dedup
+from cellwise.llm import decontamination, language_id, sentencepiece_bpe, simhash, suffix_dedup
 from cellwise.llm.common import packed, saved, table, unpacked
 
 
@@ -19,7 +19,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go whose five-word shingles have a Jaccard similarity of 0.8 or more with those of a kept one of a smaller doc_id."""
-    return near_copies.without_near_copies(docs, shingle=5)
+    return simhash.one_of_each(docs, shingle=5)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
