@@ -31,7 +31,7 @@ CHECK = 20
 #: 64-bit words of a fingerprint that candidate pairs are compared by, and bits in which they may differ: at 0.8 they do in 78 +- 8.
 WORDS, NEAR = 8, 99
 #: Partners that a document gets from a bucket in the first round, and members of a bucket held to compare others with.
-PARTNERS, HELD = 2, 1024
+PARTNERS, HELD = 1, 1024
 
 
 def shingle_sets(column: pa.ChunkedArray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,8 +176,11 @@ def _buckets(sets: DataFrame, held: int) -> DataFrame:
     return rows.mapInArrow(run, "sig long, key long").distinct()
 
 
-def _pairs_of(key: np.ndarray, bits: np.ndarray, held: int, partners: int) -> list[np.ndarray]:
-    """Candidates in one bucket, members in the order of ids: (a, b), a earlier; (b, b) for those with pairs not given here."""
+def _pairs_of(key: np.ndarray, bits: np.ndarray, held: int, partners: int) -> np.ndarray:
+    """Candidates in one bucket, members in the order of ids: rows a, b, late; a is earlier, late: b has pairs not given here.
+
+    A member that others have such pairs with, and that has none itself, gives a row (b, b, 1).
+    """
     n, m = len(key), min(len(key), held)
     apart = np.zeros((n, m), np.uint16)
     for k in range(bits.shape[1]):
@@ -186,15 +189,19 @@ def _pairs_of(key: np.ndarray, bits: np.ndarray, held: int, partners: int) -> li
     rank = np.cumsum(near, axis=1)
     b, a = np.nonzero(near & (rank <= partners))
     late_b, late_a = np.nonzero(near & (rank > partners))
-    more = np.unique(np.r_[late_a, late_b, np.arange(m, n)])
-    return [np.stack([key[a], key[b]], axis=1), np.stack([key[more], key[more]], axis=1)]
+    late = np.zeros(n, bool)
+    late[np.r_[late_a, late_b, np.arange(m, n)]] = True
+    alone = late.copy()
+    alone[b] = False
+    alone = np.flatnonzero(alone)
+    return np.stack([np.r_[key[a], key[alone]], np.r_[key[b], key[alone]], np.r_[late[b], late[alone]]], axis=1)
 
 
 def _candidates(buckets: DataFrame, sets: DataFrame, held: int, partners: int) -> DataFrame:
-    """Pairs (a, b), a earlier, that share a signature and may be similar; (b, b) where b has not been compared with all earlier ones.
+    """Pairs (a, b), a earlier, that share a signature and may be similar; late where b has not been compared with all earlier ones.
 
     A bucket's members come in the order of ids; beyond those held, they are compared with those only, and looked at again
-    in the next round, so that the largest bucket takes no more memory than others.
+    in the next round, so that the largest bucket takes no more memory than others, and a member gives a row or two.
     """
     rows = buckets.join(sets.select("key", "id", "bits"), "key").repartition("sig").sortWithinPartitions("sig", "id", "key").select("sig", "key", "bits")
 
@@ -204,15 +211,15 @@ def _candidates(buckets: DataFrame, sets: DataFrame, held: int, partners: int) -
             sizes = np.diff(np.r_[heads, len(sig)])
             two = heads[sizes == 2]
             near = two[np.bitwise_count(bits[two] ^ bits[two + 1]).sum(axis=1) <= NEAR]
-            found = [np.stack([key[near], key[near + 1]], axis=1)]
+            found = [np.stack([key[near], key[near + 1], np.zeros(len(near), np.int64)], axis=1)]
             for s, n in zip(heads[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
                 for at in range(0, max(1, n - held), held):  # in blocks: the first held, and as many others
                     own = np.r_[s : s + min(n, held), s + held + at : max(s + held + at, min(s + n, s + 2 * held + at))]
-                    found += _pairs_of(key[own], bits[own], held, partners)
+                    found.append(_pairs_of(key[own], bits[own], held, partners))
             pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2].astype(np.int32))], ["a", "b", "late"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long, late int").groupBy("a", "b").agg(F.max("late").alias("late"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -267,7 +274,8 @@ def _going(docs: DataFrame, signed: DataFrame, shingle: int, held: int, partners
     gone: list[DataFrame] = []
     while True:
         # Rows (b, b) hold b back like an earlier similar one that is not settled.
-        edges = saved(_similar(pairs.where("a <> b"), sets).unionByName(pairs.where("a = b")), "near-edges")
+        waiting = pairs.where("late = 1").select(F.col("b").alias("a"), "b").distinct()
+        edges = saved(_similar(pairs.where("a <> b").select("a", "b"), sets).unionByName(waiting), "near-edges")
         dropped(pairs)
         while True:
             stay = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")

@@ -38,7 +38,7 @@ def _windows(part: pa.Table, plan: Plan, turn: int, sketch) -> pa.RecordBatch:
     may = in_round(grams[at], plan, turn)
     may[may] = sketch.repeated(grams[at[may]])[0]
     starts = spread_ranges(heads[may], sizes[may])
-    ids, keys = ints(part.column("_id")), ints(part.column("_key")).astype(np.int64)
+    ids, keys = ints(part.column("_id")), ints(part.column("_key"))
     one = rolling(tokens, plan.window, 0x9E3779B97F4A7C15)[starts]
     two = rolling(mix64(tokens + np.uint64(1)), plan.window, 0xC2B2AE3D27D4EB4F)[starts] & np.uint64(0xFFFFFFFF00000000)
     row = np.searchsorted(rows, starts, side="right") - 1
@@ -52,14 +52,15 @@ def _windows(part: pa.Table, plan: Plan, turn: int, sketch) -> pa.RecordBatch:
     head, size = runs(s, of)
     s, of = s[head], of[head]
     open_ = ~settled
-    place = lambda r, x: (keys[r] << 32) | (x - rows[r])
     columns = [
-        np.r_[one[open_].view(np.int64), mix64(place(of, s).view(np.uint64) ^ ids[of].view(np.uint64)).view(np.int64)],
+        np.r_[one[open_].view(np.int64), mix64(s.view(np.uint64) ^ keys[of].view(np.uint64)).view(np.int64)],
         np.r_[two[open_].view(np.int64), size],
         np.r_[ids[row[open_]], ids[of]],
-        np.r_[place(row[open_], starts[open_]), place(of, s)],
+        np.r_[keys[row[open_]], keys[of]],
+        np.r_[starts[open_] - rows[row[open_]], s - rows[of]],
     ]
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["one", "two", "id", "place"])
+    kinds = [np.int64, np.int64, np.int64, np.int64, np.int32]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], ["one", "two", "id", "key", "place"])
 
 
 def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
@@ -70,19 +71,19 @@ def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
     parts = partial(chunked, most_bytes=CHUNK)
     found = None
     for turn in range(plan.rounds):
-        sketch = broadcast(spark, merged_sketch(rows, partial(_grams, plan=plan, turn=turn), plan, parts, hot=2**32 - 1))
+        sketch = broadcast(spark, merged_sketch(rows, partial(_grams, plan=plan, turn=turn), plan, parts))
 
         def emit(batches: Iterator[pa.RecordBatch], turn: int = turn, sketch=sketch) -> Iterator[pa.RecordBatch]:
             for part in parts(batches):
                 yield _windows(part, plan, turn, sketch.value)
 
-        some = rows.mapInArrow(emit, "one long, two long, id long, place long")
+        some = rows.mapInArrow(emit, "one long, two long, id long, key long, place int")
         found = some if found is None else found.unionByName(some)
     least = F.min("id").over(Window.partitionBy("one", "two"))
     runs_ = F.col("two").bitwiseAND(0xFFFFFFFF)  # of a settled run its length; 0 for a single window
     removed = found.withColumn("least", least).where((runs_ > 0) | (F.col("id") > F.col("least")))
-    span = F.shiftleft(F.col("place").bitwiseAND(0xFFFFFFFF), 32).bitwiseOR(F.greatest(runs_, F.lit(1)))
-    return removed.groupBy(F.col("id").alias("_id"), F.shiftright("place", 32).cast("int").alias("_key")).agg(F.collect_list(span).alias("spans"))
+    span = F.shiftleft(F.col("place").cast("long"), 32).bitwiseOR(F.greatest(runs_, F.lit(1)))
+    return removed.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list(span).alias("spans"))
 
 
 def deduplicate(docs: DataFrame, window: int = 50) -> DataFrame:

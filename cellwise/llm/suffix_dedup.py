@@ -18,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import buffers, chunked, ints, joined_by_key, mix64, order_id, powers, rolling, saved, spread_ranges, text_key
+from cellwise.llm.common import buffers, chunked, ints, joined_by_key, mix64, order_id, placed, rolling, saved, spread_ranges, text_key
 from cellwise.llm.windows import Plan, anchor_runs, broadcast, covered, in_round, merged_sketch, runs
 
 GRAM = 18
 BASE = 0xD1342543DE82EF95
 CHUNK, BLOCK = 6 << 20, 1 << 19
-#: A bucket estimated to hold more anchors (some 50 MB of text) is dealt out window by window instead of whole.
-HOT = 400_000
+#: A bucket estimated to hold more anchors is dealt out by where in a window the anchor stands, APART places together;
+#: one of more than HOT (some 50 MB of text) window by window. Equal windows stay together in any case.
+WARM, HOT, APART = 3_000, 400_000, 8
 
 
 def _blocks(data: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -38,7 +39,7 @@ def _blocks(data: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _found(part: pa.Table, plan: Plan, turn: int, sketch=None):
-    """Runs of windows by anchor: start, count, row and gram; with a sketch, only those that may repeat, and which are hot."""
+    """Runs of windows by anchor: start, count, row, gram, level and anchor's place; with a sketch, only those that may repeat."""
     data, rows = buffers(part.column("_text"))
     out = []
     for a, b in _blocks(data, rows):
@@ -47,12 +48,12 @@ def _found(part: pa.Table, plan: Plan, turn: int, sketch=None):
         start, count, row, at = anchor_runs(grams, own, plan)
         gram = grams[at]
         may = in_round(gram, plan, turn)
-        hot = np.zeros(len(gram), bool)
+        level = np.zeros(len(gram), np.int64)
         if sketch is not None:
             own = np.flatnonzero(may)
-            may[own], hot[own] = sketch.repeated(gram[own])
-        out.append((start[may] + rows[a], count[may], row[may] + a, gram[may], hot[may] & may[may]))
-    return data, rows, [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
+            may[own], level[own] = sketch.repeated(gram[own])
+        out.append((start[may] + rows[a], count[may], row[may] + a, gram[may], level[may], at[may] + rows[a]))
+    return data, rows, [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 6
 
 
 def _grams(part: pa.Table, plan: Plan, turn: int) -> np.ndarray:
@@ -72,14 +73,13 @@ def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
 def _hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of hash of each piece of data."""
     out = [np.zeros(len(starts), np.uint64) for _ in range(2)]
-    tables = [powers(base, int(sizes.max(initial=1))) for base in (BASE, 0x9E3779B97F4A7C15)]
     for k in _slices(len(starts)):
         own = sizes[k]
         heads = np.cumsum(own) - own
-        value = data[spread_ranges(starts[k], own)].astype(np.uint64) + np.uint64(1)
+        value = data[spread_ranges(starts[k], own)]
         place = np.arange(len(value)) - np.repeat(heads, own)
-        for o, table in zip(out, tables, strict=True):
-            o[k] = mix64(np.add.reduceat(value * table[place], heads) ^ own.astype(np.uint64))
+        for o, seed in zip(out, (BASE, 0x9E3779B97F4A7C15), strict=True):
+            o[k] = mix64(np.add.reduceat(placed(value, place, seed), heads) ^ own.astype(np.uint64))
     return out[0], out[1]
 
 
@@ -96,7 +96,7 @@ def _smallest(ids: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, np.cumsum(heads) - 1, least
 
 
-SCHEMA = "route int, id long, place long, n int, bytes binary"
+SCHEMA = "route int, id long, key long, place int, n int, bytes binary"
 
 
 def _route(keys: np.ndarray) -> np.ndarray:
@@ -104,26 +104,32 @@ def _route(keys: np.ndarray) -> np.ndarray:
     return (mix64(keys.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _batch(route, ids, place, n, data, offsets) -> pa.RecordBatch:
+def _batch(route, ids, keys, place, n, data, offsets) -> pa.RecordBatch:
     """bytes is null for settled runs, which have no offsets."""
     settled = len(route) - (len(offsets) - 1)
     offsets = np.r_[offsets, np.full(settled, offsets[-1])].astype(np.int32)
     valid = pa.array(np.arange(len(route)) < len(route) - settled).buffers()[1]
     binary = pa.Array.from_buffers(pa.binary(), len(route), [valid, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(route, pa.int32()), pa.array(ids, pa.int64()), pa.array(place, pa.int64()), pa.array(n, pa.int32()), binary], ["route", "id", "place", "n", "bytes"])
+    return pa.RecordBatch.from_arrays([pa.array(route, pa.int32()), pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(place, pa.int32()), pa.array(n, pa.int32()), binary], ["route", "id", "key", "place", "n", "bytes"])
 
 
 def _emit(part: pa.Table, plan: Plan, turn: int, sketch) -> Iterator[pa.RecordBatch]:
     """Runs that may repeat, with their bytes; those equal to a smaller document's of this part are settled here."""
-    data, rows, (start, count, row, gram, hot) = _found(part, plan, turn, sketch)
-    hot = hot.astype(bool)
-    if hot.any():
+    data, rows, (start, count, row, gram, level, at) = _found(part, plan, turn, sketch)
+    warm, hot = level == 1, level == 2
+    if level.any():
         single = spread_ranges(start[hot], count[hot])
-        of = np.repeat(row[hot], count[hot])
-        start, row = np.r_[start[~hot], single], np.r_[row[~hot], of]
-        gram = np.r_[gram[~hot], _hashes(data, single, np.full(len(single), plan.window))[0]]
-        count = np.r_[count[~hot], np.ones(len(single), np.int64)]
-    ids, keys = ints(part.column("_id")), ints(part.column("_key")).astype(np.int64)
+        # Of a warm run the windows with the anchor at places b * APART .. (b + 1) * APART - 1 of the window, for each b.
+        far, near = at[warm] - start[warm], at[warm] - start[warm] - count[warm] + 1
+        pieces = far // APART - near // APART + 1
+        block = np.repeat(far // APART, pieces) - spread_ranges(np.zeros(len(pieces), np.int64), pieces)
+        lead, first, last = (np.repeat(x[warm], pieces) for x in (at, start, start + count - 1))
+        first, last = np.maximum(first, lead - block * APART - APART + 1), np.minimum(last, lead - block * APART)
+        cool = level == 0
+        gram = np.r_[gram[cool], mix64(np.repeat(gram[warm], pieces) ^ (block + 1).astype(np.uint64)), _hashes(data, single, np.full(len(single), plan.window))[0]]
+        row = np.r_[row[cool], np.repeat(row[warm], pieces), np.repeat(row[hot], count[hot])]
+        start, count = np.r_[start[cool], first, single], np.r_[count[cool], last - first + 1, np.ones(len(single), np.int64)]
+    ids, keys = ints(part.column("_id")), ints(part.column("_key"))
     sizes = count + plan.window - 1
     order, _, least = _smallest(ids[row], *_hashes(data, start, sizes), gram)
     gone = np.sort(order[~least])
@@ -134,12 +140,11 @@ def _emit(part: pa.Table, plan: Plan, turn: int, sketch) -> Iterator[pa.RecordBa
     starts, of = starts[head], of[head]
     kept = np.sort(order[least])
     kept_sizes = sizes[kept]
-    place = lambda r, x: (keys[r] << 32) | (x - rows[r])
-    settled = place(of, starts)
     yield _batch(
-        np.r_[_route(gram[kept]), _route(settled.view(np.uint64) ^ ids[of].view(np.uint64))],
+        np.r_[_route(gram[kept]), _route(starts.view(np.uint64) ^ keys[of].view(np.uint64))],
         np.r_[ids[row[kept]], ids[of]],
-        np.r_[place(row[kept], start[kept]), settled],
+        np.r_[keys[row[kept]], keys[of]],
+        np.r_[start[kept] - rows[row[kept]], starts - rows[of]],
         np.r_[count[kept], n],
         _gather(data, start[kept], kept_sizes),
         np.r_[0, np.cumsum(kept_sizes)],
@@ -171,16 +176,16 @@ def radix_groups(data: np.ndarray, starts: np.ndarray, bucket: np.ndarray, depth
 
 def _sort_buckets(part: pa.Table, window: int) -> pa.RecordBatch:
     """Whole buckets: the runs of windows to remove."""
-    route, ids, place, n = (ints(part.column(c)) for c in ("route", "id", "place", "n"))
     settled = np.concatenate([c.is_null().to_numpy(zero_copy_only=False) for c in part.column("bytes").chunks])
-    out_id, out_place, out_n = [ids[settled]], [place[settled]], [n[settled].astype(np.int64)]
-    route, ids, place, n = route[~settled], ids[~settled], place[~settled], n[~settled].astype(np.int64)
+    columns = [ints(part.column(c)) for c in ("route", "id", "key", "place", "n")]
+    out = [[c[settled].astype(np.int64)] for c in columns[1:]]
+    route, ids, keys, place, n = (c[~settled].astype(np.int64) for c in columns)
     data, offsets = buffers(part.column("bytes"))
     starts = offsets[:-1][~settled]
     order, group, least = _smallest(ids, *_hashes(data, starts, n + window - 1), route)
-    out_id.append(ids[order[~least]])
-    out_place.append(place[order[~least]])
-    out_n.append(n[order[~least]])
+    lost = order[~least]
+    for o, c in zip(out, (ids, keys, place, n), strict=True):
+        o.append(c[lost])
     if len(order):
         # One of each kind of surroundings goes on, where its bucket has two kinds or more.
         first = np.r_[True, group[1:] != group[:-1]]
@@ -207,26 +212,32 @@ def _sort_buckets(part: pa.Table, window: int) -> pa.RecordBatch:
             b = np.searchsorted(rest_kind, kind[owner[at]], side="right")
             rows = rest[spread_ranges(a, b - a)]
             shift = np.repeat(suffix[at] - starts[one[owner[at]]], b - a)
-            out_id.append(ids[rows])
-            out_place.append(place[rows] + shift)
-            out_n.append(np.repeat(size, b - a))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_id, out_place, out_n)], ["id", "place", "n"])
+            for o, c in zip(out, (ids[rows], keys[rows], place[rows] + shift, np.repeat(size, b - a)), strict=True):
+                o.append(c)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], ["id", "key", "place", "n"])
 
 
 def _whole_buckets(batches: Iterator[pa.RecordBatch], rows: int = 60_000) -> Iterator[pa.Table]:
-    """Batches sorted by route, joined and cut where the route changes."""
+    """Batches sorted by route, joined and cut where the route changes: what is held is looked at once, when it ends."""
     held: list[pa.RecordBatch] = []
+    size, top = 0, None
     for batch in batches:
-        held.append(batch)
-        if sum(b.num_rows for b in held) < rows:
-            continue
-        whole = pa.Table.from_batches(held)
-        route = ints(whole.column("route"))
-        cut = int(np.searchsorted(route, route[-1], side="left"))
-        if cut:
-            yield whole.slice(0, cut)
-            held = whole.slice(cut).to_batches()
-    if held and sum(b.num_rows for b in held):
+        route = batch.column("route")
+        while batch.num_rows:
+            if size >= rows and route[0].as_py() != top:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+            take = batch.num_rows
+            if size + take >= rows:  # up to where the route changes after rows rows
+                own = route.to_numpy(zero_copy_only=False)
+                value = own[max(0, rows - size - 1)] if size < rows else top
+                take = int(np.searchsorted(own, value, side="right"))
+            held.append(batch.slice(0, take))
+            size += take
+            top = route[take - 1].as_py()
+            batch = batch.slice(take)
+            route = batch.column("route")
+    if held:
         yield pa.Table.from_batches(held)
 
 
@@ -237,7 +248,7 @@ def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
     parts = partial(chunked, most_bytes=CHUNK)
     found = None
     for turn in range(plan.rounds):
-        sketch = broadcast(rows.sparkSession, merged_sketch(rows, partial(_grams, plan=plan, turn=turn), plan, parts, hot=HOT))
+        sketch = broadcast(rows.sparkSession, merged_sketch(rows, partial(_grams, plan=plan, turn=turn), plan, parts, (WARM, HOT)))
 
         def emit(batches: Iterator[pa.RecordBatch], turn: int = turn, sketch=sketch) -> Iterator[pa.RecordBatch]:
             for part in parts(batches):
@@ -250,9 +261,9 @@ def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
         for part in _whole_buckets(batches):
             yield _sort_buckets(part, window)
 
-    gone = found.repartition("route").sortWithinPartitions("route").mapInArrow(sort, "id long, place long, n long")
-    span = F.shiftleft(F.col("place").bitwiseAND(0xFFFFFFFF), 32).bitwiseOR(F.col("n"))
-    return gone.groupBy(F.col("id").alias("_id"), F.shiftright("place", 32).cast("int").alias("_key")).agg(F.collect_list(span).alias("spans"))
+    gone = found.repartition("route").sortWithinPartitions("route").mapInArrow(sort, "id long, key long, place long, n long")
+    span = F.shiftleft("place", 32).bitwiseOR(F.col("n"))
+    return gone.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list(span).alias("spans"))
 
 
 def deduplicate(docs: DataFrame, window: int = 50, keep: list[str] | None = None, whole_characters: bool = False) -> DataFrame:

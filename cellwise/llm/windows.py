@@ -18,7 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cellwise.llm.common import lowest, mix64
 
-DEPTH, SLICES = 2, 64
+#: Rows of the sketch; bits of a slice, which one task merges: there are as many slices as the sketch has bits for.
+DEPTH, SLICE_BITS = 2, 20
+#: Anchors that a task gathers before it gives a sketch.
+GATHERED = 4_000_000
 SALTS = (0x51ED270B7F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -82,18 +85,23 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return total, np.diff(np.r_[0, total])
 
 
+def _slice_bits(bits: int) -> int:
+    return min(SLICE_BITS, bits - 6)
+
+
 def sketch_rows(grams: np.ndarray, bits: int) -> pa.RecordBatch:
     """A partition's sketch: for each slice of a row, its cells that are not zero (as gaps) and their counts, less one."""
     slices, cells, counts = [], [], []
-    low = bits - int(math.log2(SLICES))
+    low = _slice_bits(bits)
+    parts = 1 << (bits - low)
     for row in range(DEPTH):
         cell, count = np.unique(_cells(grams, row, bits), return_counts=True)
         of = (cell >> np.uint64(low)).astype(np.int64)
-        ends = np.searchsorted(of, np.arange(SLICES + 1))
+        ends = np.searchsorted(of, np.arange(parts + 1))
         inside = (cell & np.uint64((1 << low) - 1)).astype(np.int64)
-        for k in range(SLICES):
+        for k in range(parts):
             if ends[k] < ends[k + 1]:
-                slices.append(row * SLICES + k)
+                slices.append(row * parts + k)
                 own = slice(ends[k], ends[k + 1])
                 cells.append(_packed(np.diff(np.r_[0, inside[own]])))
                 counts.append(_packed(count[own] - 1))
@@ -102,43 +110,50 @@ def sketch_rows(grams: np.ndarray, bits: int) -> pa.RecordBatch:
 
 @dataclass
 class Sketch:
-    """The merged sketch, as far as it is asked: cells of two or more, and the few cells of hot or more."""
+    """The merged sketch, as far as it is asked: cells of two or more, and the few cells over the levels (cell * 4 + level)."""
 
     bits: int
     twice: np.ndarray
-    hot: list[np.ndarray]
+    busy: list[np.ndarray]
 
     def repeated(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which grams may occur twice or more, and which may be hot."""
-        yes, hot = np.ones(len(grams), bool), np.ones(len(grams), bool)
+        """Which grams may occur twice or more, and how many levels they may have reached."""
+        yes, level = np.ones(len(grams), bool), np.full(len(grams), 3)
         for row in range(DEPTH):
             cell = _cells(grams, row, self.bits).astype(np.int64)
             yes &= (self.twice[row][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
-            hot &= np.isin(cell, self.hot[row]) if len(self.hot[row]) else False
-        return yes, hot
+            own = np.zeros(len(grams), np.int64)
+            if len(busy := self.busy[row]):
+                at = np.minimum(np.searchsorted(busy >> 2, cell), len(busy) - 1)
+                own = np.where(busy[at] >> 2 == cell, busy[at] & 3, 0)
+            level = np.minimum(level, own)
+        return yes, level
 
 
-def merged_sketch(rows: DataFrame, make: Callable[[pa.Table], np.ndarray], plan: Plan, parts: Callable, hot: int) -> Sketch:
+def merged_sketch(rows: DataFrame, make: Callable[[pa.Table], np.ndarray], plan: Plan, parts: Callable, levels: tuple[int, ...] = ()) -> Sketch:
     """The sketch of what make finds in the parts of rows. Partition sketches are added slice by slice, never whole.
 
-    Two bits of 2**plan.bits cells come to the driver, at most 2 * 2**30 bits, and the cells of hot or more.
+    Two bits of 2**plan.bits cells come to the driver, at most 2 * 2**30 bits, and the cells whose counts reach a level
+    (at most the input's anchors by the lowest level).
     """
-    low = plan.bits - int(math.log2(SLICES))
+    low = _slice_bits(plan.bits)
+    slices = 1 << (plan.bits - low)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for part in parts(batches):
             held.append(make(part))
             size += len(held[-1])
-            if size > 2_000_000:
+            if size > GATHERED:
                 yield sketch_rows(np.concatenate(held), plan.bits)
                 held, size = [], 0
         if size:
             yield sketch_rows(np.concatenate(held), plan.bits)
 
     def done(at: int, total: np.ndarray) -> pa.RecordBatch:
-        busy = np.flatnonzero(total >= hot).astype(np.uint32)
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(total >= 2).tobytes()], pa.binary()), pa.array([busy.tobytes()], pa.binary())], ["slice", "twice", "hot"])
+        level = sum(((total >= x).astype(np.uint32) for x in levels), np.zeros(len(total), np.uint32))
+        cells = np.flatnonzero(level).astype(np.uint32)
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.packbits(total >= 2).tobytes()], pa.binary()), pa.array([(cells << 2 | level[cells]).tobytes()], pa.binary())], ["slice", "twice", "busy"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total = -1, np.zeros(0, np.uint32)
@@ -154,13 +169,13 @@ def merged_sketch(rows: DataFrame, make: Callable[[pa.Table], np.ndarray], plan:
             yield done(at, total)
 
     partial = rows.mapInArrow(count, "slice int, cells binary, counts binary")
-    whole = partial.repartition("slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, twice binary, hot binary")
+    whole = partial.repartition("slice").sortWithinPartitions("slice").mapInArrow(add, "slice int, twice binary, busy binary")
     twice, busy = np.zeros((DEPTH, max(1, (1 << plan.bits) >> 3)), np.uint8), [[] for _ in range(DEPTH)]
     width = (1 << low) >> 3
     for k, bits, cells in whole.toLocalIterator():
-        row, at = divmod(k, SLICES)
+        row, at = divmod(k, slices)
         twice[row, at * width : (at + 1) * width] = np.frombuffer(bits, np.uint8)
-        busy[row].append(np.frombuffer(cells, np.uint32).astype(np.int64) + (at << low))
+        busy[row].append(np.frombuffer(cells, np.uint32).astype(np.int64) + (at << low << 2))
     return Sketch(plan.bits, twice, [np.sort(np.concatenate(b)) if b else np.zeros(0, np.int64) for b in busy])
 
 

@@ -2,6 +2,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cellwise.llm import substring_dedup, suffix_dedup
 from cellwise.llm.common import NO_ID, SPACE, buffers, rolling, words
@@ -36,13 +37,48 @@ def test_words_against_brute_force(odd_docs, rows_of):
     assert any(gone for _, _, gone, _ in found)
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2])
-def test_bytes_against_brute_force(odd_docs, rows_of, monkeypatch, hot):
+@pytest.mark.parametrize("warm, hot", [(suffix_dedup.WARM, suffix_dedup.HOT), (2, suffix_dedup.HOT), (1, 2)])
+def test_bytes_against_brute_force(odd_docs, rows_of, monkeypatch, warm, hot):
+    monkeypatch.setattr(suffix_dedup, "WARM", warm)
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     found = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.deduplicate(odd_docs).collect())
     assert found == brute(rows_of, lambda t: (t or "").encode(), bytes, 50)
 
 
+def against_brute_force(spark, rows, parts=2):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    found = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text.encode()) for r in substring_dedup.deduplicate(df).collect())
+    expected = Counter()
+    for (i, n, gone, _, kept), times in brute(rows, lambda t: (t or "").encode().split(), b" ".join, 50).items():
+        expected[i, n, gone, kept] += times
+    assert found == expected
+    found = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.deduplicate(df).collect())
+    assert found == brute(rows, lambda t: (t or "").encode(), bytes, 50)
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_texts_of_one_id_with_equal_short_hashes(spark, doc_id):
+    """Texts without an id, or of one id, that Spark's 32-bit hash can't tell apart."""
+    passage = " ".join(f"passage{i}" for i in range(60))
+    n = spark.range(200_000)
+    short = n.select(F.format_string("short %s", "id").alias("a")).withColumn("h", F.hash("a"))
+    long_ = n.select(F.concat(F.format_string("long %s ", "id"), F.lit(passage)).alias("b")).withColumn("h", F.hash("b"))
+    both = short.join(long_, "h").select("a", "b").first()
+    against_brute_force(spark, [(1, passage), (doc_id, both.a), (doc_id, both.b), (doc_id, both.b)])
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[k.bit_count() & 1] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_of_two_letters_in_thue_morse_order(spark, n):
+    """Powers of a number modulo 2**64 have equal sums over such a word and its complement."""
+    lead, tail = " ".join(f"a{k}" for k in range(30)), " ".join(f"z{k}" for k in range(30))
+    rows = [(1, f"{lead} {thue_morse(n)} {tail}"), (2, f"{lead} {thue_morse(n, 'ba')} {tail}"), (3, f"{lead} {thue_morse(n)} {tail} end")]
+    against_brute_force(spark, rows)
+
+
 def test_whole_characters(spark):
     rows = [(1, "é" * 40), (2, "xé" + "é" * 40), (3, "x" + "é" * 24 + "è")]
     out = suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), whole_characters=True).collect()
