@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellwise.operators.lineage import checkpointed, connected_components
-from cellwise.operators.spatial_join import band_join
+from cellwise.operators.lineage import connected_components, saved
+from cellwise.operators.spatial_join import block_pairs
+
+
+def _near(a: np.ndarray, b: np.ndarray, one: bool, eps: float, seconds: float) -> np.ndarray:
+    """Which of block a's events (rows x, y, .., ts) are neighbours of b's; none of itself."""
+    near = np.sqrt((a[0][:, None] - b[0]) ** 2 + (a[1][:, None] - b[1]) ** 2) <= eps
+    near &= np.abs(a[-1][:, None] - b[-1]) <= seconds
+    if one:
+        np.fill_diagonal(near, False)
+    return near
 
 
 def stdbscan(events: DataFrame, eps_spatial: float = 1000.0, eps_seconds: float = 30 * 86400.0, min_samples: int = 10) -> DataFrame:
@@ -14,22 +24,57 @@ def stdbscan(events: DataFrame, eps_spatial: float = 1000.0, eps_seconds: float
 
     An event is core with min_samples neighbours or more, itself not counted. Clusters are the components of core events
     within reach of each other, numbered by their smallest event_id; a border event belongs to the smallest-numbered
-    cluster it reaches. Events without place or time are noise.
+    cluster it reaches. Events without place or time are noise. Pairs of neighbours are counted, linked and labelled block by
+    block and never become rows: a pair of blocks gives as many links as connect its events.
     """
+
+    def count(_, a, b, one):
+        near = _near(a, b, one, eps_spatial, eps_seconds)
+        found = [(a, near.sum(axis=1)), *([] if one else [(b, near.sum(axis=0))])]
+        ids, n = np.concatenate([x[2].view(np.int64) for x, _ in found]), np.concatenate([n for _, n in found])
+        return [ids[n > 0], n[n > 0]]
+
+    def link(_, a, b, one):
+        near = _near(a, b, one, eps_spatial, eps_seconds)
+        ids = np.r_[a[2], b[2]].view(np.int64)
+        left, right = np.arange(len(a[0])), np.arange(len(b[0])) + (0 if one else len(a[0]))
+        while True:
+            new_left = np.minimum(left, np.where(near, right, len(ids)).min(axis=1))
+            new_right = np.minimum(right, np.where(near, new_left[:, None], len(ids)).min(axis=0))
+            if one:
+                new_left = new_right = np.minimum(new_left, new_right)
+            if (new_left == left).all() and (new_right == right).all():
+                break
+            left, right = new_left, new_right
+        label = left if one else np.r_[left, right]
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        return [ids[moved], ids[label[moved]]]
+
+    def border(_, a, b, one):
+        near = _near(a, b, one, eps_spatial, eps_seconds)
+        out = []
+        for x, y, by in ((a, b, near), *([] if one else [(b, a, near.T)])):
+            own, other = x[3].view(np.int64), y[3].view(np.int64)
+            at, cores = np.flatnonzero(own < 0), np.flatnonzero(other >= 0)
+            if len(at) and len(cores):
+                least = np.where(by[np.ix_(at, cores)], other[cores], 2**62).min(axis=1)
+                out.append((x[2].view(np.int64)[at[least < 2**62]], least[least < 2**62]))
+        return [np.concatenate(c) for c in zip(*out, strict=True)] if out else []
+
     points = events.select(F.col("event_id").alias("id"), "x", "y", (F.unix_micros(F.col("datetime").cast("timestamp")) / 1e6).alias("ts"))
-    known = points.where("x IS NOT NULL AND y IS NOT NULL AND ts IS NOT NULL")
-    pairs = checkpointed(band_join(known, known, eps_spatial, eps_seconds).where("a <> b").select("a", "b"))
-    core = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(F.col("a").alias("core"))
-    from_core = pairs.join(core, pairs["a"] == core["core"], "left_semi")
-    inside = from_core.join(core.withColumnRenamed("core", "b"), "b", "left_semi").select("a", "b")
-    parts = connected_components(inside)
-    rooted = core.join(parts, F.col("core") == F.col("node"), "left").select("core", F.coalesce("root", "core").alias("root"))
+    known = points.where("x IS NOT NULL AND y IS NOT NULL AND ts IS NOT NULL AND id IS NOT NULL")
+    counts = block_pairs(known, eps_spatial, (), ("id",), count, "id long, n long", eps_seconds)
+    core = saved(counts.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("id"), "core")
+    links = block_pairs(known.join(core, "id", "left_semi"), eps_spatial, (), ("id",), link, "a long, b long", eps_seconds)
+    parts = connected_components(links)
+    rooted = core.join(parts, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
     roots = rooted.select("root").distinct()
     # One row a cluster: far fewer than events; numbered in the order of their smallest event.
-    numbers = roots.withColumn("cluster", (F.row_number().over(Window.orderBy("root")) - 1).cast("int"))
-    labelled = checkpointed(rooted.join(numbers, "root").select("core", "cluster"))
-    border = from_core.join(labelled, F.col("a") == F.col("core")).groupBy(F.col("b").alias("id")).agg(F.min("cluster").alias("near"))
-    out = points.join(labelled.withColumnRenamed("core", "id"), "id", "left").join(border, "id", "left")
+    numbers = roots.withColumn("cluster", (F.row_number().over(Window.orderBy("root")) - 1).cast("long"))
+    labelled = saved(rooted.join(numbers, "root").select("id", "cluster"), "labelled")
+    marked = known.join(labelled, "id", "left").withColumn("own", F.coalesce("cluster", F.lit(-1)))
+    reached = block_pairs(marked, eps_spatial, (), ("id", "own"), border, "id long, near long", eps_seconds).groupBy("id").agg(F.min("near").alias("near"))
+    out = points.join(labelled, "id", "left").join(reached, "id", "left")
     return out.select(F.col("id").alias("event_id"), F.coalesce("cluster", "near", F.lit(-1)).cast("int").alias("cluster"))
 
 

@@ -1,22 +1,42 @@
-"""Cutting the lineage of iterative plans by reliable checkpoints."""
+"""Cutting the lineage of iterative plans by tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df as a reliable checkpoint in the folder of spark.checkpoint.dir; only in local mode a temporary folder stands in."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        path = context.getConf().get("spark.checkpoint.dir")
-        if not path and not context.master.startswith("local"):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only in local mode a temporary folder stands in where it is unset."""
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="cellwise-"))
-    return df.checkpoint()
+        path = tempfile.mkdtemp(prefix="cellwise-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df written as a table in the shared folder and read again: cuts the lineage, survives lost executors."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Removes the files of a table made by saved, which nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -24,7 +44,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds: the edges never outgrow the input, and a chain of n halves with each round.
     """
-    now = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    now = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
     while True:
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -36,5 +56,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        now = checkpointed(small)
+        now, old = saved(small, "edges"), now
+        dropped(old)
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))

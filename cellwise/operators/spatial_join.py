@@ -1,9 +1,20 @@
-"""Joins of points by distance, and by distance and time, through buckets of the join's own size."""
+"""Joins of points by distance, and by distance and time, through buckets of the join's own size.
+
+band_join gives the pairs as rows. Where only sums over pairs are wanted, block_pairs hands whole blocks of points to a function
+instead, so that no pair becomes a row.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cellwise.operators.lineage import saved
 
 
 def band_join(left: DataFrame, right: DataFrame, radius: float, seconds: float | None = None) -> DataFrame:
@@ -24,3 +35,92 @@ def band_join(left: DataFrame, right: DataFrame, radius: float, seconds: float |
     if timed:
         joined = joined.where(F.abs(F.col("t1") - F.col("t2")) <= seconds)
     return joined.select("a", "b", "dist")
+
+
+#: Points of a block, blocks of a bucket that one task pairs with its neighbours', and points that a bucket should have on average.
+BLOCK, SPLIT, FILL = 1024, 8, 64
+
+
+def _scale(points: DataFrame, radius: float, seconds: float | None) -> int:
+    """How many times the radius (and seconds) a bucket measures: more than one where the points are too sparse to fill blocks."""
+    n, wx, wy, wt = points.agg(F.count("*"), *[F.max(c) - F.min(c) for c in ("x", "y", "ts" if seconds else "x")]).first()
+    buckets = max(1.0, (wx or 0) / radius) * max(1.0, (wy or 0) / radius) * (max(1.0, (wt or 0) / seconds) if seconds else 1)
+    return max(1, min(16, round((FILL * buckets / max(n, 1)) ** (1 / (3 if seconds else 2)))))
+
+
+def block_pairs(points: DataFrame, radius: float, keys: tuple[str, ...], values: tuple[str, ...], f: Callable, schema: str, seconds: float | None = None) -> DataFrame:
+    """f's rows for all pairs of blocks of points that may be within radius (and seconds, by ts) of each other.
+
+    points have keys (pairs have equal ones), x, y, values (longs) and, with seconds, ts. Buckets measure the radius or more; each pair of neighbouring ones is met once. A bucket's points are cut into blocks of BLOCK, and a large
+    bucket's blocks are dealt over many tasks. f gets the key values, two matrices (a row each for x, y, the values' bits, then
+    ts) as float64 and whether both are one block; it gives an array for each column of schema, or nothing.
+    """
+    timed = seconds is not None
+    names = ["x", "y", *values, *(["ts"] if timed else [])]
+    wide = _scale(points, radius, seconds)
+    radius, seconds = radius * wide, seconds * wide if timed else None
+    cell = [F.floor(F.col("x") / radius).alias("bx"), F.floor(F.col("y") / radius).alias("by"), (F.floor(F.col("ts") / seconds) if timed else F.lit(0).cast("long")).alias("bt")]
+    own = points.select(*keys, *cell, *[F.col(c).cast("long" if c in values else "double").alias(c) for c in names])
+    where = [*keys, "bx", "by", "bt"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of the rows that come sorted by bucket, each a row with the block's number in its bucket."""
+        held, number, last = None, 0, None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            place = [table.column(c).to_numpy(zero_copy_only=False) for c in where]
+            new = np.ones(table.num_rows, bool)
+            new[1:] = np.any([p[1:] != p[:-1] for p in place], axis=0)
+            heads = [*np.flatnonzero(new).tolist(), table.num_rows]
+            held = table.slice(heads[-2])
+            if held.num_rows < 2 * BLOCK:
+                heads.pop()
+            out = [made for a, b in zip(heads[:-1], heads[1:], strict=True) for made in blocks(table.slice(a, b - a))]
+            if held.num_rows >= 2 * BLOCK:
+                held = None
+            if out:
+                yield pa.RecordBatch.from_pylist(out, form)
+        if held is not None and held.num_rows:
+            yield pa.RecordBatch.from_pylist([made for made in blocks(held)], form)
+
+    count: dict = {}
+
+    def blocks(rows: pa.Table) -> Iterator[dict]:
+        at = {c: rows.column(c)[0].as_py() for c in where}
+        bucket = tuple(at.values())
+        data = np.stack([rows.column(c).to_numpy(zero_copy_only=False).view(np.float64) for c in names])
+        if count.get("bucket") != bucket:
+            count.update(bucket=bucket, n=0)
+        for k in range(0, data.shape[1], BLOCK):
+            yield at | {"number": count["n"], "data": np.ascontiguousarray(data[:, k : k + BLOCK]).tobytes()}
+            count["n"] += 1
+
+    kinds = T.StructType([*own.select(*where).schema.fields, T.StructField("number", T.IntegerType()), T.StructField("data", T.BinaryType())])
+    form = pa.schema([pa.field(field.name, {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}[field.dataType.simpleString()]) for field in kinds.fields])
+    made = saved(own.repartition(*where).sortWithinPartitions(*where).mapInArrow(cut, kinds), "blocks")
+    parts = made.groupBy(*where).agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts"))
+    ahead = [(dx, dy, dt) for dx in (0, 1) for dy in (-1, 0, 1) for dt in ((-1, 0, 1) if timed else (0,)) if (dx, dy, dt) >= (0, 0, 0)]
+    steps = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("xyt", s, strict=True)]) for s in ahead])).alias("s")
+    moved = made.select(*keys, "bx", "by", "bt", F.col("number").alias("number2"), F.col("data").alias("data2"), steps)
+    moved = moved.select(*keys, *[(F.col(f"b{c}") - F.col(f"s.{c}")).alias(f"b{c}") for c in "xyt"], "number2", "data2", (F.expr("s.x = 0 AND s.y = 0 AND s.t = 0")).alias("same"))
+    moved = moved.join(parts, where).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left = made.join(parts, where).withColumn("part", F.col("number") % F.col("parts")).select(*where, "part", "number", "data")
+    # Little data but much work: dealt to a fixed number of tasks, lest adaptive execution put it all into one.
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, moved = (side.repartition(n, *where, "part") for side in (left, moved))
+    both = left.join(moved, [*where, "part"]).where("NOT same OR number <= number2").select(*keys, "data", "data2", (F.expr("same AND number = number2")).alias("one"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = (np.frombuffer(d, np.float64).reshape(len(names), -1) for d in row[len(keys) : len(keys) + 2])
+                if len(more := f(row[: len(keys)], a, b, row[-1])):
+                    found.append(more)
+            columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[]] * len(made_of)
+            yield pa.RecordBatch.from_arrays([pa.array(c, field.type) for c, field in zip(columns, made_of, strict=True)], schema=made_of)
+
+    kind = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
+    out = T.StructType.fromDDL(schema)
+    made_of = pa.schema([pa.field(field.name, kind[field.dataType.simpleString()]) for field in out.fields])
+    return both.mapInArrow(run, out)

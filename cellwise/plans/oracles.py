@@ -56,6 +56,20 @@ TABLES = {
     "le": (_near("ce", "count", False), ("ce",)),
     "ge": (_gi("ce", "ne"), ("ce", "ne")),
     "go": ("SELECT * EXCLUDE (gi_z), gi_z, round(gi_z, 9) AS z9 FROM (" + _gi("co", "no") + ")", ("co", "no")),
+    # Clusters: neighbours within 500 m and a day, cores of 8 or more, components by closure, borders to the smallest.
+    "cl_np": (
+        """SELECT a.event_id AS a, b.event_id AS b FROM (SELECT *, CAST(floor(x / 500) AS INTEGER) AS gx, CAST(floor(y / 500) AS INTEGER) AS gy FROM pe) a
+JOIN (SELECT *, CAST(floor(x / 500) AS INTEGER) + i AS gx, CAST(floor(y / 500) AS INTEGER) + j AS gy FROM pe, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)) b USING (gx, gy)
+WHERE a.event_id <> b.event_id AND sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= 500 AND abs(epoch_us(a.datetime) - epoch_us(b.datetime)) <= 86400000000""",
+        ("pe",),
+    ),
+    "cl_kc": ("SELECT a AS id FROM cl_np GROUP BY 1 HAVING count(*) >= 8", ("cl_np",)),
+    "cl_rc": ("SELECT id AS a, id AS b FROM cl_kc UNION SELECT cl_rc.a, cl_np.b FROM cl_rc JOIN cl_np ON cl_np.a = cl_rc.b WHERE cl_np.b IN (SELECT id FROM cl_kc)", ("cl_np", "cl_kc")),
+    "cl_lc": ("SELECT a AS id, CAST(dense_rank() OVER (ORDER BY root) - 1 AS INTEGER) AS cluster FROM (SELECT a, min(b) AS root FROM cl_rc GROUP BY 1)", ("cl_rc",)),
+    "cl_sc": (
+        "SELECT event_id, coalesce(cl_lc.cluster, near.cluster, -1) AS cluster FROM pe LEFT JOIN cl_lc ON cl_lc.id = event_id LEFT JOIN (SELECT cl_np.b, min(cluster) AS cluster FROM cl_np JOIN cl_lc ON cl_lc.id = cl_np.a GROUP BY 1) near ON near.b = event_id",
+        ("pe", "cl_np", "cl_lc"),
+    ),
     "mk": (_kendall("co", "count"), ("co",)),
     "mg": (_kendall("go", "z9"), ("go",)),
     "sg": (f"SELECT *, z9 > {Z} AS hot, z9 < -{Z} AS cold, (SELECT max(t) FROM go) AS last FROM go", ("go",)),
@@ -125,7 +139,8 @@ def _sql(body: str, *names: str) -> str:
     if not order:
         return body
     # Materialised where used more than once, so that the engine makes a cube once.
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({TABLES[n][0]})" for n in order) + "\n" + body
+    recursive = "RECURSIVE " if "cl_rc" in order else ""
+    return f"WITH {recursive}" + ",\n".join(f"{n}{' ' if n == 'cl_rc' else ' AS MATERIALIZED '}{'AS ' if n == 'cl_rc' else ''}({TABLES[n][0]})" for n in order) + "\n" + body
 
 
 def _r(expression: str, name: str | None = None, places: int = 6) -> str:
@@ -221,7 +236,11 @@ WHERE a.event_id <> b.event_id AND sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2
         "pe",
     ),
     "cluster_summary": _sql(
-        f"SELECT flat_idx AS cluster, count(*) AS n_events, strftime(min(datetime), '%Y-%m-%d') AS start_date, strftime(max(datetime), '%Y-%m-%d') AS end_date, {_r('avg(x)', 'centroid_x', 4)}, {_r('avg(y)', 'centroid_y', 4)}, CAST(floor(epoch(max(datetime) - min(datetime)) / 86400) AS INTEGER) AS duration_days FROM be WHERE flat_idx < 50 GROUP BY 1", "be"
+        f"SELECT flat_idx AS cluster, count(*) AS n_events, strftime(min(datetime), '%Y-%m-%d') AS start_date, strftime(max(datetime), '%Y-%m-%d') AS end_date, {_r('avg(x)', 'centroid_x', 4)}, {_r('avg(y)', 'centroid_y', 4)}, CAST(floor(epoch(max(datetime) - min(datetime)) / 86400) AS INTEGER) AS duration_days FROM be GROUP BY 1 HAVING count(*) >= 8", "be"
+    ),
+    "stdbscan": _sql("SELECT event_id, cluster FROM cl_sc", "cl_sc"),
+    "stdbscan_summary": _sql(
+        f"SELECT cluster, count(*) AS n_events, strftime(min(datetime), '%Y-%m-%d') AS start_date, strftime(max(datetime), '%Y-%m-%d') AS end_date, {_r('avg(x) + 1e-7', 'centroid_x', 4)}, {_r('avg(y) + 1e-7', 'centroid_y', 4)}, CAST(floor(epoch(max(datetime) - min(datetime)) / 86400) AS INTEGER) AS duration_days FROM cl_sc JOIN pe USING (event_id) WHERE cluster >= 0 GROUP BY 1", "cl_sc"
     ),
     "mean_forecast": _sql(f"SELECT flat_idx, {KEYS}, {_r('yhat')}, {_r('lower')}, {_r('upper')} FROM mo", "mo"),
     "forecast_route": _sql(f"SELECT *, CASE WHEN total = 0 THEN 'zero' WHEN nonzero >= 8 AND n >= 12 THEN 'arima' WHEN nonzero >= 3 THEN 'ses' ELSE 'mean' END AS model FROM (SELECT flat_idx, {KEYS}, sum(count) AS total, count(*) FILTER (WHERE count > 0) AS nonzero, count(*) AS n FROM co WHERE t < 60 GROUP BY ALL)".replace("SELECT *,", f"SELECT flat_idx, {KEYS}, total, nonzero,"), "co"),

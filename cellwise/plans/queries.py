@@ -295,14 +295,18 @@ def stdbscan(spark, sf):
 
 @query
 def cluster_summary(spark, sf):
-    """Cells with many events stand for clusters."""
-    rows = GRID.assign(event_points(spark, sf)).withColumn("cluster", F.when(F.col("flat_idx") < 50, F.col("flat_idx")).otherwise(-1))
+    """Cells stand for clusters; events of cells with fewer than 8 are noise."""
+    rows = GRID.assign(event_points(spark, sf))
+    many = rows.groupBy("flat_idx").agg(F.count("*").alias("n"))
+    rows = rows.join(many, "flat_idx").withColumn("cluster", F.when(F.col("n") >= 8, F.col("flat_idx")).otherwise(-1))
     return rounded(cluster.cluster_summary(rows), 4)
 
 
 @query
 def stdbscan_summary(spark, sf):
-    return rounded(cluster.cluster_summary(cluster.fit_transform(event_points(spark, sf), eps_spatial=500.0, eps_seconds=86400.0, min_samples=8)), 4)
+    found = cluster.cluster_summary(cluster.fit_transform(event_points(spark, sf), eps_spatial=500.0, eps_seconds=86400.0, min_samples=8))
+    # Means that end in a five after the last place must round alike everywhere.
+    return rounded(found.withColumns({c: F.col(c) + 1e-7 for c in ("centroid_x", "centroid_y")}), 4)
 
 
 @query
