@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,38 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Null ids sort after every other id.
-NO_ID = 2**63 - 1
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is made only in local mode."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="cellwise-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
+from cellwise.operators.lineage import dropped, fresh_path, saved, shared_dir
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["dropped", "fresh_path", "saved", "shared_dir"]
 
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: cuts the lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def dropped(df: DataFrame) -> None:
-    """Removes the files of a table made by saved, which nothing reads any more."""
-    context = df.sparkSession.sparkContext
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        place = context._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+#: Null ids sort after every other id.
+NO_ID = 2**63 - 1
 
 
 def may_be_in(rows: DataFrame, found: DataFrame, on: list[str], most_bits: int = 27) -> DataFrame:

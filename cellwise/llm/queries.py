@@ -103,5 +103,40 @@ SELECT conv_id,
   CAST(sum(CASE WHEN made THEN upto ELSE 0 END) AS BIGINT) AS formatted_chars,
   CAST(sum(CASE WHEN made THEN 1 ELSE 0 END) AS BIGINT) AS n_examples
 FROM e GROUP BY conv_id
+""",
+    "op1_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS own FROM documents),
+p AS (SELECT doc_id, unnest(own) AS word, unnest(range(len(own))) AS k FROM w),
+s AS (SELECT doc_id, k, sha256(array_to_string(own[k + 1 : k + 50], ' ')) AS h FROM (SELECT doc_id, own, unnest(range(len(own) - 49)) AS k FROM w WHERE len(own) >= 50)),
+g AS (SELECT DISTINCT s.doc_id, s.k FROM s JOIN (SELECT h, min(doc_id) AS least FROM s GROUP BY h HAVING count(*) > 1) f USING (h) WHERE s.doc_id > f.least),
+m AS (SELECT p.doc_id, p.k, p.word, max(g.k) OVER (PARTITION BY p.doc_id ORDER BY p.k) >= p.k - 49 AS gone FROM p LEFT JOIN g USING (doc_id, k)),
+c AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY k) FILTER (WHERE gone IS NOT TRUE) AS kept FROM m GROUP BY doc_id)
+SELECT w.doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN c ON c.doc_id = w.doc_id
+""",
+    "op3_warc": r"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS least FROM p WHERE n >= 100 GROUP BY d),
+u AS (SELECT page_id, regexp_replace(coalesce(url, ''), '#.*$', '') AS bare FROM p)
+SELECT p.page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN least < p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN least < p.page_id THEN least END AS refers_to,
+  array_to_string(list_reverse(string_split(regexp_replace(lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?]*)', 1)), ':[0-9]*$', ''), '.')), ',')
+    || ')' || regexp_replace(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*', '') AS url_key
+FROM p JOIN u USING (page_id) LEFT JOIN f ON f.d = p.d
+""",
+    "op8_decontamination": r"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS own FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS own FROM documents),
+i AS (SELECT DISTINCT item_id, n, array_to_string(own[k + 1 : k + n], ' ') AS w FROM (SELECT item_id, own, least(len(own), 10) AS n, unnest(range(greatest(len(own) - 9, 1))) AS k FROM b WHERE len(own) > 0)),
+s AS (SELECT doc_id, n, k, array_to_string(own[k + 1 : k + n], ' ') AS w FROM (SELECT doc_id, own, n, unnest(range(len(own) - n + 1)) AS k FROM d, (SELECT DISTINCT n FROM i) WHERE len(own) >= n)),
+h AS (SELECT s.doc_id, s.k, s.n, i.item_id FROM s JOIN i ON i.n = s.n AND i.w = s.w),
+x AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM h) GROUP BY doc_id),
+y AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS items FROM h GROUP BY doc_id),
+r AS (SELECT doc_id, item_id, k, n, k - row_number() OVER (PARTITION BY doc_id, item_id, j - k ORDER BY k) AS run, j - k AS shift FROM (SELECT h.doc_id, h.item_id, h.k, h.n, b.j FROM h JOIN (SELECT item_id, least(len(own), 10) AS n, j, array_to_string(own[j + 1 : j + least(len(own), 10)], ' ') AS w FROM (SELECT item_id, own, unnest(range(greatest(len(own) - 9, 1))) AS j FROM b WHERE len(own) > 0)) b ON b.item_id = h.item_id JOIN s ON s.doc_id = h.doc_id AND s.k = h.k AND s.n = h.n AND s.w = b.w)),
+l AS (SELECT doc_id, max(m) AS longest FROM (SELECT doc_id, count(*) - 1 + max(n) AS m FROM r GROUP BY doc_id, item_id, shift, run) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.own) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest_match
+FROM d LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id) LEFT JOIN l USING (doc_id)
 """,
 }

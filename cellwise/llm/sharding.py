@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from cellwise.llm.common import fresh_path
+
 #: Virtual slots; the slot map has as many entries.
 SLOTS = 8192
 #: Bytes that a record takes besides its text.
@@ -41,7 +43,11 @@ class SlotMap:
         return SlotMap(1, shards, tuple(shard_of))
 
     def grown(self, slot_bytes: dict[int, int]) -> SlotMap:
-        """One more shard: each old shard hands slots to it until the new one has its share; no other slot moves."""
+        """One more shard: each old shard hands slots to it until the new one has its share; no other slot moves.
+
+        A shard gives a slot only if it keeps its share and the new one gets no more than its own; where a few slots hold
+        most bytes, the new shard stays that much smaller.
+        """
         new = self.shards
         shard_of, load = list(self.shard_of), [0] * (new + 1)
         held: dict[int, list[tuple[int, int]]] = {}
@@ -70,8 +76,13 @@ class SlotMap:
         return SlotMap(row["version"], row["shards"], tuple(row["shard_of"]))
 
     def column(self, slot: Column) -> Column:
-        """The shard of a slot: a look-up in a constant array, no join."""
-        return F.element_at(F.split(F.lit(",".join(map(str, self.shard_of))), ",").cast("array<int>"), slot.cast("int") + 1)
+        """The shard of a slot."""
+        return looked_up(self.shard_of, slot).cast("int")
+
+
+def looked_up(values: list[int] | tuple[int, ...], slot: Column) -> Column:
+    """A slot's value in a constant array of SLOTS numbers: no join."""
+    return F.element_at(F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>"), slot.cast("int") + 1)
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -89,38 +100,43 @@ def sized(docs: DataFrame) -> DataFrame:
     )
 
 
-def slot_bytes(rows: DataFrame) -> dict[int, int]:
-    """Bytes of each virtual slot: at most SLOTS numbers reach the driver."""
-    return {r["vslot"]: r["bytes"] for r in rows.groupBy("vslot").agg(F.sum("size").alias("bytes")).collect()}
+def slot_totals(rows: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
+    """Bytes and rows of each virtual slot, in one aggregate: at most SLOTS rows reach the driver."""
+    found = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
+    return {r["vslot"]: r["bytes"] for r in found}, {r["vslot"]: r["n"] for r in found}
 
 
-def assign(rows: DataFrame, slot_map: SlotMap) -> DataFrame:
-    """Adds shard and slot, the gapless place of a row in its shard.
+def assign(rows: DataFrame, slot_map: SlotMap, counts: dict[int, int]) -> DataFrame:
+    """Adds shard and slot, the gapless place of a row in its shard; counts: rows of each virtual slot.
 
     A row's place is the number of rows in its shard's earlier virtual slots plus its place in its own, so no task
     ever holds a shard: the widest window is one virtual slot.
     """
-    rows = rows.withColumn("shard", slot_map.column(F.col("vslot")))
-    counts = rows.groupBy("shard", "vslot").agg(F.count("*").alias("n"))  # SLOTS rows at most
-    before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("vslot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    place = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
-    return (
-        rows.withColumn("place", F.row_number().over(place))
-        .join(F.broadcast(first), "vslot")
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("place") - 1).cast("long").alias("slot"), "vslot")
-    )
+    first, before = [], [0] * slot_map.shards
+    for vslot, shard in enumerate(slot_map.shard_of):
+        first.append(before[shard])
+        before[shard] += counts.get(vslot, 0)
+    place = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
+    slot = looked_up(first, F.col("vslot")) + place - 1
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), slot_map.column(F.col("vslot")).alias("shard"), slot.cast("long").alias("slot"), "vslot")
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, folder: str | None = None) -> DataFrame:
     """docs put into shards of near equal bytes.
 
     Each row of docs gives one row: doc_id, size, text_crc32, law, shard, slot, grown_shard (null: under this law the
-    map, not the id, decides), vslot. Null ids and repeated rows are rows like any other; an empty table gives
-    an empty result; further columns of docs are ignored. folder: where the slot map's version is kept.
+    map, not the id, decides), vslot, and rebalanced_shard: the shard in the map's next version, edited for one more
+    shard. Both versions are stored in folder (a new one in the shared folder if none is given), and the rows are assigned
+    from what is read back. Null ids and repeated rows are rows like any other; a very long text is only measured and hashed;
+    an empty table gives an empty result; further columns of docs are ignored.
     """
+    spark = docs.sparkSession
+    folder = folder or fresh_path(spark, "slots")
     rows = sized(docs)
-    slot_map = SlotMap.balanced(slot_bytes(rows), shards)
-    if folder:
-        slot_map.save(docs.sparkSession, folder)
-    return assign(rows, slot_map).withColumn("grown_shard", F.lit(None).cast("int"))
+    sizes, counts = slot_totals(rows)
+    SlotMap.balanced(sizes, shards).save(spark, folder)
+    now = SlotMap.load(spark, folder, 1)
+    now.grown(sizes).save(spark, folder)
+    grown = SlotMap.load(spark, folder, now.version + 1)
+    out = assign(rows, now, counts)
+    return out.withColumn("grown_shard", F.lit(None).cast("int")).withColumn("rebalanced_shard", grown.column(F.col("vslot")))

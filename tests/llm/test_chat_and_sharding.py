@@ -55,7 +55,7 @@ def test_shards(spark, odd_docs, rows_of, no_docs):
 
 def test_balance_growth_and_versions(spark, sf_dir):
     rows = sharding.sized(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    sizes = sharding.slot_bytes(rows)
+    sizes, _ = sharding.slot_totals(rows)
     first = sharding.SlotMap.balanced(sizes, 8)
     load = [sum(n for s, n in sizes.items() if first.shard_of[s] == k) for k in range(8)]
     assert max(load) - min(load) <= max(sizes.values())
@@ -66,3 +66,12 @@ def test_balance_growth_and_versions(spark, sf_dir):
     first.save(spark, folder)
     second.save(spark, folder)
     assert sharding.SlotMap.load(spark, folder, 1) == first and sharding.SlotMap.load(spark, folder, 2) == second
+
+
+def test_query_stores_both_versions_of_its_map(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = fresh_path(spark, "slots")
+    rows = sharding.shard_documents(docs, 8, folder).collect()
+    first, second = (sharding.SlotMap.load(spark, folder, v) for v in (1, 2))
+    assert all(r.shard == first.shard_of[r.vslot] and r.rebalanced_shard == second.shard_of[r.vslot] for r in rows)
+    assert {r.rebalanced_shard for r in rows if r.rebalanced_shard != r.shard} == {8}

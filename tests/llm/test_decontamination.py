@@ -62,3 +62,13 @@ def test_suffix_array_order():
     keys = [tuple(codes[p : min(p + 10, ends[p])].tolist()) for p in order]
     cut = [k[: k.index(0)] if 0 in k else k for k in keys]
     assert all(a[: min(len(a), len(b))] <= b[: min(len(a), len(b))] for a, b in zip(cut[:-1], cut[1:], strict=True))
+
+
+def test_words_of_two_letters_in_thue_morse_order(spark):
+    """Powers of a number modulo 2**64 have equal sums over such a word and its complement."""
+    one, two = ("".join(x[k.bit_count() & 1] for k in range(2048)) for x in ("ab", "ba"))
+    rows = [(i, f"a b c d {w} e f g h i j k") for i, w in ((1, one), (2, two))]
+    found = decontamination.mark(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, f"d {one} e f g h i j k l m")], "item_id long, text string"))
+    assert sorted((r.doc_id, r.n_hit) for r in found.collect()) == [(1, 0), (2, 0)]
+    found = decontamination.mark(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, f"c d {one} e f g h i j k")], "item_id long, text string"))
+    assert sorted((r.doc_id, r.n_hit) for r in found.collect()) == [(1, 10), (2, 0)]

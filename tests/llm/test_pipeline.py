@@ -1,4 +1,4 @@
-import re
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -15,8 +15,9 @@ def test_stages_against_brute_force(spark, sf_dir, odd_docs):
     stages = dict(corpus_pipeline.STAGES)
     rows = lambda df: [(r.doc_id, r.text) for r in df.collect()]
     known = stages["language_id"](spark, docs, sf_dir).persist()
-    letter = re.compile(r"[^\W\d_]")
-    assert Counter(rows(known)) == Counter((i, t) for i, t in rows(docs) if letter.search(t or ""))
+    scored = language_id.predict(docs, language_id.train(docs), keep=["doc_id", "text"]).collect()
+    assert Counter(rows(known)) == Counter((r.doc_id, r.text) for r in scored if r.lang_pred != "und" and r.score >= 0.25)
+    assert not any(i in (900, 901, 902, 903, 909) for i, _ in rows(known)) and any(i == 904 for i, _ in rows(known))
     single = stages["simhash"](spark, known, sf_dir).persist()
     assert single.columns == docs.columns
     assert held_against(list(dict.fromkeys(rows(known))), [2**63 - 1 if i is None else i for i, _ in rows(single)]) <= 1
@@ -34,6 +35,16 @@ def test_stages_against_brute_force(spark, sf_dir, odd_docs):
     assert rows(last) == rows(clean)
 
 
+def test_letters_at_random_go_and_clean_documents_stay(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL")
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(2, 10)))
+    junk = spark.createDataFrame([(10**6 + k, " ".join(word() for _ in range(100))) for k in range(20)], "doc_id long, text string")
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    kept = {r.doc_id for r in stage(spark, docs.unionByName(junk, allowMissingColumns=True), sf_dir).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.where("rlike(text, '[A-Za-z]')").select("doc_id").collect()}
+
+
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert 0 < out.count() <= spark.read.parquet(f"{sf_dir}/documents.parquet").count()
