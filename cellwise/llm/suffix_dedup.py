@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellwise.llm.common import buffers, chunked, ints, joined_by_key, mix64, order_id, placed, rolling, saved, spread_ranges, text_key
-from cellwise.llm.windows import Plan, anchor_runs, broadcast, covered, in_round, merged_sketch, runs
+from cellwise.llm.windows import Plan, anchor_runs, broadcast, in_round, merged, merged_sketch, runs
 
 GRAM = 18
 BASE = 0xD1342543DE82EF95
 CHUNK, BLOCK = 6 << 20, 1 << 19
-#: A bucket estimated to hold more anchors is dealt out by where in a window the anchor stands, APART places together;
-#: one of more than HOT (some 50 MB of text) window by window. Equal windows stay together in any case.
-WARM, HOT, APART = 3_000, 400_000, 8
+#: A bucket estimated to hold more anchors (some 50 MB of text), or more than a SHARE-th of all and LEAST_HOT, is dealt out window by
+#: window instead of whole.
+HOT, SHARE, LEAST_HOT = 400_000, 5_000, 10_000
 
 
 def _blocks(data: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -39,7 +39,7 @@ def _blocks(data: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _found(part: pa.Table, plan: Plan, turn: int, sketch=None):
-    """Runs of windows by anchor: start, count, row, gram, level and anchor's place; with a sketch, only those that may repeat."""
+    """Runs of windows by anchor: start, count, row, gram and level; with a sketch, only those that may repeat."""
     data, rows = buffers(part.column("_text"))
     out = []
     for a, b in _blocks(data, rows):
@@ -52,8 +52,8 @@ def _found(part: pa.Table, plan: Plan, turn: int, sketch=None):
         if sketch is not None:
             own = np.flatnonzero(may)
             may[own], level[own] = sketch.repeated(gram[own])
-        out.append((start[may] + rows[a], count[may], row[may] + a, gram[may], level[may], at[may] + rows[a]))
-    return data, rows, [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 6
+        out.append((start[may] + rows[a], count[may], row[may] + a, gram[may], level[may]))
+    return data, rows, [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
 
 
 def _grams(part: pa.Table, plan: Plan, turn: int) -> np.ndarray:
@@ -115,20 +115,14 @@ def _batch(route, ids, keys, place, n, data, offsets) -> pa.RecordBatch:
 
 def _emit(part: pa.Table, plan: Plan, turn: int, sketch) -> Iterator[pa.RecordBatch]:
     """Runs that may repeat, with their bytes; those equal to a smaller document's of this part are settled here."""
-    data, rows, (start, count, row, gram, level, at) = _found(part, plan, turn, sketch)
-    warm, hot = level == 1, level == 2
-    if level.any():
+    data, rows, (start, count, row, gram, level) = _found(part, plan, turn, sketch)
+    hot = level > 0
+    if hot.any():
         single = spread_ranges(start[hot], count[hot])
-        # Of a warm run the windows with the anchor at places b * APART .. (b + 1) * APART - 1 of the window, for each b.
-        far, near = at[warm] - start[warm], at[warm] - start[warm] - count[warm] + 1
-        pieces = far // APART - near // APART + 1
-        block = np.repeat(far // APART, pieces) - spread_ranges(np.zeros(len(pieces), np.int64), pieces)
-        lead, first, last = (np.repeat(x[warm], pieces) for x in (at, start, start + count - 1))
-        first, last = np.maximum(first, lead - block * APART - APART + 1), np.minimum(last, lead - block * APART)
-        cool = level == 0
-        gram = np.r_[gram[cool], mix64(np.repeat(gram[warm], pieces) ^ (block + 1).astype(np.uint64)), _hashes(data, single, np.full(len(single), plan.window))[0]]
-        row = np.r_[row[cool], np.repeat(row[warm], pieces), np.repeat(row[hot], count[hot])]
-        start, count = np.r_[start[cool], first, single], np.r_[count[cool], last - first + 1, np.ones(len(single), np.int64)]
+        of = np.repeat(row[hot], count[hot])
+        start, row = np.r_[start[~hot], single], np.r_[row[~hot], of]
+        gram = np.r_[gram[~hot], _hashes(data, single, np.full(len(single), plan.window))[0]]
+        count = np.r_[count[~hot], np.ones(len(single), np.int64)]
     ids, keys = ints(part.column("_id")), ints(part.column("_key"))
     sizes = count + plan.window - 1
     order, _, least = _smallest(ids[row], *_hashes(data, start, sizes), gram)
@@ -246,9 +240,10 @@ def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     plan = Plan.of(size, window, min(GRAM, window))
     parts = partial(chunked, most_bytes=CHUNK)
+    hot = min(HOT, max(LEAST_HOT, size // plan.window // SHARE))
     found = None
     for turn in range(plan.rounds):
-        sketch = broadcast(rows.sparkSession, merged_sketch(rows, partial(_grams, plan=plan, turn=turn), plan, parts, (WARM, HOT)))
+        sketch = broadcast(rows.sparkSession, merged_sketch(rows, partial(_grams, plan=plan, turn=turn), plan, parts, (hot,)))
 
         def emit(batches: Iterator[pa.RecordBatch], turn: int = turn, sketch=sketch) -> Iterator[pa.RecordBatch]:
             for part in parts(batches):
@@ -290,13 +285,13 @@ def deduplicate(docs: DataFrame, window: int = 50, keep: list[str] | None = None
                 total.append(len(own))
                 n = 0
                 if spans:
-                    at = np.array(spans, np.int64)
-                    out = covered(len(own), at >> 32, (at & 0xFFFFFFFF) + window - 1)
-                    if whole_characters:
-                        heads = np.flatnonzero((own & 0xC0) != 0x80)
-                        out = np.repeat(np.logical_and.reduceat(out, heads), np.diff(np.r_[heads, len(own)]))
-                    n = int(out[0]) + int((out[1:] > out[:-1]).sum())
-                    own = own[~out]
+                    starts, ends = merged(np.array(spans, np.int64), window)
+                    if whole_characters:  # a span gives up the bytes of characters that begin before it or end after it
+                        heads = np.append(np.flatnonzero((own & 0xC0) != 0x80), len(own))
+                        starts, ends = heads[np.searchsorted(heads, starts)], heads[np.searchsorted(heads, ends, side="right") - 1]
+                        starts, ends = starts[starts < ends], ends[starts < ends]
+                    n = len(starts)
+                    own = np.concatenate([own[a:b] for a, b in zip(np.r_[0, ends].tolist(), np.r_[starts, len(own)].tolist(), strict=True)])
                 count.append(n)
                 gone.append(total[-1] - len(own))
                 kept.append(own.tobytes())

@@ -195,5 +195,13 @@ def covered(n: int, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
+def merged(spans: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of what spans (start << 32 | number of windows) cover together; what touches is one."""
+    spans = np.sort(spans)
+    starts, ends = spans >> 32, np.maximum.accumulate((spans >> 32) + (spans & 0xFFFFFFFF) + window - 1)
+    new = np.r_[True, starts[1:] > ends[:-1]]
+    return starts[new], ends[np.r_[np.flatnonzero(new)[1:] - 1, len(ends) - 1]]
+
+
 def broadcast(spark: SparkSession, value: object):
     return spark.sparkContext.broadcast(value)

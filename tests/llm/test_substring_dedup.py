@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import numpy as np
@@ -37,9 +38,8 @@ def test_words_against_brute_force(odd_docs, rows_of):
     assert any(gone for _, _, gone, _ in found)
 
 
-@pytest.mark.parametrize("warm, hot", [(suffix_dedup.WARM, suffix_dedup.HOT), (2, suffix_dedup.HOT), (1, 2)])
-def test_bytes_against_brute_force(odd_docs, rows_of, monkeypatch, warm, hot):
-    monkeypatch.setattr(suffix_dedup, "WARM", warm)
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2])
+def test_bytes_against_brute_force(odd_docs, rows_of, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     found = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.deduplicate(odd_docs).collect())
     assert found == brute(rows_of, lambda t: (t or "").encode(), bytes, 50)
@@ -79,6 +79,31 @@ def test_words_of_two_letters_in_thue_morse_order(spark, n):
     against_brute_force(spark, rows)
 
 
+def test_whole_characters_are_those_with_all_bytes_gone(spark):
+    rng = random.Random(4)
+    base = "".join(rng.choice("aéß日🙂 ") for _ in range(400))
+    rows = [(0, base)] + [(k, "x" * (k % 3) + base[k * 7 : k * 7 + 90] + rng.choice("éè日本ab") + base[k : k + 40]) for k in range(1, 30)]
+    bytewise = {r.doc_id: r for r in suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first = {}
+    for i, t in rows:
+        own = t.encode()
+        for k in range(len(own) - 49):
+            first.setdefault(own[k : k + 50], i)
+    for r in suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), whole_characters=True).collect():
+        text = dict(rows)[r.doc_id]
+        own = text.encode()
+        gone = [False] * len(own)
+        for k in range(len(own) - 49):
+            if first[own[k : k + 50]] < r.doc_id:
+                gone[k : k + 50] = [True] * 50
+        kept, at = "", 0
+        for c in text:
+            n = len(c.encode())
+            kept += "" if all(gone[at : at + n]) else c
+            at += n
+        assert bytes(r.kept).decode() == kept and bytewise[r.doc_id].n_removed == sum(gone)
+
+
 def test_whole_characters(spark):
     rows = [(1, "é" * 40), (2, "xé" + "é" * 40), (3, "x" + "é" * 24 + "è")]
     out = suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), whole_characters=True).collect()
