@@ -90,6 +90,11 @@ def cluster_summary(clustered: DataFrame) -> DataFrame:
     return out.select("cluster", "n_events", F.to_date("a").alias("start_date"), F.to_date("b").alias("end_date"), "centroid_x", "centroid_y", days.alias("duration_days"))
 
 
+def largest(summary: DataFrame, k: int = 10) -> DataFrame:
+    """The k clusters with most events: ties by number."""
+    return summary.orderBy(F.desc("n_events"), "cluster").limit(k)
+
+
 def monthly_activity(clustered: DataFrame) -> DataFrame:
     """Events per cluster and month, months between without any included."""
     months = clustered.where("cluster <> -1").groupBy("cluster", F.to_date(F.date_trunc("month", "datetime")).alias("month")).agg(F.count("*").alias("n"))

@@ -47,6 +47,11 @@ def active_cells(cube: DataFrame, min_total: float = 3) -> DataFrame:
     return totals(cube).where(F.col("total") >= min_total)
 
 
+def most_active(cube: DataFrame, k: int = 3, min_total: float = 10) -> DataFrame:
+    """The k active cells with most events: ties by cell."""
+    return active_cells(cube, min_total).orderBy(F.desc("total"), "flat_idx").limit(k)
+
+
 def time_slice(cube: DataFrame, t: int, n_periods: int) -> DataFrame:
     """One period's grid; -1 is the last."""
     return cube.where(F.col("t") == (t if t >= 0 else n_periods + t))

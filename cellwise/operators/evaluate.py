@@ -122,12 +122,20 @@ def confusion(pairs: DataFrame, percentile: float = 80, least_actual: float = 1)
     return out.withColumn("f1", _share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def bundle(pairs: DataFrame, percentile: float = 80) -> DataFrame:
+def bundle(pairs: DataFrame, percentile: float = 80, least_actual: float = 1) -> DataFrame:
     """report, AUC, average precision and the confusion matrix in one row."""
-    parts = [report(pairs, percentile), auc(pairs), average_precision(pairs), confusion(pairs, percentile)]
+    parts = [report(pairs, percentile), auc(pairs, least_actual), average_precision(pairs, least_actual), confusion(pairs, percentile, least_actual)]
     return reduce(lambda a, b: a.join(F.broadcast(b)), parts)
 
 
+FULL = ["pai", "hit_rate", "auc", "f1", "precision", "recall", "rmse", "mae"]
+
+
+def compare_in_full(models: dict[str, DataFrame], percentile: float = 80, least_actual: float = 1) -> DataFrame:
+    """model and eight scores of several scored tables, those of hotspots at a percentile and of the ROC curve among them."""
+    return reduce(DataFrame.unionByName, [bundle(pairs, percentile, least_actual).select(F.lit(name).alias("model"), *FULL) for name, pairs in models.items()])
+
+
 def compare_models(models: dict[str, DataFrame], percentile: float = 80) -> DataFrame:
     """model, hit_rate, pai, pei, rmse, mae, pearson_r of several scored tables: one plan over their union."""
     tagged = [df.select(F.lit(name).alias("model"), "pred", "actual") for name, df in models.items()]

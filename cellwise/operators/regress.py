@@ -255,3 +255,12 @@ def gcv_scores(rows: DataFrame, candidates: int = 12, kind: str = "gaussian", mo
 def gcv_bandwidth(rows: DataFrame, **options) -> DataFrame:
     """The bandwidth with the least score; of equal ones the smallest."""
     return gcv_scores(rows, **options).orderBy("gcv", "bandwidth").limit(1)
+
+
+def describe(fitted: DataFrame) -> DataFrame:
+    """statistic and its value for each local coefficient, yhat and local_r2 of gwr: count, mean, deviation, least, quartiles, greatest."""
+    columns = ["intercept", "temporal_lag", "dist_center", "seasonal_sin", "yhat", "local_r2"]
+    made = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, **{f"{q}%": lambda c, q=q: F.percentile(c, F.lit(q / 100)) for q in (25, 50, 75)}, "max": F.max}
+    one = fitted.agg(*[F.struct(*[f(c).cast("double").alias(c) for c in columns]).alias(name) for name, f in made.items()])
+    rows = F.array(*[F.struct(F.lit(name).alias("statistic"), F.col(f"`{name}`").alias("s")) for name in made])
+    return one.select(F.explode(rows).alias("r")).select("r.statistic", "r.s.*")

@@ -274,6 +274,8 @@ SELECT count(*) FILTER (WHERE h AND a) AS "TP", count(*) FILTER (WHERE h AND NOT
 SELECT round(pred, 9) >= round((SELECT quantile_cont(pred, 0.8) FROM pa), 9) AS h, actual > 20 AS a FROM pa)))""",
         "pa",
     ),
+    "most_active_cells": _sql(f"SELECT flat_idx, {KEYS}, sum(count) AS total, {_r('avg(count)', 'mean')} FROM ce GROUP BY flat_idx, {KEYS} HAVING sum(count) >= 10 ORDER BY total DESC, flat_idx LIMIT 3", "ce"),
+    "forecast_summed": _sql(f"SELECT {KEYS}, {_r('sum(count)', 'count')} FROM co WHERE t >= 60 GROUP BY ALL", "co"),
     "compare_models": _sql(
         f"""SELECT 'Mean' AS model, {', '.join(map(_r, ('hit_rate', 'pai', 'pei', 'rmse', 'mae', 'pearson_r')))} FROM sc, er
 UNION ALL SELECT 'Naive', 1.0, 1.0, 0.0, {_r("(SELECT stddev_pop(actual) FROM pa)", "rmse")}, {_r("(SELECT avg(abs(actual - (SELECT avg(actual) FROM pa))) FROM pa)", "mae")}, 0.0""",
@@ -283,3 +285,13 @@ UNION ALL SELECT 'Naive', 1.0, 1.0, 0.0, {_r("(SELECT stddev_pop(actual) FROM pa
     "geojson_cells": _sql("SELECT flat_idx, CAST(flat_idx AS VARCHAR) AS id, maxx AS first_x FROM cells", "cells"),
     "map_values": _sql("SELECT CAST(flat_idx AS VARCHAR) AS id, sum(count) AS value FROM ce GROUP BY flat_idx", "ce"),
 }
+
+
+def _body(name: str) -> str:
+    """The statement of a query after its table expressions."""
+    return f"({ORACLES[name]})"
+
+
+ORACLES["largest_clusters"] = f"SELECT * FROM {_body('cluster_summary')} ORDER BY n_events DESC, cluster LIMIT 10"
+ORACLES["validation_bundle"] = f"SELECT * FROM {_body('report')}, {_body('auc')}, {_body('average_precision')}, {_body('confusion')}"
+ORACLES["compare_in_full"] = f"SELECT 'Mean' AS model, pai, hit_rate, auc, f1, \"precision\", recall, rmse, mae FROM {_body('report')}, {_body('auc')}, {_body('confusion')}"

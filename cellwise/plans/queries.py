@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellwise.functions import geo
 from cellwise.functions.period import Periods
 from cellwise.operators import cluster, cube, evaluate, explore, forecast, hotspot, neighbors, regress
 from cellwise.operators.spatial_join import band_join
@@ -489,6 +490,55 @@ def compare_models(spark, sf):
     return rounded(evaluate.compare_models({"Mean": pairs, "Naive": evaluate.uniform_baseline(pairs)}))
 
 
+@query
+def validation_bundle(spark, sf):
+    return rounded(evaluate.bundle(_pairs(spark, sf), 80, 20))
+
+
+@query
+def compare_in_full(spark, sf):
+    return rounded(evaluate.compare_in_full({"Mean": _pairs(spark, sf)}, 80, 20))
+
+
+@query
+def most_active_cells(spark, sf):
+    return rounded(cube.most_active(_daily(spark, sf)[0]))
+
+
+@query
+def largest_clusters(spark, sf):
+    return cluster.largest(cluster_summary(spark, sf))
+
+
+@query
+def forecast_summed(spark, sf):
+    """The counts of the test months added up per cell, as the steps of a forecast are."""
+    return rounded(forecast.summed(_monthly(spark, sf)[0].where(F.col("t") >= TRAIN), "count"))
+
+
+@query
+def sar_predict(spark, sf):
+    rows = regress.features(_monthly(spark, sf)[0], GRID)
+    return rounded(regress.predict_sar(regress.fit_sar(rows, GRID, TRAIN), rows.where(F.col("t") >= TRAIN)).select("t", "row", "col", "y", "yhat"))
+
+
+@query
+def sem_predict(spark, sf):
+    rows = regress.features(_monthly(spark, sf)[0], GRID)
+    return rounded(regress.predict(regress.fit_sem(rows, GRID, TRAIN), rows.where(F.col("t") >= TRAIN)).select("t", "row", "col", "y", "yhat"))
+
+
+@query
+def gwr_describe(spark, sf):
+    return rounded(regress.describe(regress.gwr(_gwr_rows(spark, sf), 6000.0)))
+
+
+@query
+def local_to_lonlat(spark, sf):
+    lon, lat = geo.local_to_lonlat(F.col("x"), F.col("y"))
+    return rounded(event_points(spark, sf).select("event_id", lon.alias("longitude"), lat.alias("latitude")))
+
+
 @query
 def geojson_cells(spark, sf):
     return sinks.geojson_features(GRID.cells(spark), GRID).select("flat_idx", F.get_json_object("feature", "$.id").alias("id"), F.get_json_object("feature", "$.geometry.coordinates[0][0][0]").cast("double").alias("first_x"))

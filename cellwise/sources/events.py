@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellwise.functions.geo import utm_forward
@@ -62,7 +62,10 @@ def _loaded(raw: DataFrame, when: str, offense: str, names: dict[str, str], zone
     found = in_period(rows.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()), start, end)
     found = found if limit is None else found.orderBy(F.desc("datetime")).limit(limit)
     made = cleansed(found.withColumn("crime_type", categorised(F.col(offense), names)), zone=zone)
-    return made.select(F.xxhash64("datetime", "x", "y", offense).alias("event_id"), "x", "y", "datetime", "crime_type", F.lit(-1).alias("hotspot_id")).orderBy("datetime")
+    # Reports that are equal in all of these are counted, so that each has an id of its own.
+    same = ["datetime", "x", "y", offense]
+    made = made.withColumn("_n", F.row_number().over(Window.partitionBy(*same).orderBy("datetime")))
+    return made.select(F.xxhash64(*same, "_n").alias("event_id"), "x", "y", "datetime", "crime_type", F.lit(-1).alias("hotspot_id")).orderBy("datetime")
 
 
 def nyc(raw: DataFrame, limit: int | None = None, start: str | None = None, end: str | None = None, types: list[str] | None = None) -> DataFrame:

@@ -150,3 +150,33 @@ def test_components(spark):
 def test_grid_fit_bounds(spark):
     spec = GridSpec.fit(points(spark, [(1, 2), (11, 32)]), 10.0)
     assert (spec.ncols, spec.nrows, spec.minx, spec.miny) == (1, 3, 1.0, 2.0)
+
+
+def test_block_pairs_of_hot_buckets(spark, monkeypatch):
+    """Many points at a few places: buckets of many blocks, dealt over parts, count the pairs as single blocks do."""
+    from cellwise.operators import spatial_join
+
+    rng = np.random.default_rng(8)
+    xy = np.round(np.concatenate([rng.uniform(0, 40, (60, 2)), rng.normal(20, 0.5, (140, 2))]), 1)
+    d = np.hypot(*(xy[:, None] - xy[None, :]).transpose(2, 0, 1))
+    np.fill_diagonal(d, np.inf)
+    for block, split, fill in ((1024, 8, 64), (8, 2, 1)):
+        monkeypatch.setattr(spatial_join, "BLOCK", block)
+        monkeypatch.setattr(spatial_join, "SPLIT", split)
+        monkeypatch.setattr(spatial_join, "FILL", fill)
+        got = {r["distance"]: r["pairs"] for r in explore.pair_counts(points(spark, xy), [1.0, 5.0]).collect()}
+        assert got == {s: int((d <= s).sum()) for s in (1.0, 5.0)}
+    assert explore.pair_counts(points(spark, xy).limit(0), [1.0]).first()["pairs"] == 0
+
+
+def test_largest_and_described(spark):
+    from cellwise.operators import cube, regress
+
+    summary = spark.createDataFrame([(k, n) for k, n in enumerate((5, 9, 9, 1))], "cluster int, n_events long")
+    assert [r.cluster for r in cluster.largest(summary, 3).collect()] == [1, 2, 0]
+    rows = spark.createDataFrame([tuple(float(k + j) for j in range(6)) for k in range(5)], "intercept double, temporal_lag double, dist_center double, seasonal_sin double, yhat double, local_r2 double")
+    expected = rows.toPandas().describe()
+    got = regress.describe(rows).toPandas().set_index("statistic")
+    assert np.allclose(got.loc[expected.index, expected.columns], expected)
+    counts = grid_cube(spark, np.arange(20.0).reshape(1, 4, 5), SPEC)
+    assert [r.flat_idx for r in cube.most_active(counts).collect()] == [19, 18, 17]
