@@ -111,25 +111,33 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Places of a byte whose random bits are looked up; further ones are worked out.
+PLACES = 128
+
+
 @functools.cache
 def _place_table(seed: int) -> np.ndarray:
-    return _mixed(np.arange(64 << 8, dtype=np.uint64), seed)
+    return _mixed(np.arange(PLACES << 8, dtype=np.uint64), seed)
 
 
 def _mixed(at: np.ndarray, seed: int) -> np.ndarray:
     return mix64((at + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(seed))
 
 
-def placed(data: np.ndarray, place: np.ndarray, seed: int) -> np.ndarray:
-    """64 random bits for each byte at its place; their sum is a hash of the bytes. (Powers of a base would give texts of two
-    letters in the Thue-Morse order, of 1,024 bytes and more, the same sum.)
+def placed(data: np.ndarray, place: np.ndarray, *seeds: int) -> list[np.ndarray]:
+    """For each seed 64 random bits for each byte at its place; their sum is a hash of the bytes. (Powers of a base would give
+    texts of two letters in the Thue-Morse order, of 1,024 bytes and more, the same sum.)
     """
-    at = place << 8 | data
-    late = np.flatnonzero(place >= 64)
+    at = place << 8
+    at |= data
+    late = np.flatnonzero(place >= PLACES)
     if not len(late):
-        return _place_table(seed)[at]
-    out = _place_table(seed)[np.minimum(place, 63) << 8 | data]
-    out[late] = _mixed(at[late].astype(np.uint64), seed)
+        return [_place_table(seed)[at] for seed in seeds]
+    further = at[late].astype(np.uint64)
+    at[late] = 0
+    out = [_place_table(seed)[at] for seed in seeds]
+    for values, seed in zip(out, seeds, strict=True):
+        values[late] = _mixed(further, seed)
     return out
 
 
@@ -176,7 +184,7 @@ def _words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[
     heads = (np.cumsum(inside) - 1)[starts]
     sizes = np.diff(np.append(heads, len(kept)))
     place = np.arange(len(kept)) - np.repeat(heads, sizes)
-    return mix64(np.add.reduceat(placed(kept, place, 0x2545F4914F6CDD1D), heads) + sizes.astype(np.uint64)), rows
+    return mix64(np.add.reduceat(placed(kept, place, 0x2545F4914F6CDD1D)[0], heads) + sizes.astype(np.uint64)), rows
 
 
 def rolling(x: np.ndarray, size: int, base: int) -> np.ndarray:

@@ -78,8 +78,8 @@ def _hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np
         heads = np.cumsum(own) - own
         value = data[spread_ranges(starts[k], own)]
         place = np.arange(len(value)) - np.repeat(heads, own)
-        for o, seed in zip(out, (BASE, 0x9E3779B97F4A7C15), strict=True):
-            o[k] = mix64(np.add.reduceat(placed(value, place, seed), heads) ^ own.astype(np.uint64))
+        for o, values in zip(out, placed(value, place, BASE, 0x9E3779B97F4A7C15), strict=True):
+            o[k] = mix64(np.add.reduceat(values, heads) ^ own.astype(np.uint64))
     return out[0], out[1]
 
 
