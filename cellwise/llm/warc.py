@@ -3,7 +3,8 @@
 An archive is a table of gzip members, one per record, with their offsets: its records' bytes in order are the .warc.gz
 file. Spark writes and reads it, so no task needs a path that only the driver can open. The index sorts captures by
 reversed-host URL key into compressed blocks; a sparse directory holds each block's first key. A look-up
-binary-searches the directory, then the one block, then reads the ranges found there.
+binary-searches the directory, then the one block; the ranges found there are read by a join with the records' table, on archive, offset
+and length.
 """
 
 from __future__ import annotations
