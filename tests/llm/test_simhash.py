@@ -83,5 +83,7 @@ def test_long_chain_of_components(spark):
 def test_one_of_each(odd_docs, no_docs):
     kept = simhash.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert kept.where("doc_id = 906").count() == 2  # repeated rows are one
+    # Three texts of one id are near copies of an earlier one; of five texts without a word one stays.
+    left = [r.doc_id for r in kept.where("doc_id >= 900 OR doc_id IS NULL").select("doc_id").collect()]
+    assert left.count(905) == 1 and 906 not in left and sum(i in (900, 901, 902) for i in left) == 1
     assert simhash.one_of_each(no_docs).count() == 0 == simhash.near_duplicates(no_docs).count()
