@@ -83,3 +83,12 @@ def test_long_text_is_ranked_by_its_whole_counts():
     own = [counts[g] for g in gram[row == 0].tolist()]
     assert own == sorted(own, reverse=True) and rank[row == 0].tolist() == list(range(len(own)))
     assert sorted(rank[row == 1].tolist()) == list(range((row == 1).sum()))
+
+
+def test_long_texts_are_counted_by_pieces():
+    import random
+
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcΣé  .,'9\n-日") for _ in range(3 * language_id.LONG))
+    whole, pieces = language_id._gram_counts([text]), language_id._counts([text])
+    assert (whole[0] == pieces[0]).all() and (whole[1] == pieces[1]).all()
