@@ -70,22 +70,32 @@ def text_key(col: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(col), F.lit("")))
 
 
+def _row_bytes(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of the strings of each row, and a few for the rest of it."""
+    out = np.full(batch.num_rows, 16, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            out += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return out
+
+
 def chunked(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.Table]:
-    """Batches joined, or cut between rows, to tables of about most_bytes."""
+    """Batches joined, or cut between rows, to tables of at most most_bytes of strings; a longer row is a table of its own."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        parts = max(1, min(batch.num_rows, -(-batch.nbytes // most_bytes)))
-        step = -(-batch.num_rows // parts)
-        for at in range(0, batch.num_rows, step):
-            part = batch.slice(at, step)
-            if held and size + part.nbytes > most_bytes:
+        ends = np.r_[0, np.cumsum(_row_bytes(batch))]
+        at = 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(ends, ends[at] + most_bytes - size, side="right")) - 1
+            if to <= at and held:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
-            held.append(part)
-            size += part.nbytes
+                continue
+            to = max(to, at + 1)
+            held.append(batch.slice(at, to - at))
+            size += int(ends[to] - ends[at])
+            at = to
     if held:
         yield pa.Table.from_batches(held)
 
@@ -151,23 +161,78 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, and the offsets of the rows in words; about a megabyte of rows at a time.
+    """A 64-bit hash of each word, and the offsets of the rows in words; about a megabyte of text at a time.
 
     Two different words have equal hashes with a chance of 2**-64: in 10**10 different words about three such pairs.
     """
-    cuts = np.unique(np.searchsorted(offsets, np.arange(0, len(data) + 1, 1 << 20)))
-    cuts = np.unique(np.r_[0, cuts[cuts < len(offsets) - 1], len(offsets) - 1])
-    if len(cuts) <= 2:
-        return _words(data, offsets, is_word)
-    hashes, rows, n = [], [np.zeros(1, np.int64)], 0
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        h, r = _words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], is_word)
-        hashes.append(h)
-        rows.append(r[1:] + n)
-        n += len(h)
+    hashes, rows, n = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    for a, b in row_groups(offsets):
+        own = data[offsets[a] : offsets[b]]
+        if b > a + 1:
+            found, ends = _words(own, offsets[a : b + 1] - offsets[a], is_word)
+            ends = ends[1:]
+        else:
+            found = np.concatenate([np.zeros(0, np.uint64), *(_words(piece, np.array([0, len(piece)]), is_word)[0] for piece in word_pieces(own, is_word))])
+            ends = np.array([len(found)])
+        hashes.append(found)
+        rows.append(ends + n)
+        n += len(found)
     return np.concatenate(hashes), np.concatenate(rows)
 
 
+#: Bytes of text whose words are worked out at once.
+PIECE = 1 << 20
+
+
+def row_groups(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about PIECE bytes."""
+    cuts = np.unique(np.searchsorted(offsets, np.arange(0, offsets[-1] + 1, PIECE)))
+    cuts = np.unique(np.r_[0, cuts[cuts < len(offsets) - 1], len(offsets) - 1]).tolist()
+    return zip(cuts[:-1], cuts[1:], strict=True)
+
+
+def word_pieces(data: np.ndarray, is_word: np.ndarray) -> Iterator[np.ndarray]:
+    """One text in pieces of about PIECE bytes, cut between words."""
+    at = 0
+    while at < len(data):
+        to = min(at + PIECE, len(data))
+        while to < len(data):
+            gap = np.flatnonzero(~is_word[data[to : to + 4096]])
+            if len(gap):
+                to += int(gap[0])
+                break
+            to = min(to + 4096, len(data))
+        yield data[at:to]
+        at = to
+
+
+def token_blocks(batches: Iterator[pa.RecordBatch], most_bytes: int, is_word: np.ndarray, overlap: int, fold: np.ndarray | None = None) -> Iterator[tuple[pa.Table, Iterator]]:
+    """Parts of rows with a _text, each with its blocks: hashes of words, the rows' offsets in them, words of the row before the block.
+
+    A part is one block, but for a single text of over most_bytes: that has blocks of about PIECE words, of which each
+    begins with the last overlap words of the one before. fold maps bytes first.
+    """
+    for part in chunked(batches, most_bytes):
+        yield part, _token_blocks(part, most_bytes, is_word, overlap, fold)
+
+
+def _token_blocks(part: pa.Table, most_bytes: int, is_word: np.ndarray, overlap: int, fold: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    data, offsets = buffers(part.column("_text"))
+    if len(data) <= most_bytes:
+        yield *words(data if fold is None else fold[data], offsets, is_word), 0
+        return
+    held, have, base = [], 0, 0
+    for piece in word_pieces(data, is_word):
+        held.append(_words(piece if fold is None else fold[piece], np.array([0, len(piece)]), is_word)[0])
+        have += len(held[-1])
+        if have >= PIECE + overlap:
+            tokens = np.concatenate(held)
+            yield tokens, np.array([0, have]), base
+            base += have - overlap
+            held, have = [tokens[have - overlap :]], overlap
+    yield np.concatenate(held), np.array([0, have]), base
+
+
 def _words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
@@ -181,10 +246,16 @@ def _words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[
     if not len(starts):
         return np.zeros(0, np.uint64), rows
     kept = data[inside]
-    heads = (np.cumsum(inside) - 1)[starts]
+    heads = np.cumsum(inside, dtype=np.int64)[starts] - 1
     sizes = np.diff(np.append(heads, len(kept)))
-    place = np.arange(len(kept)) - np.repeat(heads, sizes)
-    return mix64(np.add.reduceat(placed(kept, place, 0x2545F4914F6CDD1D)[0], heads) + sizes.astype(np.uint64)), rows
+    total = np.zeros(len(starts), np.uint64)
+    for at in range(0, len(kept), 2 * PIECE):  # more than once for a word of that length only
+        own = kept[at : at + 2 * PIECE]
+        here = slice(int(np.searchsorted(heads, at, side="right")) - 1, int(np.searchsorted(heads, at + len(own))))
+        cut = np.maximum(heads[here] - at, 0)
+        place = np.arange(at, at + len(own)) - np.repeat(heads[here], np.diff(np.append(cut, len(own))))
+        total[here] += np.add.reduceat(placed(own, place, 0x2545F4914F6CDD1D)[0], cut)
+    return mix64(total + sizes.astype(np.uint64)), rows
 
 
 def rolling(x: np.ndarray, size: int, base: int) -> np.ndarray:

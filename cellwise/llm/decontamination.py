@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import ALNUM, LOWER, buffers, chunked, extended, packed, spread_ranges, unpacked, words
-from cellwise.llm.windows import covered
+from cellwise.llm.common import ALNUM, LOWER, buffers, extended, packed, spread_ranges, token_blocks, unpacked, words
+from cellwise.llm.windows import merged
 
 CHUNK = 6 << 20
 #: Bytes of test items sent to the tasks at once.
@@ -94,18 +94,20 @@ def search(codes: np.ndarray, rows: np.ndarray, order: np.ndarray, wanted: np.nd
     return out[0], out[1]
 
 
-def _matches(part: pa.Table, test: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _matches(blocks: Iterator[tuple[np.ndarray, np.ndarray, int]], test: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offsets of the rows in words, and all matches: place in the shard's words, index of the test suffix."""
-    data, offsets = buffers(part.column("_text"))
-    tokens, rows = words(LOWER[data], offsets, ALNUM)
-    none = np.zeros(0, np.int64)
-    if not len(tokens) or not len(test.start):
-        return rows, none, none
-    at = np.minimum(np.searchsorted(test.vocabulary, tokens), len(test.vocabulary) - 1)
-    codes = np.where(test.vocabulary[at] == tokens, at + 1, 0)
-    order = suffix_array(codes, rows, test.depth)
-    lo, hi = search(codes, rows, order, test.codes, test.width)
-    return rows, order[spread_ranges(lo, hi - lo)], np.repeat(np.arange(len(lo)), hi - lo)
+    found, rows = [np.zeros(0, np.int64)], np.zeros(1, np.int64)
+    for tokens, own, base in blocks:
+        rows = own + base if not base else np.array([0, base + own[-1]])
+        if not len(tokens) or not len(test.start):
+            continue
+        at = np.minimum(np.searchsorted(test.vocabulary, tokens), len(test.vocabulary) - 1)
+        codes = np.where(test.vocabulary[at] == tokens, at + 1, 0)
+        order = suffix_array(codes, own, test.depth)
+        lo, hi = search(codes, own, order, test.codes, test.width)
+        found.append((order[spread_ranges(lo, hi - lo)] + base) * len(test.start) + np.repeat(np.arange(len(lo)), hi - lo))
+    pairs = np.unique(np.concatenate(found))  # a match in the words that two blocks share is one
+    return rows, *(np.divmod(pairs, len(test.start)) if len(pairs) else (pairs, pairs))
 
 
 def _longest(place: np.ndarray, suffix: np.ndarray, test: TestSuffixes, row: np.ndarray, n_rows: int) -> np.ndarray:
@@ -129,7 +131,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str
 
     A word is hit inside any place of window consecutive words of an item (of a shorter item, all its words). spans
     are the hit runs, start << 32 | words. Null or wordless texts have and are no match; a null item_id counts as the
-    empty string; repeated items are one; repeated rows stay; an empty table on either side is fine.
+    empty string; repeated items are one; repeated rows stay; an empty table on either side is fine. A text longer than CHUNK has a
+    suffix array for each block of its words, which overlap; matches across them are whole.
     """
     keep = ["doc_id"] if keep is None else keep
     rows = docs.select(*keep, docs["text"].alias("_text"))
@@ -140,8 +143,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for part in chunked(batches, CHUNK):
-                yield from _marked(part, sent.value).combine_chunks().to_batches()
+            for part, blocks in token_blocks(batches, CHUNK, ALNUM, window - 1, LOWER):
+                yield from _marked(part, blocks, sent.value).combine_chunks().to_batches()
 
         rows = rows.mapInArrow(run, schema)
     return rows.select(*keep, "n_words", "n_hit", "items", "longest", "spans")
@@ -161,8 +164,8 @@ def _blocks(benchmark: DataFrame, window: int) -> Iterator[TestSuffixes]:
         yield TestSuffixes(ids, texts, window)
 
 
-def _marked(part: pa.Table, test: TestSuffixes) -> pa.Table:
-    rows, place, suffix = _matches(part, test)
+def _marked(part: pa.Table, blocks: Iterator[tuple[np.ndarray, np.ndarray, int]], test: TestSuffixes) -> pa.Table:
+    rows, place, suffix = _matches(blocks, test)
     n = len(rows) - 1
     row = np.searchsorted(rows, place, side="right") - 1
     order = np.argsort(row, kind="stable")
@@ -179,10 +182,9 @@ def _marked(part: pa.Table, test: TestSuffixes) -> pa.Table:
         old = np.array(old, np.int64)
         start = np.r_[place[own] - rows[k], old >> 32]
         size = np.r_[test.width[suffix[own]], old & 0xFFFFFFFF]
-        hit = covered(int(rows[k + 1] - rows[k]), start, size)
-        edge = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0]))
-        spans[k] = (edge[::2] << 32 | (edge[1::2] - edge[::2])).tolist()
-        hits[k] = int(hit.sum())
+        start, end = merged(start << 32 | size, 1)
+        spans[k] = (start << 32 | (end - start)).tolist()
+        hits[k] = int((end - start).sum())
         items[k] = sorted({test.ids[i] for i in np.unique(test.item[suffix[own]]).tolist()} | set(before["items"][k] or ()))
         longest[k] = max(longest[k], before["longest"][k] or 0)
     out = part.select([c for c in part.column_names if c not in dict(STATE)])

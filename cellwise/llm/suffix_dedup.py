@@ -15,6 +15,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,20 @@ def _blocks(data: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Table]:
+    """Parts of rows with _at 0; a text of over CHUNK bytes in pieces that share window - 1 bytes, _at their places in it."""
+    for part in chunked(batches, CHUNK):
+        text = part.column("_text")
+        size = pc.sum(pc.binary_length(text)).as_py() or 0
+        if part.num_rows > 1 or size <= CHUNK:
+            yield part.append_column("_at", pa.array(np.zeros(part.num_rows, np.int64)))
+            continue
+        data, _ = buffers(text)
+        for at in range(0, max(1, len(data) - window + 1), CHUNK):
+            own = pa.array([data[at : at + CHUNK + window - 1].tobytes()], pa.binary())
+            yield part.set_column(part.column_names.index("_text"), "_text", own).append_column("_at", pa.array([at], pa.int64()))
+
+
 def _found(part: pa.Table, plan: Plan, turn: int, sketch=None):
     """Runs of windows by anchor: start, count, row, gram and level; with a sketch, only those that may repeat."""
     data, rows = buffers(part.column("_text"))
@@ -123,7 +138,7 @@ def _emit(part: pa.Table, plan: Plan, turn: int, sketch) -> Iterator[pa.RecordBa
         start, row = np.r_[start[~hot], single], np.r_[row[~hot], of]
         gram = np.r_[gram[~hot], _hashes(data, single, np.full(len(single), plan.window))[0]]
         count = np.r_[count[~hot], np.ones(len(single), np.int64)]
-    ids, keys = ints(part.column("_id")), ints(part.column("_key"))
+    ids, keys, base = ints(part.column("_id")), ints(part.column("_key")), ints(part.column("_at"))
     sizes = count + plan.window - 1
     order, _, least = _smallest(ids[row], *_hashes(data, start, sizes), gram)
     gone = np.sort(order[~least])
@@ -135,10 +150,10 @@ def _emit(part: pa.Table, plan: Plan, turn: int, sketch) -> Iterator[pa.RecordBa
     kept = np.sort(order[least])
     kept_sizes = sizes[kept]
     yield _batch(
-        np.r_[_route(gram[kept]), _route(starts.view(np.uint64) ^ keys[of].view(np.uint64))],
+        np.r_[_route(gram[kept]), _route((starts + base[of]).view(np.uint64) ^ keys[of].view(np.uint64))],
         np.r_[ids[row[kept]], ids[of]],
         np.r_[keys[row[kept]], keys[of]],
-        np.r_[start[kept] - rows[row[kept]], starts - rows[of]],
+        np.r_[start[kept] - rows[row[kept]] + base[row[kept]], starts - rows[of] + base[of]],
         np.r_[count[kept], n],
         _gather(data, start[kept], kept_sizes),
         np.r_[0, np.cumsum(kept_sizes)],
@@ -239,7 +254,7 @@ def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
     """_id, _key and spans (start and number of windows, in one long) of the windows to remove, for rows of _id, _key, _text."""
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     plan = Plan.of(size, window, min(GRAM, window))
-    parts = partial(chunked, most_bytes=CHUNK)
+    parts = partial(_pieces, window=window)
     hot = min(HOT, max(LEAST_HOT, size // plan.window // SHARE))
     found = None
     for turn in range(plan.rounds):
@@ -268,7 +283,7 @@ def deduplicate(docs: DataFrame, window: int = 50, keep: list[str] | None = None
     doc_id; strings are judged on the input. Null text is empty; texts shorter than the window keep all; null doc_ids
     come after all others, equal doc_ids take nothing from each other (repeated rows stay alike); an empty table gives
     an empty result; columns outside keep are not carried. kept may begin or end inside a character; with whole_characters a
-    character stays unless all its bytes go.
+    character stays unless all its bytes go. A text longer than CHUNK goes in pieces, at some four times its bytes of memory.
     """
     keep = ["doc_id"] if keep is None else keep
     rows = docs.select(*keep, order_id().alias("_id"), text_key().alias("_key"), F.coalesce("text", F.lit("")).alias("_text"))
@@ -280,15 +295,22 @@ def deduplicate(docs: DataFrame, window: int = 50, keep: list[str] | None = None
         for part in chunked(batches, 1 << 23):
             data, offsets = buffers(part.column("_text"))
             total, gone, count, kept = [], [], [], []
-            for k, spans in enumerate(part.column("spans").to_pylist()):
+            lists = pa.concat_arrays(part.column("spans").chunks)
+            many = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            every, to = lists.flatten().to_numpy(zero_copy_only=False), np.r_[0, np.cumsum(many)]
+            for k in range(part.num_rows):
+                spans = every[to[k] : to[k + 1]]
                 own = data[offsets[k] : offsets[k + 1]]
                 total.append(len(own))
                 n = 0
-                if spans:
-                    starts, ends = merged(np.array(spans, np.int64), window)
+                if len(spans):
+                    starts, ends = merged(spans, window)
                     if whole_characters:  # a span gives up the bytes of characters that begin before it or end after it
-                        heads = np.append(np.flatnonzero((own & 0xC0) != 0x80), len(own))
-                        starts, ends = heads[np.searchsorted(heads, starts)], heads[np.searchsorted(heads, ends, side="right") - 1]
+                        inner = np.append((own & 0xC0) == 0x80, False)
+                        while len(at := np.flatnonzero(inner[starts])):
+                            starts[at] += 1
+                        while len(at := np.flatnonzero(inner[ends])):
+                            ends[at] -= 1
                         starts, ends = starts[starts < ends], ends[starts < ends]
                     n = len(starts)
                     own = np.concatenate([own[a:b] for a, b in zip(np.r_[0, ends].tolist(), np.r_[starts, len(own)].tolist(), strict=True)])
