@@ -222,7 +222,7 @@ def _candidates(buckets: DataFrame, sets: DataFrame, held: int, partners: int) -
     return rows.mapInArrow(run, "a long, b long, late int").groupBy("a", "b").agg(F.max("late").alias("late"))
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+def sets_of_keys(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """key and the set of the wanted keys (and of some more: which are wanted is sent as a bitmap of 16 MB at most)."""
     bits = min(27, max(15, (8 * wanted.count()).bit_length()))
     place = F.pmod("key", F.lit(1 << bits)) + 1
@@ -270,7 +270,7 @@ def _going(docs: DataFrame, signed: DataFrame, shingle: int, held: int, partners
     one = saved(signed.groupBy("key").agg(F.min("_id").alias("id"), F.any_value("bits").alias("bits"), F.any_value("segments").alias("segments")), "near-one")
     buckets = saved(_buckets(one, held), "near-buckets")
     pairs = saved(_candidates(buckets, one, held, partners), "near-pairs")
-    sets = saved(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), shingle), "near-sets")
+    sets = saved(sets_of_keys(docs, pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), shingle), "near-sets")
     gone: list[DataFrame] = []
     while True:
         # Rows (b, b) hold b back like an earlier similar one that is not settled.

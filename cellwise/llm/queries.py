@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellwise.llm import chat_format, decontamination, language_id, media, sentencepiece_bpe, sharding, simhash, substring_dedup, suffix_dedup, warc
+from cellwise.llm import chat_format, collocations, decontamination, language_id, media, ngram_join, sentencepiece_bpe, sharding, simhash, substring_dedup, suffix_dedup, vector_codes, warc
 from cellwise.llm.common import table
 
 
@@ -64,6 +64,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_chat_formatting": op2_chat_formatting,
@@ -75,9 +87,62 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_simhash": op10_simhash,
+    "op11_ngram_join": op11_ngram_join,
+    "op12_collocations": op12_collocations,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+
+
+def _lloyd_sql(rounds: int = 4, parts: int = 4) -> str:
+    """Plain Lloyd rounds over all vectors and entries, one pair of tables a round."""
+    steps = [
+        """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"p AS (SELECT vec_id, k, v[k * len(v) // {parts} + 1 : (k + 1) * len(v) // {parts}] AS v FROM e, range({parts}) t(k))",
+        "c0 AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY vec_id) - 1 AS i, v FROM p WHERE vec_id IN (SELECT vec_id FROM e ORDER BY vec_id LIMIT 256))",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"a{r} AS (SELECT vec_id, k, v, min({{'d': d, 'i': i}}) AS b FROM (SELECT p.vec_id, p.k, p.v, c.i, "
+            f"list_inner_product(p.v, p.v) + list_inner_product(c.v, c.v) - 2 * list_inner_product(p.v, c.v) AS d FROM p JOIN c{r} c USING (k)) GROUP BY vec_id, k, v)"
+        )
+        if r < rounds:
+            steps.append(f"s{r} AS (SELECT k, i, j, floor(sum(x) / count(*)) AS x FROM (SELECT k, b.i AS i, unnest(v) AS x, unnest(range(len(v))) AS j FROM a{r}) GROUP BY k, i, j)")
+            steps.append(f"c{r + 1} AS (SELECT c.k, c.i, coalesce(n.v, c.v) AS v FROM c{r} c LEFT JOIN (SELECT k, i, list(x ORDER BY j) AS v FROM s{r} GROUP BY k, i) n ON n.k = c.k AND n.i = c.i)")
+    return f"""WITH {", ".join(steps)},
+h AS (SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY k, i, j)) AS h FROM (SELECT k, i, unnest(v) AS x, unnest(range(len(v))) AS j FROM c{rounds})),
+o AS (SELECT vec_id, string_agg(lower(printf('%02x', b.i)), '' ORDER BY k) AS code, CAST(sum(b.d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+q AS (SELECT o.*, e.label FROM o JOIN e USING (vec_id))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT h FROM h) AS codebooks_sha256 FROM q"""
+
+
 ORACLES = {
+    "op11_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS own FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(own[k + 1 : k + 3], ' ') AS g FROM (SELECT doc_id, own, unnest(range(greatest(len(own) - 2, 1))) AS k FROM w WHERE len(own) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 90 * (x.n + y.n - m)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c.component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
+""",
+    "op12_collocations": r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS own FROM t),
+g AS (SELECT lang, m, array_to_string(own[k + 1 : k + m], ' ') AS phrase FROM (SELECT lang, own, m, unnest(range(len(own) - m + 1)) AS k FROM w, range(1, 6) r(m) WHERE len(own) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(len(own)) AS n FROM w GROUP BY lang),
+c AS (SELECT * FROM f WHERE m > 1 AND f >= 100),
+d AS (SELECT DISTINCT s.lang, s.phrase FROM c s JOIN c x ON x.lang = s.lang AND x.m > s.m AND 100 * x.f >= 100 * s.f AND contains(' ' || x.phrase || ' ', ' ' || s.phrase || ' ')),
+k AS (SELECT lang, phrase, f AS a, m, unnest(range(1, m)) AS k, string_split(phrase, ' ') AS own FROM c ANTI JOIN d USING (lang, phrase)),
+x AS (SELECT k.lang, k.phrase, a, k.k, l.f AS l, r.f AS r, n.n, (CAST(1000 AS HUGEINT) * a * n.n) // (CAST(l.f AS HUGEINT) * r.f) AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = array_to_string(own[1 : k], ' ') JOIN f r ON r.lang = k.lang AND r.phrase = array_to_string(own[k + 1 :], ' ') JOIN n ON n.lang = k.lang),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM b)
+SELECT * FROM o WHERE rank <= 2000
+""",
+    "op13_vector_codes": _lloyd_sql(),
     "op2_chat_formatting": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
