@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import chunked, dropped, extended, mix64, saved
+from cellwise.llm.common import chunked, dropped, extended, mix64, saved, spread_ranges
 from cellwise.llm.near_copies import sets_of_keys, shingle_sets
 from cellwise.llm.windows import Plan, Sketch, merged_sketch
 from cellwise.operators.lineage import connected_components
@@ -80,28 +80,36 @@ def bitmap(owner: np.ndarray, token: np.ndarray, n: int, odd: bool) -> np.ndarra
         cell = cell[times % 2 == 1]
     flat = np.zeros(n * 64 * WIDTH, np.uint8)
     flat[cell] = 1
-    return np.packbits(flat.reshape(n, -1), axis=1, bitorder="little").view(np.uint64)
+    return np.packbits(flat.reshape(n, 64 * WIDTH), axis=1, bitorder="little").view(np.uint64)
 
 
-def prefixes(value: np.ndarray, many: np.ndarray, sketch: Sketch, over: int, under: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all sets: the set and token of each shared token in prefixes of the first order, and the bitmaps (sets x WORDS)."""
-    n = len(many)
-    owner = np.repeat(np.arange(n), many)
-    maps = [bitmap(owner, value, n, odd=True)]
+def prefixes(value: np.ndarray, many: np.ndarray, sketch: Sketch, over: int, under: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the sets whose prefixes hold shared tokens: which they are, the place in these and the token of each shared one in the
+    first order's prefix, and the bitmaps (sets x WORDS).
+
+    Tokens of one text only come first in every order: where they fill the prefix, nothing has to be sorted.
+    """
     shared, level = sketch.repeated(value)
-    kind = np.where(shared, level + 1, 0).astype(np.uint64)
-    starts, sizes = np.cumsum(many) - many, prefix_size(many, over, under)
+    ends = np.r_[0, np.cumsum(shared)]
+    at = np.r_[0, np.cumsum(many)]
+    common = ends[at[1:]] - ends[at[:-1]]
+    room = prefix_size(many, over, under) - (many - common)  # left for shared tokens
+    sets = np.flatnonzero((room > 0) & (common > 0))
+    n = len(sets)
+    whole = spread_ranges(at[sets], many[sets])
+    maps = [bitmap(np.repeat(np.arange(n), many[sets]), value[whole], n, odd=True)]
+    whole = whole[shared[whole]]
+    token, kind, owner = value[whole], level[whole].astype(np.uint64), np.repeat(np.arange(n), common[sets])
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(common[sets]) - common[sets], common[sets])
     found = None
     for order in range(ORDERS):
-        rank = kind << np.uint64(61) | mix64(value ^ np.uint64((order + 1) * SALT % 2**64)) >> np.uint64(3)
-        by = np.lexsort((rank, owner))
-        first = by[np.arange(len(by)) - np.repeat(starts, many) < np.repeat(sizes, many)]
-        first = first[shared[first]]
+        rank = kind << np.uint64(61) | mix64(token ^ np.uint64((order + 1) * SALT % 2**64)) >> np.uint64(3)
+        first = np.lexsort((rank, owner))[place < np.repeat(room[sets], common[sets])]
         if order == 0:
-            found = owner[first], value[first]
+            found = owner[first], token[first]
         else:
-            maps.append(bitmap(owner[first], value[first], n, odd=False))
-    return *found, np.concatenate(maps, axis=1)
+            maps.append(bitmap(owner[first], token[first], n, odd=False))
+    return sets, *found, np.concatenate(maps, axis=1)
 
 
 def _prefixed(docs: DataFrame, sketch: Sketch, shingle: int, over: int, under: int) -> DataFrame:
@@ -112,17 +120,14 @@ def _prefixed(docs: DataFrame, sketch: Sketch, shingle: int, over: int, under: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunked(batches, PART):
             value, many, key = shingle_sets(part.column("text"), shingle)
-            owner, token, maps = prefixes(value, many, sent.value, over, under)
-            sizes = np.bincount(owner, minlength=len(many))
-            # A set whose prefix under some order has no shared token is similar to none.
-            prefix_maps = maps[:, WIDTH:].reshape(len(many), ORDERS - 1, WIDTH)
-            go = (sizes > 0) & prefix_maps.any(axis=2).all(axis=1)
             once = np.zeros(len(many), bool)
             once[np.unique(key, return_index=True)[1]] = True
-            go &= once
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes[go])].astype(np.int32)), pa.array(token[np.repeat(go, sizes)].view(np.int64)))
-            words = maps[go].view(np.int64)
-            out = pa.table([pa.array(key[go].view(np.int64)), pa.array(many[go].astype(np.int64)), lists, *(pa.array(words[:, k]) for k in range(WORDS))], ["key", "n", "tokens", *names])
+            value, many, key = value[np.repeat(once, many)], many[once], key[once]
+            which, owner, token, maps = prefixes(value, many, sent.value, over, under)
+            sizes = np.bincount(owner, minlength=len(which))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(token.view(np.int64)))
+            words = maps.view(np.int64)
+            out = pa.table([pa.array(key[which].view(np.int64)), pa.array(many[which].astype(np.int64)), lists, *(pa.array(words[:, k]) for k in range(WORDS))], ["key", "n", "tokens", *names])
             yield from out.to_batches(4096)
 
     found = docs.select("text").mapInArrow(run, ", ".join(["key bigint, n bigint, tokens array<bigint>", *(f"{x} bigint" for x in names)]))
