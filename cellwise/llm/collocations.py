@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,36 +137,72 @@ def automaton(w: Words, word_may: np.ndarray, pair_may: np.ndarray, longest: int
     return out
 
 
-def _slices(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    sizes = ends - starts
-    offsets = np.r_[0, np.cumsum(sizes)].astype(np.int64)
-    body = text[spread_ranges(starts, sizes)].tobytes()
-    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(body)).cast(pa.string())
-
-
-def local_counts(rows: DataFrame, sketch: Sketch, longest: int) -> DataFrame:
-    """lang, words (length), phrase and n of every shard's phrases that may be frequent; length 0 has the number of all words."""
+def local_counts(rows: DataFrame, sketch: Sketch, longest: int, buckets: int) -> DataFrame:
+    """Every shard's phrases that may be frequent, by bucket (of a hash of the phrase), lang and number of words: phrases, one a line,
+    and their counts, eight bytes each. words 0 has the number of all words, with an empty phrase.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, w in shards(batches):
-            lang = part.column("_lang").combine_chunks()
             if not len(w.key):
                 continue
+            lang = part.column("_lang").combine_chunks().dictionary_encode()
+            names, code = lang.dictionary, lang.indices.to_numpy()
             word_may = sent.value.repeated(w.key)[1] > 0
             at, pairs = pair_keys(w)
             pair_may = np.zeros(len(w.key), bool)
             pair_may[at] = sent.value.repeated(pairs)[1] > 0
-            many = np.bincount(w.row, minlength=part.num_rows)
+            many = np.bincount(code[w.row], minlength=len(names))
             some = np.flatnonzero(many)
-            yield _rows(lang, some, 0, pa.array([""] * len(some)), many[some])
-            for length, s in enumerate(automaton(w, word_may, pair_may, longest), 1):
-                yield _rows(lang, w.row[s.end], length, _slices(w.text, w.starts[s.end - length + 1], w.ends[s.end]), s.count)
+            yield batch(np.zeros(len(some), np.int64), names.take(pa.array(some)), 0, [""] * len(some), [many[k : k + 1] for k in some])
+            key = np.zeros(0, np.uint64)
+            for words, s in enumerate(automaton(w, word_may, pair_may, longest), 1):
+                first = w.key[s.end - words + 1]
+                key = first if words == 1 else mix64(key[s.link] * np.uint64(0x9E3779B97F4A7C15) + first)
+                own, bucket = code[w.row[s.end]], (key % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((own, bucket))
+                own, bucket, end, count = own[order], bucket[order], s.end[order], s.count[order].astype(np.int64)
+                sizes = w.ends[end] - w.starts[end - words + 1] + 1
+                text = w.text[spread_ranges(w.starts[end - words + 1], sizes)]
+                ends = np.cumsum(sizes)
+                text[ends - 1] = 0x0A
+                heads = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (bucket[1:] != bucket[:-1])])
+                cuts = [*heads.tolist(), len(own)]
+                lines = [text[ends[a] - sizes[a] : ends[b - 1] - 1].tobytes().decode() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield batch(bucket[heads], names.take(pa.array(own[heads])), words, lines, [count[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+
+    def batch(bucket: np.ndarray, lang: pa.Array, words: int, phrases: list[str], n: list[np.ndarray]) -> pa.RecordBatch:
+        counts = pa.array([x.tobytes() for x in n], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), lang, pa.array(np.full(len(n), words, np.int32)), pa.array(phrases, pa.string()), counts], ["bucket", "lang", "words", "phrases", "counts"])
+
+    return rows.mapInArrow(run, "bucket int, lang string, words int, phrases string, counts binary")
+
+
+def added(local: DataFrame, least: int, held: int = 1 << 20) -> DataFrame:
+    """lang, words, phrase and n of local_counts, added up over all shards: those of least or more. Each bucket is one task's."""
+
+    def total(tables: list[pa.Table]) -> pa.Table:
+        whole = pa.concat_tables(tables).group_by(["lang", "words", "phrase"]).aggregate([("n", "sum")])
+        return whole.select(["lang", "words", "phrase", "n_sum"]).rename_columns(["lang", "words", "phrase", "n"])
 
-    def _rows(lang: pa.Array, row: np.ndarray, length: int, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([lang.take(pa.array(row)), pa.array(np.full(len(row), length, np.int32)), phrase, pa.array(n.astype(np.int64))], ["lang", "words", "phrase", "n"])
-
-    return rows.mapInArrow(run, "lang string, words int, phrase string, n bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, size, known = [], 0, 0
+        for b in batches:
+            lists = pc.split_pattern(b.column("phrases"), "\n")
+            row = pa.array(np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths())))
+            n = np.frombuffer(b"".join(b.column("counts").to_pylist()), np.int64)
+            tables.append(pa.table([b.column("lang").take(row), b.column("words").take(row), lists.flatten(), pa.array(n)], ["lang", "words", "phrase", "n"]))
+            size += len(n)
+            if size > known + held:
+                tables = [total(tables)]
+                known = size = tables[0].num_rows
+        if tables:
+            found = total(tables)
+            keep = pc.or_(pc.greater_equal(found["n"], least), pc.equal(found["words"], 0))
+            yield from found.filter(keep).combine_chunks().to_batches(1 << 14)
+
+    return local.repartition("bucket").mapInArrow(run, "lang string, words int, phrase string, n bigint")
 
 
 def frequent_sketch(rows: DataFrame, least: int, most_bits: int = 28) -> Sketch:
@@ -183,9 +220,8 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     """lang, words, phrase and n: the exact count of every phrase of 1 to longest words that occurs least times, and of all words (words 0)."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN))
     rows = docs.select(lang.alias("_lang"), F.xxhash64(lang).alias("_hash"), F.col("text").alias("_text"))
-    counts = local_counts(rows, frequent_sketch(rows, least), longest)
-    whole = counts.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
-    return saved(whole.where((F.col("n") >= least) | (F.col("words") == 0)), "phrases")
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return saved(added(local_counts(rows, frequent_sketch(rows, least), longest, buckets), least), "phrases")
 
 
 def _cut(phrase: Column, of: Column, k: Column) -> tuple[Column, Column]:

@@ -21,10 +21,14 @@ def brute(rows, least, first, longest=5):
                 for k in range(len(own) - m + 1):
                     count[lang, tuple(own[k : k + m])] += 1
     wanted = {k: a for k, a in count.items() if len(k[1]) > 1 and a >= least}
-    out = defaultdict(list)
+    out, longer = defaultdict(list), Counter()
+    for (lang, q), x in wanted.items():
+        for m in range(2, len(q)):
+            for k in range(len(q) - m + 1):
+                longer[lang, q[k : k + m]] = max(longer[lang, q[k : k + m]], x)
     for (lang, p), a in wanted.items():
         m = len(p)
-        if any(x > a - 1 and len(q) > m and any(q[k : k + m] == p for k in range(len(q) - m + 1)) for (other, q), x in wanted.items() if other == lang):
+        if longer[lang, p] >= a:
             continue
         score, _, left, right = min((1000 * a * n[lang] // (count[lang, p[:k]] * count[lang, p[k:]]), k, count[lang, p[:k]], count[lang, p[k:]]) for k in range(1, m))
         out[lang].append((-score, -a, b" ".join(p), left, right))
