@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from cellwise.functions.grid import GridSpec
 from cellwise.functions.numerics import nelder_mead
 from cellwise.operators.neighbors import neighbour_sums
+from cellwise.operators.spatial_join import block_pairs
 
 FEATURES = ["y_lag1", "sp_lag", "trend", "sin", "cos"]
 
@@ -182,73 +183,126 @@ def cell_distance_quantiles(cells: DataFrame, shares: list[float]) -> DataFrame:
 
 
 COLUMNS = ["one", "y_lag", "dist_center", "seasonal"]
+#: The products that a local regression needs: of each two columns, and of each with y, and y's square.
+PAIRS = [(a, b) for a in range(5) for b in range(a, 5)]
+#: Places of a line of cells whose kernel is worked out at once.
+LINE = 512
 
 
-def kernel(u: np.ndarray, kind: str) -> np.ndarray:
-    return np.exp(-0.5 * u * u) if kind == "gaussian" else np.where(u < 1, (1 - u * u) ** 2, 0.0)
+def _moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    whole = np.column_stack([x, y])
+    return np.stack([whole[:, a] * whole[:, b] for a, b in PAIRS], axis=1)
 
 
-def _local(table: pd.DataFrame):
-    """x, y and places of all cells (a grid: its size is checked by the caller's GridSpec)."""
-    x = np.column_stack([np.ones(len(table)), *[table[c].to_numpy(float) for c in COLUMNS[1:]]])
-    return x, table["y"].to_numpy(float), table[["cx", "cy"]].to_numpy(float)
+def _design(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """y_lag, dist_center, seasonal and y as the columns with a constant, and y."""
+    return np.column_stack([np.ones(len(values[0])), *values[:3]]), values[3]
 
 
-def gwr(rows: DataFrame, bandwidth: float, kind: str = "gaussian", most_cells: int = 50_000) -> DataFrame:
-    """flat_idx, row, col, the four local coefficients, yhat, residual, local_r2 for gwr_features' rows.
+def _steps(rows: DataFrame) -> tuple[int, int, float, float]:
+    """Rows and columns of the grid, and the distances between neighbouring ones."""
+    r, c, x, y = rows.agg(F.max("row"), F.max("col"), F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy")).first()
+    return (r or 0) + 1, (c or 0) + 1, (y or 0.0) / max(r or 1, 1), (x or 0.0) / max(c or 1, 1)
 
-    Each cell is a small weighted regression over all cells; tasks share the cells out, and the table of all of them, whose
-    size is checked, is sent to each. Collinear columns get the least-norm solution.
+
+def gaussian_sums(rows: DataFrame, bandwidths: list[float]) -> DataFrame:
+    """bandwidth, row, col and sums: for every cell and bandwidth, the products of all cells under the Gaussian kernel around it.
+
+    The kernel of a distance is that of its rows times that of its columns, so the sums are made along each row of the grid
+    first and then along each column: a line of cells is a task's at a time, and no pair of cells becomes a row.
+    """
+    nrows, ncols, high, wide = _steps(rows)
+    m = [F.expr(e) for e in ("CAST(1 AS double)", "y_lag", "dist_center", "seasonal", "y")]
+    made = rows.select("row", "col", F.array(*[m[a] * m[b] for a, b in PAIRS]).alias("sums"))
+
+    def line(pdf: pd.DataFrame, axis: str, n: int, step: float, widths: list[float]) -> pd.DataFrame:
+        place, sums = pdf[axis].to_numpy(), np.stack(pdf["sums"])
+        other = "row" if axis == "col" else "col"
+        out = []
+        for width in widths:
+            for a in range(0, n, LINE):
+                to = np.arange(a, min(a + LINE, n))
+                weight = np.exp(-0.5 * ((to[:, None] - place[None, :]) * (step / width)) ** 2)
+                out.append(pd.DataFrame({"bandwidth": width, other: pdf[other].iloc[0], axis: to.astype("int32"), "sums": list(weight @ sums)}))
+        return pd.concat(out)[["bandwidth", "row", "col", "sums"]]
+
+    schema = "bandwidth double, row int, col int, sums array<double>"
+    across = made.groupBy("row").applyInPandas(lambda pdf: line(pdf, "col", ncols, wide, bandwidths), schema)
+    return across.groupBy("bandwidth", "col").applyInPandas(lambda pdf: line(pdf, "row", nrows, high, [float(pdf["bandwidth"].iloc[0])]), schema)
+
+
+def compact_sums(rows: DataFrame, bandwidths: list[float]) -> DataFrame:
+    """gaussian_sums for the bisquare kernel, which is 0 from the bandwidth on: by pairs of blocks of cells within that distance."""
+    out = None
+    for width in map(float, bandwidths):
+
+        def sums(_, a: np.ndarray, b: np.ndarray, one: bool, width: float = width) -> list[np.ndarray]:
+            u = np.sqrt((a[0][:, None] - b[0]) ** 2 + (a[1][:, None] - b[1]) ** 2) / width
+            weight = np.where(u < 1, (1 - u * u) ** 2, 0.0)
+            found = [(a, weight @ _moments(*_design(list(b[3:]))))]
+            if not one:
+                found.append((b, weight.T @ _moments(*_design(list(a[3:])))))
+            return [np.concatenate([p[2].view(np.int64) for p, _ in found]), *np.concatenate([s for _, s in found]).T]
+
+        values = ("y_lag", "dist_center", "seasonal", "value")
+        points = rows.select(F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("flat_idx").cast("long").alias("id"), "y_lag", "dist_center", "seasonal", F.col("y").cast("double").alias("value"))
+        names = [f"s{k}" for k in range(len(PAIRS))]
+        found = block_pairs(points.withColumn("y_lag", F.col("y_lag").cast("double")), width, (), ("id", *values), sums, ", ".join(["id long", *[f"{x} double" for x in names]]))
+        whole = found.groupBy("id").agg(*[F.sum(x).alias(x) for x in names])
+        placed = rows.select("row", "col", F.col("flat_idx").cast("long").alias("id")).join(whole, "id")
+        part = placed.select(F.lit(width).alias("bandwidth"), "row", "col", F.array(*names).alias("sums"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _local_sums(rows: DataFrame, bandwidths: list[float], kind: str) -> DataFrame:
+    sums = (gaussian_sums if kind == "gaussian" else compact_sums)(rows, [float(b) for b in bandwidths])
+    return rows.select("flat_idx", "row", "col", "y_lag", "dist_center", "seasonal", "y").join(sums, ["row", "col"])
+
+
+def _solved(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of sums the matrix of the columns, the coefficients (of least norm where columns are collinear), and all products."""
+    m = np.empty((len(sums), 5, 5))
+    for k, (a, b) in enumerate(PAIRS):
+        m[:, a, b] = m[:, b, a] = sums[:, k]
+    beta = (np.linalg.pinv(m[:, :4, :4], rcond=1e-12, hermitian=True) @ m[:, :4, 4:])[:, :, 0]
+    return m[:, :4, :4], beta, m
+
+
+def gwr(rows: DataFrame, bandwidth: float, kind: str = "gaussian") -> DataFrame:
+    """flat_idx, row, col, the four local coefficients, yhat, residual, local_r2 for gwr_features' rows, for grids of any size.
+
+    Each cell is a small weighted regression over all cells, from sums of products that are made along the grid's lines
+    (Gaussian kernel) or by pairs of blocks (bisquare), and solved where they are. Collinear columns get the least-norm solution.
     """
-    table = _checked(rows, most_cells)
-    sent = rows.sparkSession.sparkContext.broadcast(table)
 
     def solve(batches):
-        x, y, place = _local(sent.value)
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                w = kernel(np.hypot(place[:, 0] - r.cx, place[:, 1] - r.cy) / bandwidth, kind)
-                root = np.sqrt(w)
-                beta = np.linalg.pinv(x * root[:, None]) @ (y * root)
-                own = np.array([1.0, r.y_lag, r.dist_center, r.seasonal])
-                mean = (w * y).sum() / max(w.sum(), 1e-12)
-                total = (w * (y - mean) ** 2).sum()
-                r2 = 1 - (w * (y - x @ beta) ** 2).sum() / total if total > 1e-12 else 0.0
-                out.append((r.flat_idx, r.row, r.col, *beta, own @ beta, r.y - own @ beta, min(max(r2, 0.0), 1.0)))
-            yield pd.DataFrame(out, columns=["flat_idx", "row", "col", "intercept", "temporal_lag", "dist_center", "seasonal_sin", "yhat", "residual", "local_r2"])
-
-    return rows.repartition(max(1, min(len(table) // 64, 200)), "flat_idx").mapInPandas(solve, "flat_idx int, row int, col int, intercept double, temporal_lag double, dist_center double, seasonal_sin double, yhat double, residual double, local_r2 double")
-
-
-def _checked(rows: DataFrame, most_cells: int) -> pd.DataFrame:
-    table = rows.orderBy("flat_idx").limit(most_cells + 1).toPandas()
-    if len(table) > most_cells:
-        raise ValueError(f"the grid has more than {most_cells} cells: local regressions over all of them need a coarser one")
-    return table
-
-
-def gcv_scores(rows: DataFrame, candidates: int = 12, kind: str = "gaussian", most_cells: int = 50_000) -> DataFrame:
-    """bandwidth and gcv of candidates between the 5th and the 50th percentile of distances; tasks share (bandwidth, cell) out."""
+        for pdf in batches:
+            x, y = _design([pdf[c].to_numpy(float) for c in ("y_lag", "dist_center", "seasonal", "y")])
+            inner, beta, m = _solved(np.stack(pdf["sums"]) if len(pdf) else np.zeros((0, len(PAIRS))))
+            own = (x * beta).sum(axis=1)
+            squares = m[:, 4, 4] - 2 * (beta * m[:, :4, 4]).sum(axis=1) + np.einsum("na,nab,nb->n", beta, inner, beta)
+            total = m[:, 4, 4] - m[:, 0, 4] ** 2 / np.maximum(m[:, 0, 0], 1e-12)
+            r2 = np.where(total > 1e-12, 1 - squares / np.where(total > 1e-12, total, 1.0), 0.0)
+            out = pdf[["flat_idx", "row", "col"]].copy()
+            out[["intercept", "temporal_lag", "dist_center", "seasonal_sin"]] = beta
+            yield out.assign(yhat=own, residual=y - own, local_r2=np.clip(r2, 0.0, 1.0))
+
+    return _local_sums(rows, [bandwidth], kind).mapInPandas(solve, "flat_idx int, row int, col int, intercept double, temporal_lag double, dist_center double, seasonal_sin double, yhat double, residual double, local_r2 double")
+
+
+def gcv_scores(rows: DataFrame, candidates: int = 12, kind: str = "gaussian") -> DataFrame:
+    """bandwidth and gcv of candidates between the 5th and the 50th percentile of distances: all of them in one plan."""
     lo, hi = (r["distance"] for r in cell_distance_quantiles(rows, [0.05, 0.5]).orderBy("share").collect())
-    table = _checked(rows, most_cells)
-    sent = rows.sparkSession.sparkContext.broadcast(table)
-    steps = F.explode(F.array(*[F.lit(float(b)) for b in np.linspace(lo, hi, candidates)])).alias("bandwidth")
 
     def solve(batches):
-        x, y, place = _local(sent.value)
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                w = kernel(np.hypot(place[:, 0] - r.cx, place[:, 1] - r.cy) / r.bandwidth, kind)
-                own = np.array([1.0, r.y_lag, r.dist_center, r.seasonal])
-                inner = x.T @ (x * w[:, None]) + 1e-10 * np.eye(4)
-                root = np.sqrt(w)
-                beta = np.linalg.pinv(x * root[:, None]) @ (y * root)
-                out.append((r.bandwidth, (r.y - own @ beta) ** 2, own @ np.linalg.pinv(inner) @ own))
-            yield pd.DataFrame(out, columns=["bandwidth", "e2", "h"])
-
-    each = rows.select("*", steps).repartition("bandwidth", "flat_idx").mapInPandas(solve, "bandwidth double, e2 double, h double")
+        for pdf in batches:
+            x, y = _design([pdf[c].to_numpy(float) for c in ("y_lag", "dist_center", "seasonal", "y")])
+            inner, beta, _ = _solved(np.stack(pdf["sums"]) if len(pdf) else np.zeros((0, len(PAIRS))))
+            hat = np.einsum("na,nab,nb->n", x, np.linalg.pinv(inner + 1e-10 * np.eye(4), hermitian=True), x)
+            yield pd.DataFrame({"bandwidth": pdf["bandwidth"], "e2": (y - (x * beta).sum(axis=1)) ** 2, "h": hat})
+
+    each = _local_sums(rows, list(np.linspace(lo, hi, candidates)), kind).mapInPandas(solve, "bandwidth double, e2 double, h double")
     return each.groupBy("bandwidth").agg((F.avg("e2") / F.pow(1 - F.avg("h"), 2)).alias("gcv"))
 
 

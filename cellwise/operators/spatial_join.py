@@ -51,7 +51,7 @@ def _scale(points: DataFrame, radius: float, seconds: float | None) -> int:
 def block_pairs(points: DataFrame, radius: float, keys: tuple[str, ...], values: tuple[str, ...], f: Callable, schema: str, seconds: float | None = None) -> DataFrame:
     """f's rows for all pairs of blocks of points that may be within radius (and seconds, by ts) of each other.
 
-    points have keys (pairs have equal ones), x, y, values (longs) and, with seconds, ts. Buckets measure the radius or more; each pair of neighbouring ones is met once. A bucket's points are cut into blocks of BLOCK, and a large
+    points have keys (pairs have equal ones), x, y, values (longs or doubles) and, with seconds, ts. Buckets measure the radius or more; each pair of neighbouring ones is met once. A bucket's points are cut into blocks of BLOCK, and a large
     bucket's blocks are dealt over many tasks. f gets the key values, two matrices (a row each for x, y, the values' bits, then
     ts) as float64 and whether both are one block; it gives an array for each column of schema, or nothing.
     """
@@ -60,7 +60,8 @@ def block_pairs(points: DataFrame, radius: float, keys: tuple[str, ...], values:
     wide = _scale(points, radius, seconds)
     radius, seconds = radius * wide, seconds * wide if timed else None
     cell = [F.floor(F.col("x") / radius).alias("bx"), F.floor(F.col("y") / radius).alias("by"), (F.floor(F.col("ts") / seconds) if timed else F.lit(0).cast("long")).alias("bt")]
-    own = points.select(*keys, *cell, *[F.col(c).cast("long" if c in values else "double").alias(c) for c in names])
+    whole = {c for c in values if points.schema[c].dataType != T.DoubleType()}
+    own = points.select(*keys, *cell, *[F.col(c).cast("long" if c in whole else "double").alias(c) for c in names])
     where = [*keys, "bx", "by", "bt"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

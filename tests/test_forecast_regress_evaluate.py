@@ -147,6 +147,25 @@ def test_gwr_against_weighted_least_squares(spark):
     assert abs(regress.cell_distance_quantiles(rows, [0.25]).first()["distance"] - np.percentile(pairs, 25)) < 1e-9
 
 
+def test_gwr_of_a_quarter_of_a_million_cells(spark):
+    spec = GridSpec(1.0, 0.0, 0.0, 500, 500)
+    cell = spec.cells(spark)
+    y = (F.pmod(F.col("row") * 7 + F.col("col") * 3, F.lit(11)) + F.col("row") / 100).cast("double")
+    rows = cell.select("flat_idx", "row", "col", "cx", "cy", y.alias("y"), F.pmod(F.col("row") + F.col("col") * 5, F.lit(7)).cast("double").alias("y_lag"), (F.abs(F.col("cx") - 250) / 250).alias("dist_center"), F.lit(0.5).alias("seasonal"))
+    fitted = regress.gwr(rows, 20.0).where("flat_idx IN (0, 125250, 249999)").collect()
+    table = rows.toPandas()
+    a = np.column_stack([np.ones(len(table)), table["y_lag"], table["dist_center"], table["seasonal"]])
+    assert len(fitted) == 3
+    for r in fitted:
+        own = table.iloc[r.flat_idx]
+        w = np.exp(-0.5 * ((table["cx"] - own["cx"]) ** 2 + (table["cy"] - own["cy"]) ** 2) / 400).to_numpy()
+        beta = np.linalg.lstsq(a * np.sqrt(w)[:, None], table["y"] * np.sqrt(w), rcond=1e-10)[0]
+        at = a[r.flat_idx]
+        mean = (w * table["y"]).sum() / w.sum()
+        r2 = 1 - (w * (table["y"] - a @ beta) ** 2).sum() / (w * (table["y"] - mean) ** 2).sum()
+        assert abs(r.yhat - at @ beta) < 1e-6 and abs(r.local_r2 - r2) < 1e-6 and abs(r.temporal_lag - beta[1]) < 1e-6
+
+
 def scored(spark, pred, actual):
     return spark.createDataFrame([(i, 0, i, float(p), float(a)) for i, (p, a) in enumerate(zip(pred, actual, strict=True))], "flat_idx int, row int, col int, pred double, actual double")
 
