@@ -19,8 +19,19 @@ def _near(a: np.ndarray, b: np.ndarray, one: bool, eps: float, seconds: float) -
     return near
 
 
+def _keyed(events: DataFrame) -> DataFrame:
+    """events with _row, which tells rows apart whatever their event_id; written, so that it stays."""
+    return saved(events.withColumn("_row", F.monotonically_increasing_id()), "events")
+
+
 def stdbscan(events: DataFrame, eps_spatial: float = 1000.0, eps_seconds: float = 30 * 86400.0, min_samples: int = 10) -> DataFrame:
-    """event_id and cluster of every event; -1 is noise.
+    """event_id and cluster of every event, a row each also where event_ids repeat; -1 is noise. See clusters_of."""
+    rows = _keyed(events.select("event_id", "x", "y", "datetime"))
+    return rows.select("_row", "event_id").join(clusters_of(rows, eps_spatial, eps_seconds, min_samples), "_row").select("event_id", "cluster")
+
+
+def clusters_of(events: DataFrame, eps_spatial: float = 1000.0, eps_seconds: float = 30 * 86400.0, min_samples: int = 10) -> DataFrame:
+    """_row and cluster of every event; -1 is noise.
 
     An event is core with min_samples neighbours or more, itself not counted. Clusters are the components of core events
     within reach of each other, numbered by their smallest event_id; a border event belongs to the smallest-numbered
@@ -61,25 +72,27 @@ def stdbscan(events: DataFrame, eps_spatial: float = 1000.0, eps_seconds: float
                 out.append((x[2].view(np.int64)[at[least < 2**62]], least[least < 2**62]))
         return [np.concatenate(c) for c in zip(*out, strict=True)] if out else []
 
-    points = events.select(F.col("event_id").alias("id"), "x", "y", (F.unix_micros(F.col("datetime").cast("timestamp")) / 1e6).alias("ts"))
-    known = points.where("x IS NOT NULL AND y IS NOT NULL AND ts IS NOT NULL AND id IS NOT NULL")
+    points = events.select(F.col("_row").alias("id"), "event_id", "x", "y", (F.unix_micros(F.col("datetime").cast("timestamp")) / 1e6).alias("ts"))
+    known = points.where("x IS NOT NULL AND y IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL")
     counts = block_pairs(known, eps_spatial, (), ("id",), count, "id long, n long", eps_seconds)
     core = saved(counts.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("id"), "core")
     links = block_pairs(known.join(core, "id", "left_semi"), eps_spatial, (), ("id",), link, "a long, b long", eps_seconds)
     parts = connected_components(links)
     rooted = core.join(parts, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
-    roots = rooted.select("root").distinct()
+    roots = rooted.join(points.select("id", "event_id"), "id").groupBy("root").agg(F.min("event_id").alias("least"))
     # One row a cluster: far fewer than events; numbered in the order of their smallest event.
-    numbers = roots.withColumn("cluster", (F.row_number().over(Window.orderBy("root")) - 1).cast("long"))
+    numbers = roots.withColumn("cluster", (F.row_number().over(Window.orderBy("least", "root")) - 1).cast("long"))
     labelled = saved(rooted.join(numbers, "root").select("id", "cluster"), "labelled")
     marked = known.join(labelled, "id", "left").withColumn("own", F.coalesce("cluster", F.lit(-1)))
     reached = block_pairs(marked, eps_spatial, (), ("id", "own"), border, "id long, near long", eps_seconds).groupBy("id").agg(F.min("near").alias("near"))
     out = points.join(labelled, "id", "left").join(reached, "id", "left")
-    return out.select(F.col("id").alias("event_id"), F.coalesce("cluster", "near", F.lit(-1)).cast("int").alias("cluster"))
+    return out.select(F.col("id").alias("_row"), F.coalesce("cluster", "near", F.lit(-1)).cast("int").alias("cluster"))
 
 
 def fit_transform(events: DataFrame, **options) -> DataFrame:
-    return events.join(stdbscan(events, **options), "event_id")
+    """events with their cluster: as many rows as before, also where event_ids repeat."""
+    rows = _keyed(events)
+    return rows.join(clusters_of(rows, **options), "_row").drop("_row")
 
 
 def cluster_summary(clustered: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cellwise.functions import numerics
 from cellwise.functions.grid import GridSpec
 from cellwise.functions.stats import two_sided_p, z_threshold
+from cellwise.operators.forecast import by_length, series_of
 from cellwise.operators.neighbors import neighbour_sums
 from cellwise.operators.spatial_join import block_pairs
 
@@ -103,33 +104,60 @@ def lisa(cube: DataFrame, spec: GridSpec, value: str = "count", alpha: float = 0
     return out.withColumn("label", names[F.col("quadrant")])
 
 
-def lisa_p_values(cube: DataFrame, spec: GridSpec, value: str = "count", permutations: int = 199, seed: int = 42) -> DataFrame:
-    """t, flat_idx, local_i, p_sim: conditional permutations, one group function per period (a grid of n_cells values)."""
-    n, ncols, nrows = spec.n_cells, spec.ncols, spec.nrows
+def drawn(seed: int, cells: np.ndarray, permutations: int, m: int, n: int) -> np.ndarray:
+    """m different numbers below n for each cell and permutation (Floyd's way): the same wherever and in whatever company a cell is worked on."""
+    start = (np.uint64(seed * 0xD1342543DE82EF95 % 2**64) + cells.astype(np.uint64)[:, None]) * np.uint64(0x9E3779B97F4A7C15) + np.arange(permutations, dtype=np.uint64)
+    out = np.empty((len(cells), permutations, m), np.int64)
+    for j in range(m):
+        x = (start ^ np.uint64((j + 1) * 0xBF58476D1CE4E5B9 % 2**64)) * np.uint64(0x94D049BB133111EB)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        pick = ((x ^ (x >> np.uint64(31))) % np.uint64(n - m + j + 1)).astype(np.int64)
+        taken = (out[:, :, :j] == pick[:, :, None]).any(axis=2)
+        out[:, :, j] = np.where(taken, n - m + j, pick)
+    return out
+
+
+def lisa_p_values(cube: DataFrame, spec: GridSpec, value: str = "count", permutations: int = 199, seed: int = 42, block: int = 1024) -> DataFrame:
+    """t, flat_idx, local_i, p_sim: conditional permutations, each cell's own from its number, so that any dealing gives the same.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros(n)
-        x[pdf["flat_idx"].to_numpy()] = pdf[value].to_numpy()
-        z = x - x.mean()
-        m2 = (z**2).mean()
-        grid = np.pad(z.reshape(nrows, ncols), 1)
-        ones = np.pad(np.ones((nrows, ncols)), 1)
-        shifts = [(r, c) for r in range(3) for c in range(3) if (r, c) != (1, 1)]
-        total = sum(grid[r : r + nrows, c : c + ncols] for r, c in shifts).reshape(-1)
-        deg = sum(ones[r : r + nrows, c : c + ncols] for r, c in shifts).reshape(-1).astype(int)
-        local = np.where(m2 > 0, z * total / np.maximum(deg, 1) / (m2 or 1), 0.0)
-        rng = np.random.default_rng(seed)
-        most = int(deg.max(initial=0))
-        picks = np.stack([rng.permutation(n - 1)[:most] for _ in range(permutations)])
-        p = np.ones(n)
-        for i in range(n):
-            own = picks[:, : deg[i]]
-            sim = z[i] * z[own + (own >= i)].mean(axis=1) / (m2 or 1) if deg[i] else np.zeros(permutations)
-            more = int((sim >= local[i]).sum())
-            p[i] = (min(more, permutations - more) + 1) / (permutations + 1)
-        return pd.DataFrame({"t": pdf["t"].iloc[0], "flat_idx": np.arange(n, dtype="int32"), "local_i": local, "p_sim": p})
-
-    return cube.select("t", "flat_idx", value).groupBy("t").applyInPandas(one, "t int, flat_idx int, local_i double, p_sim double")
+    A period's values are one array; blocks of its cells are dealt over all tasks, each with that array.
+    """
+    n, ncols, nrows = spec.n_cells, spec.ncols, spec.nrows
+    shifts = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r, c) != (0, 0)]
+
+    def cells(z: np.ndarray, m2: float, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row, col = own // ncols, own % ncols
+        total, deg = np.zeros(len(own)), np.zeros(len(own), int)
+        for dr, dc in shifts:
+            inside = (row + dr >= 0) & (row + dr < nrows) & (col + dc >= 0) & (col + dc < ncols)
+            total[inside] += z[own[inside] + dr * ncols + dc]
+            deg += inside
+        local = z[own] * total / np.maximum(deg, 1) / (m2 or 1) if m2 > 0 else np.zeros(len(own))
+        p = np.ones(len(own))
+        for d in np.unique(deg):
+            at = np.flatnonzero(deg == d)
+            picks = drawn(seed, own[at], permutations, int(d), n - 1)
+            picks += picks >= own[at][:, None, None]  # never the cell itself
+            sim = z[own[at]][:, None] * z[picks].mean(axis=2) / (m2 or 1) if d else np.zeros((len(at), permutations))
+            more = (sim >= local[at][:, None]).sum(axis=1)
+            p[at] = (np.minimum(more, permutations - more) + 1) / (permutations + 1)
+        return local, p
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                x = np.zeros(n)
+                x[np.asarray(r.at)] = r.values
+                z = x - x.mean()
+                own = np.arange(r.first, min(r.first + block, n))
+                local, p = cells(z, float((z**2).mean()), own)
+                yield pd.DataFrame({"t": r.t, "flat_idx": own.astype("int32"), "local_i": local, "p_sim": p})
+
+    whole = cube.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("flat_idx", F.col(value).cast("double").alias("v")))).alias("g"))
+    dealt = whole.select("t", F.col("g.flat_idx").alias("at"), F.col("g.v").alias("values"), F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(block))).alias("first"))
+    tasks = int(cube.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, "t", "first").mapInPandas(run, "t int, flat_idx int, local_i double, p_sim double")
 
 
 def pair_counts(points: DataFrame, distances: list[float], keys: tuple[str, ...] = ()) -> DataFrame:
@@ -188,12 +216,13 @@ STATIONARITY = "adf_statistic double, adf_p_value double, adf_stationary boolean
 
 
 def stationarity(cube: DataFrame, min_total: float = 5) -> DataFrame:
-    """ADF and KPSS of each active cell's series, with a verdict; sorted by verdict and cell. One group function per cell."""
+    """ADF and KPSS of each active cell's series, with a verdict; sorted by verdict and cell. A task's cells are tested together."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("t")["count"].to_numpy()
-        return pd.DataFrame([{"row": pdf["row"].iloc[0], "col": pdf["col"].iloc[0], **numerics.stationarity(x)}])
+    def run(batches):
+        for pdf in batches:
+            for rows, x in by_length(pdf):
+                yield pd.concat([rows[["row", "col"]].reset_index(drop=True), pd.DataFrame(numerics.stationarity_many(x))], axis=1)
 
     active = cube.groupBy("row", "col").agg(F.sum("count").alias("total")).where(F.col("total") >= min_total).select("row", "col")
-    return cube.join(active, ["row", "col"]).groupBy("row", "col").applyInPandas(one, f"row int, col int, {STATIONARITY}").orderBy("verdict", "row", "col")
-
+    series = series_of(cube, "row", "col").join(active, ["row", "col"])
+    return series.mapInPandas(run, f"row int, col int, {STATIONARITY}").orderBy("verdict", "row", "col")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,44 +39,67 @@ def model_counts(routed: DataFrame) -> DataFrame:
     return routed.groupBy("model").agg(F.count("*").alias("n"))
 
 
-def predict_series(x: np.ndarray, model: str, steps: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-    """The model that worked (a failing one falls through to the next), and point, lower and upper, none below 0."""
-    if model == "zero":
-        return model, *(np.zeros(steps) for _ in range(3))
-    for name in ("seasonal", "arima", "ses", "mean"):
-        if ("seasonal", "arima", "ses", "mean").index(name) < ("seasonal", "arima", "ses", "mean").index(model):
+MODELS = ("seasonal", "arima", "ses", "mean")
+
+
+def _predicted(x: np.ndarray, model: str, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Point, lower and upper of each lane (series of one length) under one model; not finite where it fails."""
+    if model == "seasonal":
+        return tuple(np.stack(v) for v in zip(*(numerics.seasonal(own, steps) for own in x), strict=True))
+    if model == "arima":
+        point, spread = np.full((len(x), steps), np.nan), np.full((len(x), steps), np.nan)
+        still = numerics.adf_many(x)[1] < 0.05
+        for d, lanes in ((0, np.flatnonzero(still)), (1, np.flatnonzero(~still))):
+            if len(lanes):
+                point[lanes], spread[lanes] = numerics.arima_many(x[lanes], d, steps)
+    else:
+        level, sd = numerics.ses_many(x) if model == "ses" else (x.mean(axis=1), x.std(axis=1))
+        point, spread = np.repeat(level[:, None], steps, axis=1), np.repeat(sd[:, None], steps, axis=1)
+    point = np.maximum(point, 0)
+    return point, point - Z95 * spread, point + Z95 * spread
+
+
+def predict_many(x: np.ndarray, models: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """The model that worked for each lane (a failing one falls through to the next), and point, lower and upper (lanes x 3 x steps), none below 0."""
+    used, out = models.astype(object), np.zeros((len(x), 3, steps))
+    for model, following in zip(MODELS, (*MODELS[1:], None), strict=True):
+        lanes = np.flatnonzero(used == model)
+        if not len(lanes):
             continue
-        try:
-            if name == "seasonal":
-                point, sd = numerics.seasonal(x, steps)
-                spread = np.full(steps, sd)
-            elif name == "arima":
-                point, spread = numerics.arima_11(x, 0 if numerics.adf(x)[1] < 0.05 else 1, steps)
-            elif name == "ses":
-                level, sd = numerics.ses(x)
-                point, spread = np.full(steps, level), np.full(steps, sd)
-            else:
-                point, spread = np.full(steps, x.mean()), np.full(steps, x.std())
-            if np.isfinite(point).all() and np.isfinite(spread).all():
-                point = np.maximum(point, 0)
-                return name, point, np.maximum(point - Z95 * spread, 0), np.maximum(point + Z95 * spread, 0)
-        except (np.linalg.LinAlgError, ValueError, OverflowError):
-            continue
-    raise ValueError(f"no model for {model}")
+        with np.errstate(all="ignore"):
+            out[lanes] = np.stack(_predicted(x[lanes], model, steps), axis=1)
+        failed = lanes[~np.isfinite(out[lanes]).all(axis=(1, 2))]
+        if following and len(failed):
+            used[failed] = following
+    return used, np.maximum(out, 0)
+
+
+def series_of(cube: DataFrame, *keys: str) -> DataFrame:
+    """keys and x, the counts of each cell in the order of periods: a row a cell."""
+    return cube.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("t", F.col("count").cast("double").alias("v")))), lambda p: p["v"]).alias("x"))
+
+
+def by_length(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Rows with series of one length, and these as lanes."""
+    for n, rows in pdf.groupby(pdf["x"].map(len)):
+        yield rows, np.stack(rows["x"]).reshape(len(rows), n)
 
 
 def forecast_cells(cube: DataFrame, train_end: int, steps: int, min_obs_arima: int = 8, use_seasonal: bool = False) -> DataFrame:
-    """step, flat_idx, row, col, model, yhat, lower, upper: each cell's series in a group function, routed beforehand."""
+    """step, flat_idx, row, col, model, yhat, lower, upper: cells are routed beforehand; a task's cells are forecast together."""
+    keys = ["flat_idx", "row", "col"]
     models = route(cube, train_end, min_obs_arima, use_seasonal).select("flat_idx", "model")
-    series = cube.where(F.col("t") < train_end).join(models, "flat_idx")
+    series = series_of(cube.where(F.col("t") < train_end), *keys).join(models, "flat_idx")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("t")["count"].to_numpy()
-        name, point, low, high = predict_series(x, pdf["model"].iloc[0], steps)
-        head = {c: pdf[c].iloc[0] for c in ("flat_idx", "row", "col")}
-        return pd.DataFrame({"step": np.arange(steps, dtype="int32"), **head, "model": name, "yhat": point, "lower": low, "upper": high})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for rows, x in by_length(pdf):
+                used, found = predict_many(x, rows["model"].to_numpy(), steps)
+                head = {c: np.repeat(rows[c].to_numpy(), steps) for c in keys}
+                values = {c: found[:, k].reshape(-1) for k, c in enumerate(("yhat", "lower", "upper"))}
+                yield pd.DataFrame({"step": np.tile(np.arange(steps, dtype="int32"), len(rows)), **head, "model": np.repeat(used, steps), **values})
 
-    return series.groupBy("flat_idx", "row", "col").applyInPandas(one, "step int, flat_idx int, row int, col int, model string, yhat double, lower double, upper double")
+    return series.mapInPandas(run, "step int, flat_idx int, row int, col int, model string, yhat double, lower double, upper double")
 
 
 def taps(sigma: float) -> list[tuple[int, float]]:

@@ -56,16 +56,20 @@ def of_types(rows: DataFrame, types: list[str]) -> DataFrame:
     return rows.where(F.col("crime_type").isin(types))
 
 
+def _numbered(rows: DataFrame, same: list[str]) -> DataFrame:
+    """rows with an event_id: reports that are equal in all of same are counted, so that each has an id of its own."""
+    made = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*same).orderBy(same[0])))
+    return made.withColumn("event_id", F.xxhash64(*same, "_n")).drop("_n")
+
+
 def _loaded(raw: DataFrame, when: str, offense: str, names: dict[str, str], zone: int, limit: int | None, start: str | None, end: str | None) -> DataFrame:
     """Filter and, with a limit, keep the newest rows as the remote service would; then categories, projection and order by time."""
     rows = raw.withColumn("datetime", F.try_to_timestamp(F.col(when)).cast("timestamp_ntz"))
     found = in_period(rows.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()), start, end)
     found = found if limit is None else found.orderBy(F.desc("datetime")).limit(limit)
     made = cleansed(found.withColumn("crime_type", categorised(F.col(offense), names)), zone=zone)
-    # Reports that are equal in all of these are counted, so that each has an id of its own.
-    same = ["datetime", "x", "y", offense]
-    made = made.withColumn("_n", F.row_number().over(Window.partitionBy(*same).orderBy("datetime")))
-    return made.select(F.xxhash64(*same, "_n").alias("event_id"), "x", "y", "datetime", "crime_type", F.lit(-1).alias("hotspot_id")).orderBy("datetime")
+    made = _numbered(made, ["datetime", "x", "y", offense])
+    return made.select("event_id", "x", "y", "datetime", "crime_type", F.lit(-1).alias("hotspot_id")).orderBy("datetime")
 
 
 def nyc(raw: DataFrame, limit: int | None = None, start: str | None = None, end: str | None = None, types: list[str] | None = None) -> DataFrame:
@@ -85,8 +89,8 @@ def read_lonlat_csv(spark: SparkSession, path: str, datetime_col: str = "datetim
     kind = F.col(type_col) if type_col in raw.columns else F.lit("other")
     spot = F.col("hotspot_id").try_cast("int") if "hotspot_id" in raw.columns else F.lit(-1)
     rows = raw.select(F.try_to_timestamp(F.col(datetime_col)).cast("timestamp_ntz").alias("datetime"), F.col(lat_col).alias("latitude"), F.col(lon_col).alias("longitude"), kind.alias("crime_type"), spot.alias("hotspot_id"))
-    made = cleansed(rows.where("datetime IS NOT NULL"), zone=zone)
-    return made.select(F.xxhash64("datetime", "longitude", "latitude", "crime_type").alias("event_id"), "x", "y", "datetime", "crime_type", "hotspot_id").orderBy("datetime")
+    made = _numbered(cleansed(rows.where("datetime IS NOT NULL"), zone=zone), ["datetime", "longitude", "latitude", "crime_type"])
+    return made.select("event_id", "x", "y", "datetime", "crime_type", "hotspot_id").orderBy("datetime")
 
 
 def load_or_generate(spark: SparkSession, path: str, **options) -> DataFrame:

@@ -70,6 +70,30 @@ def test_lisa(spark):
     assert sorted(map(tuple, p.collect())) == sorted(map(tuple, again.collect())) and all(1 / 50 <= r.p_sim <= 1 for r in p.collect())
 
 
+def test_permutations_are_the_same_for_any_dealing(spark):
+    x = np.random.default_rng(8).poisson(3, (2, 4, 5)).astype(float)
+    cube = grid_cube(spark, x, SPEC)
+    rows = [sorted(map(tuple, explore.lisa_p_values(c, SPEC, permutations=99, block=b).collect())) for c, b in ((cube, 1024), (cube.repartition(7), 3))]
+    assert rows[0] == rows[1] and len(rows[0]) == 40
+    plan = explore.lisa_p_values(cube, SPEC, block=3)
+    assert plan.rdd.getNumPartitions() > 1
+    picks = explore.drawn(42, np.arange(400), 199, 8, 39)
+    assert picks.min() == 0 and picks.max() == 38 and all(len(set(p)) == 8 for p in picks[:50].reshape(-1, 8).tolist())
+    share = np.bincount(picks.reshape(-1), minlength=39) / picks.size
+    assert np.abs(share - 1 / 39).max() < 0.001
+    assert not (explore.drawn(43, np.arange(400), 199, 8, 39) == picks).all()
+    # Against permutations drawn by numpy: the same shares of simulated values at or over the observed one.
+    z = x[0].reshape(-1) - x[0].mean()
+    rng, m2 = np.random.default_rng(1), (z**2).mean()
+    many = {r[1]: r for r in map(tuple, explore.lisa_p_values(cube.where("t = 0"), SPEC, permutations=1999).collect())}
+    w = queen(4, 5)
+    for i in (0, 7, 12, 19):
+        other, deg = np.delete(z, i), int(w[i].sum())
+        sim = np.array([z[i] * rng.choice(other, deg, replace=False).mean() / m2 for _ in range(4000)])
+        share = (sim >= many[i][2]).mean()
+        assert abs(many[i][3] - min(share, 1 - share)) < 0.05
+
+
 def test_ripley_against_brute_force(spark):
     xy = np.round(np.random.default_rng(4).uniform(0, 40, (150, 2)))
     df = points(spark, xy)
@@ -180,3 +204,13 @@ def test_largest_and_described(spark):
     assert np.allclose(got.loc[expected.index, expected.columns], expected)
     counts = grid_cube(spark, np.arange(20.0).reshape(1, 4, 5), SPEC)
     assert [r.flat_idx for r in cube.most_active(counts).collect()] == [19, 18, 17]
+
+
+def test_rows_of_one_event_id_stay_apart(spark):
+    from datetime import datetime
+
+    rows = [(7, 10.0, 10.0, datetime(2024, 1, 1))] * 12 + [(8, 5000.0, 5000.0, datetime(2024, 1, 1))] * 3
+    df = spark.createDataFrame(rows, "event_id long, x double, y double, datetime timestamp_ntz")
+    found = cluster.fit_transform(df, min_samples=5).collect()
+    assert len(found) == 15 and sorted((r.event_id, r.cluster) for r in found) == [(7, 0)] * 12 + [(8, -1)] * 3
+    assert sorted(map(tuple, cluster.stdbscan(df, min_samples=5).collect())) == [(7, 0)] * 12 + [(8, -1)] * 3

@@ -65,11 +65,33 @@ def test_arma_likelihood_against_the_covariance_matrix():
     g0 = (1 + 2 * phi * theta + theta**2) / (1 - phi**2)
     g1 = (1 + phi * theta) * (phi + theta) / (1 - phi**2)
     cov = np.array([[g0 if i == j else g1 * phi ** (abs(i - j) - 1) for j in range(12)] for i in range(12)])
-    e, f, _, _ = numerics._arma_filter(y, phi, theta)
+    e, f, _ = (v[0] for v in numerics.arma_filter(y[None], np.array([phi]), np.array([theta])))
     assert abs((e * e / f).sum() - y @ np.linalg.solve(cov, y)) < 1e-9
     assert abs(np.log(f).sum() - np.linalg.slogdet(cov)[1]) < 1e-9
 
 
+def test_lanes_give_what_each_series_gives_alone():
+    rng = np.random.default_rng(6)
+    x = rng.poisson(4, (40, 30)).astype(float)
+    x[:10] = x[:10].cumsum(axis=1)
+    x[10], x[11], x[12] = 0, 5, np.arange(30)
+    for many, one in ((numerics.ses_many, numerics.ses), (numerics.adf_many, numerics.adf)):
+        assert np.allclose(np.stack(many(x), axis=1), [one(v) for v in x], rtol=1e-7, atol=1e-9)
+    for d in (0, 1):
+        point, spread = numerics.arima_many(x, d, 5)
+        for k, v in enumerate(x):
+            a, b = numerics.arima_11(v, d, 5)
+            assert np.allclose(point[k], a, rtol=1e-7, atol=1e-9) and np.allclose(spread[k], b, rtol=1e-7, atol=1e-9)
+    for a, b in zip(numerics.stationarity_many(x), map(numerics.stationarity, x), strict=True):
+        assert a == b
+    models = np.array(["arima", "ses", "mean", "seasonal"] * 9 + ["zero"] * 4)
+    used, found = forecast.predict_many(x, models, 3)
+    for k in (0, 1, 2, 3, 12, 39):
+        own, alone = forecast.predict_many(x[k : k + 1], models[k : k + 1], 3)
+        assert own[0] == used[k] and np.allclose(alone[0], found[k], rtol=1e-7, atol=1e-9)
+    assert (found[36:] == 0).all() and (used[36:] == "zero").all() and (found[:, 1] <= found[:, 0]).all() and (found[:, 0] <= found[:, 2]).all()
+
+
 def test_ses_is_the_best_of_its_family():
     x = np.random.default_rng(4).normal(5, 1, 60)
     level, sd = numerics.ses(x)
@@ -166,6 +188,36 @@ def test_gwr_of_a_quarter_of_a_million_cells(spark):
         assert abs(r.yhat - at @ beta) < 1e-6 and abs(r.local_r2 - r2) < 1e-6 and abs(r.temporal_lag - beta[1]) < 1e-6
 
 
+def test_additive_model_finds_a_change_of_slope_and_the_season():
+    t = np.arange(72)
+    truth = lambda at: 20 + 0.8 * at - 1.3 * np.maximum(at - 30, 0) + 4 * np.sin(2 * np.pi * at / 12) + 2 * np.cos(4 * np.pi * at / 12)
+    x = truth(t) + np.random.default_rng(3).normal(0, 0.3, 72)
+    model = numerics.fit_additive(x)
+    near = np.abs(model.knots * 71 - 30) < 6
+    assert abs(model.changes[near].sum() + 1.3) < 0.15 and np.abs(model.changes[~near]).sum() < 0.15
+    assert 0.15 < model.noise < 0.6
+    point, low, high = numerics.seasonal(x, 12)
+    ahead = truth(np.arange(72, 84))
+    assert np.abs(point - ahead).max() < 1.5 and (low < ahead).all() and (ahead < high).all()
+    assert (np.diff(high - low)[1:] > -0.2).all() and high[-1] - low[-1] > high[0] - low[0]
+    again = numerics.seasonal(x, 12)
+    assert all((a == b).all() for a, b in zip((point, low, high), again, strict=True))
+    for flat in (np.zeros(24), np.full(24, 5.0), np.arange(3.0)):
+        point, low, high = numerics.seasonal(flat, 3)
+        assert np.isfinite([point, low, high]).all() and (low <= high).all()
+    assert np.abs(numerics.seasonal(np.full(24, 5.0), 3)[0] - 5).max() < 0.05
+
+
+def test_penalised_least_squares_meets_its_conditions():
+    rng = np.random.default_rng(4)
+    a, y = rng.normal(size=(40, 6)), rng.normal(size=40)
+    ridge, lasso = np.array([0.5, 0, 0, 2, 0, 0]), np.array([0, 0, 9.0, 0, 3, 200])
+    b = numerics.shrunk(a.T @ a, a.T @ y, ridge, lasso)
+    slope = a.T @ (y - a @ b) - ridge * b
+    assert b[5] == 0 and (np.abs(slope) <= lasso + 1e-6).all()
+    assert np.allclose(slope[b != 0], (lasso * np.sign(b))[b != 0], atol=1e-6)
+
+
 def scored(spark, pred, actual):
     return spark.createDataFrame([(i, 0, i, float(p), float(a)) for i, (p, a) in enumerate(zip(pred, actual, strict=True))], "flat_idx int, row int, col int, pred double, actual double")
 

@@ -44,6 +44,14 @@ def test_loaders(spark, tmp_path):
     assert len(own) == 1 and own[0].crime_type == "other" and own[0].datetime == dt.datetime(2024, 1, 2, 3)
 
 
+def test_equal_csv_rows_are_events_of_their_own(spark, tmp_path):
+    path = tmp_path / "equal.csv"
+    path.write_text("datetime,latitude,longitude\n" + "2024-01-01 10:00:00,41.9,-87.6\n" * 12)
+    own = events.read_lonlat_csv(spark, str(path))
+    assert own.count() == own.select("event_id").distinct().count() == 12
+    assert cluster.fit_transform(own.limit(3), min_samples=5).where("cluster = -1").count() == 3
+
+
 @pytest.mark.parametrize("name", ["made.csv", "made"])
 def test_load_or_generate(spark, tmp_path, name):
     path = f"{tmp_path}/{name}"
