@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cellwise.functions.grid import GridSpec
 from cellwise.operators.cube import event_counts
+from cellwise.operators.lineage import saved
 
 
 def scored(prediction: DataFrame, events: DataFrame, spec: GridSpec, value: str = "yhat") -> DataFrame:
@@ -75,13 +76,34 @@ def pai_curve(pairs: DataFrame, percentiles: tuple[float, ...] = tuple(range(50,
     return _limits(pairs, list(percentiles)).groupBy("percentile").agg(*[rates[n].alias(n) for n in ("area_fraction", "hit_rate", "pai")])
 
 
+def running_sums(rows: DataFrame, by: str, values: list[str]) -> DataFrame:
+    """rows (one for each value of by) with upto_<value>: the sums from the greatest by down to the row's own.
+
+    The rows are cut into ranges of by, each summed up in a task of its own, and get what the ranges before it have in all: a
+    row a range. No task sees all rows.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = saved(rows.repartitionByRange(parts, F.desc(by)).withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("_part").agg(*[F.sum(v).alias(v) for v in values])
+    listed = totals.agg(F.collect_list(F.struct("_part", *values)).alias("_all"))
+
+    def before(value: str) -> Column:
+        return F.aggregate(F.filter("_all", lambda x: x["_part"] < F.col("_part")), F.lit(0).cast("long"), lambda a, x: a + x[value])
+
+    ahead = totals.select("_part").join(F.broadcast(listed)).select("_part", *[before(v).alias(f"_{v}") for v in values])
+    own = Window.partitionBy("_part").orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, 0)
+    inside = dealt.withColumns({f"upto_{v}": F.sum(v).over(own) for v in values})
+    whole = inside.join(F.broadcast(ahead), "_part")
+    return whole.withColumns({f"upto_{v}": F.col(f"upto_{v}") + F.col(f"_{v}") for v in values}).drop("_part", *[f"_{v}" for v in values])
+
+
 def _cumulative(pairs: DataFrame, least_actual: float) -> DataFrame:
-    """Per distinct score, from the highest: true and false positives so far, and all there are. A row a score, as many as cells at most."""
+    """Per distinct score: own_tp and own_fp, tp and fp from the highest score down, and all there are (p, n). A row a score, as many as cells at most."""
     truth = (F.col("actual") > least_actual).cast("long")
-    scores = pairs.groupBy(F.round("pred", 9).alias("threshold")).agg(F.sum(truth).alias("tp"), F.sum(1 - truth).alias("fp"))
-    upto = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = scores.agg(F.sum("tp").alias("p"), F.sum("fp").alias("n"))
-    return scores.select("threshold", F.sum("tp").over(upto).alias("tp"), F.sum("fp").over(upto).alias("fp")).join(F.broadcast(whole))
+    scores = pairs.groupBy(F.round("pred", 9).alias("threshold")).agg(F.sum(truth).alias("own_tp"), F.sum(1 - truth).alias("own_fp"))
+    found = running_sums(scores, "threshold", ["own_tp", "own_fp"])
+    whole = scores.agg(F.sum("own_tp").alias("p"), F.sum("own_fp").alias("n"))
+    return found.select("threshold", "own_tp", "own_fp", F.col("upto_own_tp").alias("tp"), F.col("upto_own_fp").alias("fp")).join(F.broadcast(whole))
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -95,10 +117,10 @@ def roc_curve(pairs: DataFrame, least_actual: float = 1) -> DataFrame:
 
 def auc(pairs: DataFrame, least_actual: float = 1) -> DataFrame:
     """Area under the ROC curve by trapezoids."""
-    order = Window.orderBy(F.desc("threshold"))
-    before = lambda c: F.coalesce(F.lag(c).over(order), F.lit(0.0))
-    rows = roc_curve(pairs, least_actual).select(((F.col("fpr") - before("fpr")) * (F.col("tpr") + before("tpr")) / 2).alias("a"))
-    return rows.agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("auc"))
+    # What came before a score is what has come with it, less its own.
+    rows = _cumulative(pairs, least_actual)
+    tpr, before = _share(F.col("tp"), F.col("p")), _share(F.col("tp") - F.col("own_tp"), F.col("p"))
+    return rows.select((_share(F.col("own_fp"), F.col("n")) * (tpr + before) / 2).alias("a")).agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("auc"))
 
 
 def pr_curve(pairs: DataFrame, least_actual: float = 1) -> DataFrame:
@@ -107,8 +129,8 @@ def pr_curve(pairs: DataFrame, least_actual: float = 1) -> DataFrame:
 
 
 def average_precision(pairs: DataFrame, least_actual: float = 1) -> DataFrame:
-    step = F.col("recall") - F.coalesce(F.lag("recall").over(Window.orderBy(F.desc("threshold"))), F.lit(0.0))
-    return pr_curve(pairs, least_actual).select((step * F.col("precision")).alias("a")).agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("average_precision"))
+    precision, step = _share(F.col("tp"), F.col("tp") + F.col("fp")), _share(F.col("own_tp"), F.col("p"))
+    return _cumulative(pairs, least_actual).select((step * precision).alias("a")).agg(F.coalesce(F.sum("a"), F.lit(0.0)).alias("average_precision"))
 
 
 def confusion(pairs: DataFrame, percentile: float = 80, least_actual: float = 1) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellwise.functions import geo
+from cellwise.functions.grid import GridSpec
 from cellwise.functions.period import Periods
 from cellwise.operators import cluster, cube, evaluate, explore, forecast, hotspot, neighbors, regress
 from cellwise.operators.spatial_join import band_join
@@ -52,6 +53,11 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.scored(forecast.mean_forecast(counts, TRAIN), later, GRID)
 
 
+def _fitted(spark: SparkSession, sf: str) -> GridSpec:
+    """The grid of 2 km cells over the bounds of the events."""
+    return GridSpec.fit(event_points(spark, sf), 2000.0)
+
+
 @query
 def events_points(spark, sf):
     return rounded(event_points(spark, sf))
@@ -96,7 +102,7 @@ def grid_assign(spark, sf):
 
 @query
 def grid_cells(spark, sf):
-    return rounded(GRID.cells(spark))
+    return rounded(_fitted(spark, sf).cells(spark))
 
 
 @query
@@ -167,12 +173,14 @@ def neighbour_lag(spark, sf):
 
 @query
 def weight_edges(spark, sf):
-    return rounded(neighbors.edges(GRID.cells(spark), GRID))
+    spec = _fitted(spark, sf)
+    return rounded(neighbors.edges(spec.cells(spark), spec))
 
 
 @query
 def rook_edges(spark, sf):
-    return rounded(neighbors.edges(GRID.cells(spark), GRID, neighbors.ROOK))
+    spec = _fitted(spark, sf)
+    return rounded(neighbors.edges(spec.cells(spark), spec, neighbors.ROOK))
 
 
 @query
@@ -411,7 +419,7 @@ def gwr_features(spark, sf):
 
 @query
 def gwr_bandwidth_p25(spark, sf):
-    return rounded(regress.cell_distance_quantiles(GRID.cells(spark), [0.25]).select("distance"))
+    return rounded(regress.cell_distance_quantiles(_fitted(spark, sf).cells(spark), [0.25]).select("distance"))
 
 
 @query
@@ -541,7 +549,8 @@ def local_to_lonlat(spark, sf):
 
 @query
 def geojson_cells(spark, sf):
-    return sinks.geojson_features(GRID.cells(spark), GRID).select("flat_idx", F.get_json_object("feature", "$.id").alias("id"), F.get_json_object("feature", "$.geometry.coordinates[0][0][0]").cast("double").alias("first_x"))
+    spec = _fitted(spark, sf)
+    return sinks.geojson_features(spec.cells(spark), spec).select("flat_idx", F.get_json_object("feature", "$.id").alias("id"), F.get_json_object("feature", "$.geometry.coordinates[0][0][0]").cast("double").alias("first_x")).withColumn("first_x", F.round("first_x", 6))
 
 
 @query
@@ -551,12 +560,12 @@ def map_values(spark, sf):
 
 @query
 def synthetic_counts(spark, sf):
-    return rounded(sources.synthetic_counts(spark).groupBy("m", "month_start").agg(F.sum("n").cast("long").alias("n")))
+    return rounded(sources.synthetic_counts(spark, event_points(spark, sf).count()).groupBy("m", "month_start").agg(F.sum("n").cast("long").alias("n")))
 
 
 @query
 def synthetic_events(spark, sf):
-    return rounded(sources.synthetic(spark))
+    return rounded(sources.synthetic(spark, event_points(spark, sf).count()))
 
 
 @query

@@ -247,6 +247,17 @@ def test_scores_against_numpy(spark):
     assert evaluate.pai_curve(pairs).count() == 10
 
 
+def test_running_sums_over_ranges(spark):
+    rng = np.random.default_rng(11)
+    by = rng.permutation(5000)[:3000].tolist()
+    a = rng.integers(-5, 50, 3000).tolist()
+    found = evaluate.running_sums(spark.createDataFrame(list(zip(by, a, strict=True)), "by int, a long").repartition(5), "by", ["a"])
+    assert found.columns == ["by", "a", "upto_a"]
+    order = np.argsort(by)[::-1]
+    assert [(r.by, r.upto_a) for r in found.orderBy(F.desc("by")).collect()] == list(zip(np.array(by)[order].tolist(), np.cumsum(np.array(a)[order]).tolist(), strict=True))
+    assert evaluate.running_sums(spark.createDataFrame([], "by int, a long"), "by", ["a"]).count() == 0
+
+
 def test_uniform_prediction(spark):
     pairs = evaluate.uniform_baseline(scored(spark, range(10), [0, 1, 2, 3, 0, 1, 2, 3, 0, 5]))
     r = evaluate.report(pairs).first()
