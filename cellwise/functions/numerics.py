@@ -22,6 +22,30 @@ VERDICTS = {
 }
 
 
+def kendall_s(x: np.ndarray) -> np.ndarray:
+    """For each lane the pairs of places whose later value is greater, less those whose later value is less.
+
+    Counted while merging: of each two neighbouring runs of a length, every value of the right one is looked up in the sorted
+    left one; n log n lookups a lane in place of n^2 pairs.
+    """
+    lanes, n = x.shape
+    values, rank = np.unique(x, return_inverse=True)
+    rank, many = rank.reshape(lanes, n).astype(np.int64), len(values) + 1
+    place = np.arange(n)
+    out, width = np.zeros(lanes, np.int64), 1
+    while width < n:
+        pair = place // (2 * width)
+        base = (np.arange(lanes)[:, None] * (pair[-1] + 1) + pair) * many
+        left = (place // width) % 2 == 0
+        known = np.sort((base + rank)[:, left].reshape(-1))
+        own, asked = base[:, ~left], (base + rank)[:, ~left]
+        less = np.searchsorted(known, asked, "left") - np.searchsorted(known, own, "left")
+        more = np.searchsorted(known, own + many, "left") - np.searchsorted(known, asked, "right")
+        out += (less - more).sum(axis=1)
+        width *= 2
+    return out
+
+
 def least_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each lane: coefficients, the inverse of X'X, and the residual sum of squares. x is lanes x rows x columns, y lanes x rows."""
     inverse = np.linalg.pinv(x.transpose(0, 2, 1) @ x)

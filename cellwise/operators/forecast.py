@@ -74,9 +74,9 @@ def predict_many(x: np.ndarray, models: np.ndarray, steps: int) -> tuple[np.ndar
     return used, np.maximum(out, 0)
 
 
-def series_of(cube: DataFrame, *keys: str) -> DataFrame:
-    """keys and x, the counts of each cell in the order of periods: a row a cell."""
-    return cube.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("t", F.col("count").cast("double").alias("v")))), lambda p: p["v"]).alias("x"))
+def series_of(cube: DataFrame, *keys: str, value: str = "count") -> DataFrame:
+    """keys and x, the values of each cell in the order of periods: a row a cell."""
+    return cube.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("t", F.col(value).cast("double").alias("v")))), lambda p: p["v"]).alias("x"))
 
 
 def by_length(pdf: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:

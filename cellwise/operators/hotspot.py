@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellwise.functions.grid import GridSpec
+from cellwise.functions.numerics import kendall_s
 from cellwise.functions.stats import two_sided_p, z_threshold
+from cellwise.operators.forecast import by_length, series_of
 from cellwise.operators.neighbors import neighbour_sums
 
 
@@ -34,11 +41,15 @@ def mann_kendall_columns(n: Column, s: Column, alpha: float = 0.05) -> dict[str,
 
 
 def mann_kendall(panel: DataFrame, value: str = "count", keys: tuple[str, ...] = ("row", "col")) -> DataFrame:
-    """Per series: n, s, z, trend, significant. The pairs of a series are counted inside its row, not joined."""
-    series = panel.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("t", F.col(value).alias("v")))), lambda x: x["v"]).alias("xs"))
-    later = lambda x, i: F.aggregate(F.slice("xs", i + 2, F.size("xs")), F.lit(0.0), lambda a, y: a + F.signum(y - x))
-    s = F.aggregate(F.transform("xs", later), F.lit(0.0), lambda a, v: a + v)
-    rows = series.select(*keys, F.size("xs").alias("n"), s.alias("s"))
+    """Per series: n, s, z, trend, significant. A task's series are counted together, each in n log n steps; pairs never become rows."""
+    series = series_of(panel.where(F.col(value).isNotNull()), *keys, value=value)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for rows, x in by_length(pdf):
+                yield rows[list(keys)].assign(n=np.int32(x.shape[1]), s=kendall_s(x).astype(float))
+
+    rows = series.mapInPandas(run, T.StructType([*series.select(*keys).schema.fields, T.StructField("n", T.IntegerType()), T.StructField("s", T.DoubleType())]))
     return rows.withColumns(mann_kendall_columns(F.col("n"), F.col("s")))
 
 

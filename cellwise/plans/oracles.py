@@ -97,8 +97,8 @@ WHERE a.event_id <> b.event_id AND sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2
     "lo": ("SELECT *, coalesce(lag(count) OVER (PARTITION BY flat_idx ORDER BY t), count) AS y_lag1 FROM co", ("co",)),
     "nl": (_near("lo", "y_lag1", False), ("lo",)),
     "fe": ('SELECT l.t, l."row", l.col, l.flat_idx, l.count AS y, l.y_lag1, n.n_sum / n.deg AS sp_lag, CAST(l.t AS DOUBLE) AS trend, sin(2 * pi() * (l.t % 12) / 12) AS sin, cos(2 * pi() * (l.t % 12) / 12) AS cos FROM lo l JOIN nl n USING (t, flat_idx)', ("lo", "nl")),
-    "fg": ("SELECT min(x) AS x0, min(y) AS y0, CAST(greatest(1, ceil((max(y) - min(y)) / 2000)) AS INTEGER) AS nr, CAST(greatest(1, ceil((max(x) - min(x)) / 2000)) AS INTEGER) AS nc FROM pe", ("pe",)),
-    "fc": ('SELECT f AS flat_idx, f // nc AS "row", f % nc AS col, x0 + (f % nc) * 2000.0::DOUBLE AS minx, y0 + (f // nc) * 2000.0::DOUBLE AS miny, x0 + (f % nc + 1) * 2000.0::DOUBLE AS maxx, y0 + (f // nc + 1) * 2000.0::DOUBLE AS maxy, x0 + (f % nc + 0.5::DOUBLE) * 2000 AS cx, y0 + (f // nc + 0.5::DOUBLE) * 2000 AS cy FROM (SELECT CAST(unnest(range(nr * nc)) AS INTEGER) AS f, * FROM fg)', ("fg",)),
+    "fit": ("SELECT min(x) AS x0, min(y) AS y0, CAST(greatest(1, ceil((max(y) - min(y)) / 2000)) AS INTEGER) AS nr, CAST(greatest(1, ceil((max(x) - min(x)) / 2000)) AS INTEGER) AS nc FROM pe", ("pe",)),
+    "fitted": ('SELECT f AS flat_idx, f // nc AS "row", f % nc AS col, x0 + (f % nc) * 2000.0::DOUBLE AS minx, y0 + (f // nc) * 2000.0::DOUBLE AS miny, x0 + (f % nc + 1) * 2000.0::DOUBLE AS maxx, y0 + (f // nc + 1) * 2000.0::DOUBLE AS maxy, x0 + (f % nc + 0.5::DOUBLE) * 2000 AS cx, y0 + (f // nc + 0.5::DOUBLE) * 2000 AS cy FROM (SELECT CAST(unnest(range(nr * nc)) AS INTEGER) AS f, * FROM fit)', ("fit",)),
     "cells": ("SELECT f AS flat_idx, f // 10 AS \"row\", f % 10 AS col, (f % 10) * 2000.0::DOUBLE AS minx, (f // 10) * 2000.0::DOUBLE AS miny, (f % 10 + 1) * 2000.0::DOUBLE AS maxx, (f // 10 + 1) * 2000.0::DOUBLE AS maxy, (f % 10 + 0.5::DOUBLE) * 2000 AS cx, (f // 10 + 0.5::DOUBLE) * 2000 AS cy FROM (SELECT CAST(unnest(range(100)) AS INTEGER) AS f)", ()),
     "cum": ("SELECT threshold, sum(tp) OVER w AS tp, sum(fp) OVER w AS fp, sum(tp) OVER () AS p, sum(fp) OVER () AS n FROM (SELECT round(pred, 9) AS threshold, count(*) FILTER (WHERE actual > 20) AS tp, count(*) FILTER (WHERE NOT actual > 20) AS fp FROM pa GROUP BY 1) WINDOW w AS (ORDER BY threshold DESC)", ("pa",)),
     "pp": (
@@ -181,7 +181,7 @@ ORACLES = {
     "type_filter": _sql(f"SELECT {POINT} FROM pe WHERE crime_type IN ('purchase', 'error')", "pe"),
     "train_test_split": _sql("SELECT CASE WHEN t < 60 THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM bo GROUP BY 1", "bo"),
     "grid_assign": _sql(f"SELECT event_id, {KEYS}, flat_idx FROM be", "be"),
-    "grid_cells": _sql(f"SELECT flat_idx, {KEYS}, {', '.join(map(_r, ('minx', 'miny', 'maxx', 'maxy', 'cx', 'cy')))} FROM fc", "fc"),
+    "grid_cells": _sql(f"SELECT flat_idx, {KEYS}, {', '.join(map(_r, ('minx', 'miny', 'maxx', 'maxy', 'cx', 'cy')))} FROM fitted", "fitted"),
     "count_cube": _sql(f"SELECT t, {KEYS}, flat_idx, count FROM ce", "ce"),
     "cube_totals": _sql(f"SELECT flat_idx, {KEYS}, sum(count) AS total FROM ce GROUP BY ALL", "ce"),
     "cube_means": _sql(f"SELECT flat_idx, {KEYS}, {_r('avg(count)', 'mean')} FROM ce GROUP BY ALL", "ce"),
@@ -205,8 +205,8 @@ FROM (SELECT flat_idx, min(t) AS a, max(t) AS b FROM bo GROUP BY 1) e JOIN (SELE
         "po",
     ),
     "neighbour_lag": _sql(f"SELECT t, {KEYS}, deg, {_r('n_sum / deg', 'lag')} FROM le", "le"),
-    "weight_edges": _sql('SELECT a.flat_idx AS src, b.flat_idx AS dst, 1.0::DOUBLE AS w, round(1.0::DOUBLE / count(*) OVER (PARTITION BY a.flat_idx), 6) AS w_std FROM fc a JOIN fc b ON a.flat_idx <> b.flat_idx AND abs(a."row" - b."row") <= 1 AND abs(a.col - b.col) <= 1', "fc"),
-    "rook_edges": _sql('SELECT a.flat_idx AS src, b.flat_idx AS dst, 1.0::DOUBLE AS w, round(1.0::DOUBLE / count(*) OVER (PARTITION BY a.flat_idx), 6) AS w_std FROM fc a JOIN fc b ON abs(a."row" - b."row") + abs(a.col - b.col) = 1', "fc"),
+    "weight_edges": _sql('SELECT a.flat_idx AS src, b.flat_idx AS dst, 1.0::DOUBLE AS w, round(1.0::DOUBLE / count(*) OVER (PARTITION BY a.flat_idx), 6) AS w_std FROM fitted a JOIN fitted b ON a.flat_idx <> b.flat_idx AND abs(a."row" - b."row") <= 1 AND abs(a.col - b.col) <= 1', "fitted"),
+    "rook_edges": _sql('SELECT a.flat_idx AS src, b.flat_idx AS dst, 1.0::DOUBLE AS w, round(1.0::DOUBLE / count(*) OVER (PARTITION BY a.flat_idx), 6) AS w_std FROM fitted a JOIN fitted b ON abs(a."row" - b."row") + abs(a.col - b.col) = 1', "fitted"),
     "gi_star": _sql(f"SELECT t, {KEYS}, flat_idx, count, {_r('gi_z')} FROM ge", "ge"),
     "gi_star_summary": _sql(f"SELECT t, CAST(count(*) FILTER (WHERE round(gi_z, 9) > {Z}) AS BIGINT) AS hot, CAST(count(*) FILTER (WHERE round(gi_z, 9) < -{Z}) AS BIGINT) AS cold FROM ge GROUP BY t", "ge"),
     "gi_star_top": _sql(f"SELECT t, {KEYS}, flat_idx, count, {_r('gi_z')} FROM ge WHERE t = (SELECT max(t) FROM ge) ORDER BY ge.gi_z DESC, flat_idx LIMIT 10", "ge"),
@@ -259,7 +259,7 @@ SELECT c.flat_idx, c."row", c.col, c.cx, c.cy, a.count AS y, b.count AS y_lag, s
         "cells",
         "co",
     ),
-    "gwr_bandwidth_p25": _sql(f"SELECT {_r('quantile_cont(sqrt(power(a.cx - b.cx, 2) + power(a.cy - b.cy, 2)), 0.25)', 'distance')} FROM fc a JOIN fc b ON a.flat_idx < b.flat_idx", "fc"),
+    "gwr_bandwidth_p25": _sql(f"SELECT {_r('quantile_cont(sqrt(power(a.cx - b.cx, 2) + power(a.cy - b.cy, 2)), 0.25)', 'distance')} FROM fitted a JOIN fitted b ON a.flat_idx < b.flat_idx", "fitted"),
     **{name: _sql(f"SELECT {_r(name)} FROM sc", "sc") for name in ("hit_rate", "pai", "pei")},
     "rmse_mae": _sql(f"SELECT {_r('rmse')}, {_r('mae')} FROM er", "er"),
     "pearson_r": _sql(f"SELECT {_r('pearson_r')} FROM er", "er"),
@@ -284,7 +284,7 @@ UNION ALL SELECT 'Naive', 1.0, 1.0, 0.0, {_r("(SELECT stddev_pop(actual) FROM pa
         "sc",
         "er",
     ),
-    "geojson_cells": _sql("SELECT flat_idx, CAST(flat_idx AS VARCHAR) AS id, round(maxx, 6) AS first_x FROM fc", "fc"),
+    "geojson_cells": _sql("SELECT flat_idx, CAST(flat_idx AS VARCHAR) AS id, round(maxx, 6) AS first_x FROM fitted", "fitted"),
     "map_values": _sql("SELECT CAST(flat_idx AS VARCHAR) AS id, sum(count) AS value FROM ce GROUP BY flat_idx", "ce"),
 }
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cellwise.functions import numerics
 from cellwise.functions.grid import GridSpec
 from cellwise.functions.period import Periods
 from cellwise.operators import cube, hotspot, neighbors
@@ -133,3 +134,13 @@ def test_sample_is_exact_and_repeatable(spark):
     events = spark.range(1000).withColumnRenamed("id", "event_id")
     one, two = ([r.event_id for r in cube.exact_sample(events.repartition(k), 100).collect()] for k in (2, 7))
     assert sorted(one) == sorted(two) and len(set(one)) == 100
+
+
+def test_kendall_counts_of_long_and_short_series():
+    rng = np.random.default_rng(12)
+    for n in (1, 2, 3, 7, 32, 61):
+        x = rng.integers(0, 6, (9, n)).astype(float)
+        plain = [sum(np.sign(v[j] - v[i]) for i in range(n) for j in range(i + 1, n)) for v in x]
+        assert numerics.kendall_s(x).tolist() == plain
+    long = np.arange(100_000.0)[None]
+    assert numerics.kendall_s(np.concatenate([long, -long, long * 0])).tolist() == [99_999 * 50_000, -99_999 * 50_000, 0]
