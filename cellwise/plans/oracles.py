@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+from cellwise.functions import geo
 from cellwise.operators.forecast import taps
 from cellwise.sources.events import HOTSPOTS
+from cellwise.sources.sinks import CATEGORY_COLORS
 
 Z = "1.959963984540054"
 
@@ -173,7 +177,25 @@ SELECT q.m, strftime(q.d, '%Y-%m-%d') AS month_start, CAST(floor(q.total * 0.3::
 FROM q CROSS JOIN (VALUES {spots}) s(k, i, g, f) GROUP BY q.m, q.d, q.total"""
 
 
+def _lonlat(zone: int = 16) -> str:
+    """Degrees of local metres: the same series as the operator's, in SQL."""
+    series = lambda terms, at, other, x, y: "".join(f" {'-' if other else '+'} ({c!r}::DOUBLE) * {x}({2 * k} * {at})" + (f" * {y}({2 * k} * {other})" if other else "") for k, c in enumerate(terms, 1))
+    scale = geo.SCALE * geo.RADIUS
+    centre = math.radians(zone * 6 - 183)
+    return f"""(SELECT event_id, degrees(atan2(sinh(e0), cos(x0)) + ({centre!r}::DOUBLE)) AS longitude, degrees(chi{series(geo.LATITUDE, "chi", "", "sin", "")}) AS latitude
+FROM (SELECT *, asin(sin(x0) / cosh(e0)) AS chi FROM (SELECT event_id, xi{series(geo.INVERSE, "xi", "eta", "sin", "cosh")} AS x0, eta{series(geo.INVERSE, "xi", "eta", "cos", "sinh")} AS e0
+FROM (SELECT event_id, (y + {geo.LOCAL_OFFSET[1]!r}::DOUBLE) / {scale!r}::DOUBLE AS xi, (x + {geo.LOCAL_OFFSET[0]!r}::DOUBLE - {geo.FALSE_EASTING!r}::DOUBLE) / {scale!r}::DOUBLE AS eta FROM pe))))"""
+
+
+def _legend() -> str:
+    named = ", ".join(f"('{name}', '{color}')" for name, color in CATEGORY_COLORS.items())
+    title = "array_to_string(list_transform(string_split(v.category, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
+    return f"SELECT v.category, {title} AS title, v.color, CAST(count(c.category) AS BIGINT) AS n FROM (VALUES {named}) v(category, color) LEFT JOIN cat c ON c.category = v.category GROUP BY v.category, v.color"
+
+
 ORACLES = {
+    "category_legend": _sql(_legend(), "cat"),
+    "local_to_lonlat": _sql(f"SELECT event_id, {_r('longitude')}, {_r('latitude')} FROM {_lonlat()}", "pe"),
     "synthetic_counts": _synthetic(),
     "events_points": _sql(f"SELECT {POINT} FROM pe", "pe"),
     "offence_map": _sql("SELECT CASE crime_type WHEN 'click' THEN 'theft' WHEN 'purchase' THEN 'assault' WHEN 'signup' THEN 'burglary' ELSE 'other' END AS category, count(*) AS n FROM pe GROUP BY 1", "pe"),
