@@ -194,6 +194,12 @@ def _legend() -> str:
 
 
 ORACLES = {
+    "stream_counts": _sql(
+        f"""SELECT strftime(date_trunc('day', datetime), '%Y-%m-%d %H:%M:%S') AS period_start, {KEYS}, flat_idx, count(*) AS n FROM be
+WHERE date_trunc('day', datetime) + INTERVAL 1 DAY <= (SELECT max(datetime) FROM pe) - INTERVAL 1 DAY GROUP BY ALL""",
+        "be",
+        "pe",
+    ),
     "category_legend": _sql(_legend(), "cat"),
     "local_to_lonlat": _sql(f"SELECT event_id, {_r('longitude')}, {_r('latitude')} FROM {_lonlat()}", "pe"),
     "synthetic_counts": _synthetic(),

@@ -11,10 +11,12 @@ from cellwise.functions import geo
 from cellwise.functions.grid import GridSpec
 from cellwise.functions.period import Periods
 from cellwise.operators import cluster, cube, evaluate, explore, forecast, hotspot, neighbors, regress
+from cellwise.operators.lineage import fresh_path
 from cellwise.operators.spatial_join import band_join
 from cellwise.sources import events as sources
 from cellwise.sources import sinks
-from cellwise.sources.adapter import BBOX, GRID, event_points, order_points
+from cellwise.sources.adapter import BBOX, GRID, event_points, order_points, points_of_events
+from cellwise.streaming.cube_stream import streaming_counts, write_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,6 +107,16 @@ def grid_cells(spark, sf):
     return rounded(_fitted(spark, sf).cells(spark))
 
 
+@query
+def stream_counts(spark, sf):
+    """The events table as a stream, as much of it as there is: the windows that its watermark has closed, written and read again."""
+    # A stream's path is a folder or a pattern; this one is met by the table alone.
+    stream = points_of_events(spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).parquet(f"{sf}/[e]vents.parquet"))
+    out = fresh_path(spark, "stream-counts")
+    write_counts(streaming_counts(stream, GRID), out, fresh_path(spark, "stream-state")).awaitTermination()
+    return rounded(spark.read.parquet(out).withColumn("period_start", F.col("period_start").cast("timestamp_ntz")))
+
+
 @query
 def count_cube(spark, sf):
     return _daily(spark, sf)[0]

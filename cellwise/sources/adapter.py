@@ -23,7 +23,12 @@ def _points(rows: DataFrame, key: str, event: str, when: str, kind: str) -> Data
 
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as points; 30 days."""
-    return _points(spark.read.parquet(f"{sf_dir}/events.parquet"), "user_id", "event_id", "ts", "event_type")
+    return points_of_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def points_of_events(rows: DataFrame) -> DataFrame:
+    """Rows of the events table, a stream's too, as points."""
+    return _points(rows, "user_id", "event_id", "ts", "event_type")
 
 
 def order_points(spark: SparkSession, sf_dir: str) -> DataFrame:
