@@ -1,8 +1,8 @@
 """Benchmark decontamination by suffix arrays of the training texts.
 
-Every task builds the suffix array of its shard's words and binary-searches each test suffix in it: the range found
-is every place where the suffix's first words stand, and runs of neighbouring matches are the longest verbatim
-matches. Nothing is shuffled; test items travel in blocks of bounded size, one pass over the documents a block.
+Every task builds the suffix array of its shard's words and binary-searches the window that each test suffix begins with, equal ones
+once: the range found is every place where the window's words stand, and runs of neighbouring matches are the longest verbatim
+matches. A match is a place and a window; only a row's different windows are turned into items. Nothing is shuffled; test items travel in blocks of bounded size, one pass over the documents a block.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ from cellwise.llm.windows import merged
 CHUNK = 6 << 20
 #: Bytes of test items sent to the tasks at once.
 BLOCK = 4 << 20
+#: Items found that a task holds before it gives rows on.
+SENT = 1 << 18
 
 
 class TestSuffixes:
-    """The words of some test items, and the suffixes that begin a window."""
+    """The words of some test items, the suffixes that begin a window, and the different windows among them."""
 
     __test__ = False  # no pytest class
 
@@ -38,12 +40,17 @@ class TestSuffixes:
         count = np.where(sizes > 0, sizes - width + 1, 0)
         self.start = spread_ranges(rows[:-1], count)
         self.item = np.repeat(np.arange(len(ids)), count)
-        self.width = np.repeat(width, count)
         self.depth = int(window)
-        #: One row a suffix: the codes of its window, 0 beyond it.
+        #: The codes of each suffix's window, 0 beyond it; equal ones are one window.
         place = self.start[:, None] + np.arange(self.depth)
-        inside = np.arange(self.depth) < self.width[:, None]
-        self.codes = np.where(inside, np.append(codes, 0)[np.minimum(place, len(codes))], 0)
+        inside = np.arange(self.depth) < np.repeat(width, count)[:, None]
+        self.codes, self.window = np.unique(np.where(inside, np.append(codes, 0)[np.minimum(place, len(codes))], 0), axis=0, return_inverse=True)
+        self.window = self.window.reshape(-1)
+        self.width = (self.codes > 0).sum(axis=1)
+        #: The items of window w, each once: of[heads[w] : heads[w + 1]].
+        pairs = np.unique(self.window * max(1, len(ids)) + self.item)
+        self.of = pairs % max(1, len(ids))
+        self.heads = np.searchsorted(pairs // max(1, len(ids)), np.arange(len(self.codes) + 1))
 
 
 def suffix_array(codes: np.ndarray, rows: np.ndarray, depth: int) -> np.ndarray:
@@ -95,7 +102,7 @@ def search(codes: np.ndarray, rows: np.ndarray, order: np.ndarray, wanted: np.nd
 
 
 def _matches(blocks: Iterator[tuple[np.ndarray, np.ndarray, int]], test: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Offsets of the rows in words, and all matches: place in the shard's words, index of the test suffix."""
+    """Offsets of the rows in words, and all matches, ordered: place in the shard's words, window. Of a width a place has one at most."""
     found, rows = [np.zeros(0, np.int64)], np.zeros(1, np.int64)
     for tokens, own, base in blocks:
         rows = own + base if not base else np.array([0, base + own[-1]])
@@ -105,21 +112,73 @@ def _matches(blocks: Iterator[tuple[np.ndarray, np.ndarray, int]], test: TestSuf
         codes = np.where(test.vocabulary[at] == tokens, at + 1, 0)
         order = suffix_array(codes, own, test.depth)
         lo, hi = search(codes, own, order, test.codes, test.width)
-        found.append((order[spread_ranges(lo, hi - lo)] + base) * len(test.start) + np.repeat(np.arange(len(lo)), hi - lo))
+        found.append((order[spread_ranges(lo, hi - lo)] + base) * len(test.codes) + np.repeat(np.arange(len(lo)), hi - lo))
     pairs = np.unique(np.concatenate(found))  # a match in the words that two blocks share is one
-    return rows, *(np.divmod(pairs, len(test.start)) if len(pairs) else (pairs, pairs))
+    return rows, *(np.divmod(pairs, len(test.codes)) if len(pairs) else (pairs, pairs))
 
 
-def _longest(place: np.ndarray, suffix: np.ndarray, test: TestSuffixes, row: np.ndarray, n_rows: int) -> np.ndarray:
-    """Words of each row's longest verbatim match: matches that follow each other in text and item are one."""
+class Runs:
+    """Classes of runs of windows that follow each other in one line, each line's places ascending."""
+
+    def __init__(self, line: np.ndarray, place: np.ndarray, window: np.ndarray) -> None:
+        self.line, self.place, self.levels = line, place, [window]
+
+    def pairs(self, level: int, after: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where a run of the level begins and another one begins after places on: the index, and the classes of both."""
+        known = self.levels[level]
+        at = np.flatnonzero(known[: max(0, len(known) - after)] >= 0)
+        at = at[(self.line[at + after] == self.line[at]) & (self.place[at + after] == self.place[at] + after) & (known[at + after] >= 0)]
+        return at, known[at], known[at + after]
+
+
+def _both(docs: Runs, items: Runs, level: int, after: int, size: int) -> tuple[np.ndarray, ...]:
+    """Where a pair of the level's runs begins: in items, with its class, and in docs, where the pair is one of items', with its class."""
+    at, a, b = items.pairs(level, after)
+    known, kind = np.unique(a * size + b, return_inverse=True)
+    here, a, b = docs.pairs(level, after)
+    spot = np.minimum(np.searchsorted(known, a * size + b), max(0, len(known) - 1))
+    same = known[spot] == a * size + b if len(known) else np.zeros(len(here), bool)
+    return at, kind.reshape(-1), here[same], spot[same]
+
+
+def _longest(place: np.ndarray, window: np.ndarray, test: TestSuffixes, row: np.ndarray, n_rows: int) -> np.ndarray:
+    """Words of each row's longest verbatim match.
+
+    A run of 2k windows is a pair of runs of k, so runs get classes by doubling, in the text and in the items, as long as they
+    stand in both; between two powers of two the length is found by halving, as a run is two overlapping ones of the power
+    below. So no place is paired with the items that have its window.
+    """
     out = np.zeros(n_rows, np.int64)
-    if len(place):
-        shift = place - test.start[suffix]
-        order = np.lexsort((place, shift, test.item[suffix], row))
-        p, s, i, r = place[order], shift[order], test.item[suffix[order]], row[order]
-        heads = np.flatnonzero(np.r_[True, (p[1:] != p[:-1] + 1) | (s[1:] != s[:-1]) | (i[1:] != i[:-1]) | (r[1:] != r[:-1])])
-        sizes = np.diff(np.r_[heads, len(p)]) - 1 + test.width[suffix[order[heads]]]
-        np.maximum.at(out, r[heads], sizes)
+    np.maximum.at(out, row, test.width[window])
+    whole = test.width[window] == test.depth
+    if not whole.any():
+        return out
+    docs = Runs(row[whole], place[whole], window[whole])
+    hit = np.zeros(len(test.codes), bool)
+    hit[window[whole]] = True
+    own = hit[test.window]
+    items = Runs(test.item[own], test.start[own], test.window[own])
+    reached = np.zeros(n_rows, np.int64)  # the level that a row's longest run has
+    while True:
+        level = len(docs.levels) - 1
+        size = int(max(docs.levels[level].max(), items.levels[level].max())) + 1
+        at, kind, here, same = _both(docs, items, level, 1 << level, size)
+        if not len(here):
+            break
+        for runs, where, value in ((items, at, kind), (docs, here, same)):
+            runs.levels.append(np.full(len(runs.line), -1))
+            runs.levels[-1][where] = value
+        reached[docs.line[here]] = level + 1
+    length = 1 << reached
+    rows = np.unique(docs.line)
+    for step in reversed(range(len(docs.levels) - 1)):
+        for level, tried in np.unique(np.stack([reached[rows], length[rows] + (1 << step)])[:, reached[rows] > step], axis=1).T.tolist():
+            asked = (reached == level) & (length + (1 << step) == tried)
+            size = int(max(docs.levels[level].max(), items.levels[level].max())) + 1
+            here = _both(docs, items, level, tried - (1 << level), size)[2]
+            further = np.unique(docs.line[here])
+            length[further[asked[further]]] = tried
+    out[rows] = np.maximum(out[rows], length[rows] - 1 + test.depth)
     return out
 
 
@@ -144,7 +203,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for part, blocks in token_blocks(batches, CHUNK, ALNUM, window - 1, LOWER):
-                yield from _marked(part, blocks, sent.value).combine_chunks().to_batches()
+                for made in _marked(part, blocks, sent.value):
+                    yield from made.combine_chunks().to_batches()
 
         rows = rows.mapInArrow(run, schema)
     return rows.select(*keep, "n_words", "n_hit", "items", "longest", "spans")
@@ -164,33 +224,41 @@ def _blocks(benchmark: DataFrame, window: int) -> Iterator[TestSuffixes]:
         yield TestSuffixes(ids, texts, window)
 
 
-def _marked(part: pa.Table, blocks: Iterator[tuple[np.ndarray, np.ndarray, int]], test: TestSuffixes) -> pa.Table:
-    rows, place, suffix = _matches(blocks, test)
+def _marked(part: pa.Table, blocks: Iterator[tuple[np.ndarray, np.ndarray, int]], test: TestSuffixes) -> Iterator[pa.Table]:
+    rows, place, window = _matches(blocks, test)
     n = len(rows) - 1
     row = np.searchsorted(rows, place, side="right") - 1
-    order = np.argsort(row, kind="stable")
-    place, suffix, row = place[order], suffix[order], row[order]
-    longest = _longest(place, suffix, test, row, n)
+    longest = _longest(place, window, test, row, n)
     ends = np.searchsorted(row, np.arange(n + 1))
-    hits, items, spans = [0] * n, [[] for _ in range(n)], [[] for _ in range(n)]
-    before = {c: part.column(c).to_pylist() for c in ("items", "longest", "spans")}
+    made, first, size = {name: [] for name, _ in STATE}, 0, 0
+
+    def told(upto: int) -> pa.Table:
+        out = part.slice(first, upto - first)
+        out = out.select([c for c in out.column_names if c not in made])
+        for name, kind in STATE:
+            out = out.append_column(name, pa.array(made[name], kind))
+        return out
+
     for k in range(n):
-        old = before["spans"][k] or []
-        if ends[k] == ends[k + 1] and not old:
-            continue
-        own = slice(ends[k], ends[k + 1])
-        old = np.array(old, np.int64)
-        start = np.r_[place[own] - rows[k], old >> 32]
-        size = np.r_[test.width[suffix[own]], old & 0xFFFFFFFF]
-        start, end = merged(start << 32 | size, 1)
-        spans[k] = (start << 32 | (end - start)).tolist()
-        hits[k] = int((end - start).sum())
-        items[k] = sorted({test.ids[i] for i in np.unique(test.item[suffix[own]]).tolist()} | set(before["items"][k] or ()))
-        longest[k] = max(longest[k], before["longest"][k] or 0)
-    out = part.select([c for c in part.column_names if c not in dict(STATE)])
-    for (name, kind), column in zip(STATE, (np.diff(rows), hits, items, longest, spans), strict=True):
-        out = out.append_column(name, pa.array(column, kind))
-    return out
+        items, most, old = (part.column(c)[k].as_py() for c in ("items", "longest", "spans"))
+        items, old, hits = items or [], old or [], 0
+        if ends[k] < ends[k + 1] or old:
+            own = slice(ends[k], ends[k + 1])
+            old = np.array(old, np.int64)
+            start = np.r_[place[own] - rows[k], old >> 32]
+            start, end = merged(start << 32 | np.r_[test.width[window[own]], old & 0xFFFFFFFF], 1)
+            old, hits = (start << 32 | (end - start)).tolist(), int((end - start).sum())
+            which = np.unique(window[own])
+            found = np.unique(test.of[spread_ranges(test.heads[which], test.heads[which + 1] - test.heads[which])])
+            items = sorted({test.ids[i] for i in found.tolist()} | set(items))
+        for name, value in zip(made, (int(rows[k + 1] - rows[k]), hits, items, max(int(longest[k]), most or 0), old), strict=True):
+            made[name].append(value)
+        size += len(items)
+        if size > SENT:
+            yield told(k + 1)
+            made, first, size = {name: [] for name in made}, k + 1, 0
+    if first < n or not n:
+        yield told(n)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

@@ -72,3 +72,36 @@ def test_words_of_two_letters_in_thue_morse_order(spark):
     assert sorted((r.doc_id, r.n_hit) for r in found.collect()) == [(1, 0), (2, 0)]
     found = decontamination.mark(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, f"c d {one} e f g h i j k")], "item_id long, text string"))
     assert sorted((r.doc_id, r.n_hit) for r in found.collect()) == [(1, 10), (2, 0)]
+
+
+def longest(own, items):
+    """Words of the longest run of own that stands in an item of ten words or more, or a shorter item's whole length."""
+    most = 0
+    for item in map(split, items):
+        if 0 < len(item) < 10:
+            most = max(most, len(item) * any(own[k : k + len(item)] == item for k in range(len(own))))
+            continue
+        row = [0] * (len(item) + 1)
+        for word in own:
+            row = [0] + [row[k] + 1 if item[k] == word else 0 for k in range(len(item))]
+            most = max(most, max(row)) if max(row) >= 10 else most
+    return most
+
+
+def test_longest_match_of_few_letters(spark):
+    """Texts of two words, in which windows repeat inside items and texts, against a table of all pairs of places."""
+    rng = np.random.default_rng(5)
+    text = lambda n, p: " ".join(np.where(rng.random(n) < p, "a", "b"))
+    items = [text(n, p) for n, p in ((40, 0.9), (200, 0.95), (33, 0.5), (9, 0.5), (3, 1.0), (120, 0.97))] + ["a " * 150, "", "c"]
+    docs = [text(int(n), p) for n in rng.integers(1, 260, 40) for p in (0.5, 0.9, 0.97)] + ["a " * 400, items[1], items[5] + " c " + items[2]]
+    found = decontamination.mark(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {r.doc_id: r.longest for r in found.collect()} == {k: longest(split(d), items) for k, d in enumerate(docs)}
+
+
+def test_many_equal_items(spark, monkeypatch):
+    """50,000 items of one word and as many of one passage, in texts that have them often; what is sent on is cut into small tables."""
+    monkeypatch.setattr(decontamination, "SENT", 60_000)
+    items = spark.range(100_000).selectExpr("id AS item_id", "CASE WHEN id < 50000 THEN 'Yes' ELSE 'one two three four five six seven eight nine ten eleven' END AS text")
+    texts = [(1, "yes " * 100_000), (2, "no"), (3, "One two three four five six seven eight nine ten eleven. Yes"), (4, "yes")]
+    found = decontamination.mark(spark.createDataFrame(texts, "doc_id long, text string"), items).selectExpr("doc_id", "n_hit", "longest", "size(items) AS n")
+    assert sorted(map(tuple, found.collect())) == [(1, 100_000, 1, 50_000), (2, 0, 0, 0), (3, 12, 11, 100_000), (4, 1, 1, 50_000)]
