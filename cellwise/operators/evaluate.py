@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwise.functions.grid import GridSpec
+from cellwise.operators import quantile
 from cellwise.operators.cube import event_counts
 from cellwise.operators.lineage import saved
 
@@ -20,11 +21,9 @@ def scored(prediction: DataFrame, events: DataFrame, spec: GridSpec, value: str
 
 def _limits(pairs: DataFrame, percentiles: list[float], keys: tuple[str, ...] = ()) -> DataFrame:
     """pairs once per percentile, with hot: the prediction is at or over it."""
-    marks = [p / 100 for p in percentiles]
-    limits = pairs.groupBy(*keys).agg(F.percentile("pred", F.array(*map(F.lit, marks))).alias("l"))
-    rows = limits.select(*keys, F.posexplode("l").alias("k", "limit"))
+    rows = quantile.percentiles(pairs, "pred", [p / 100 for p in percentiles], keys)
     named = F.element_at(F.array(*[F.lit(float(p)) for p in percentiles]), F.col("k") + 1)
-    rows = rows.select(*keys, named.alias("percentile"), F.round("limit", 9).alias("limit"))
+    rows = rows.select(*keys, named.alias("_named"), F.round("percentile", 9).alias("limit")).withColumnRenamed("_named", "percentile")
     joined = pairs.join(F.broadcast(rows), list(keys)) if keys else pairs.join(F.broadcast(rows))
     return joined.withColumn("hot", F.round("pred", 9) >= F.col("limit"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cellwise.functions import numerics
 from cellwise.functions.grid import GridSpec
+from cellwise.operators.quantile import percentiles
 
 Z95 = 1.96
 
@@ -150,5 +151,5 @@ def risk_surface(grid: DataFrame, value: str = "yhat") -> DataFrame:
 
 def hotspot_mask(grid: DataFrame, percentile: float = 80, value: str = "risk") -> DataFrame:
     """grid with hotspot: value at or over its percentile, ties included."""
-    limit = grid.agg(F.round(F.percentile(value, F.lit(percentile / 100)), 9).alias("_limit"))
+    limit = percentiles(grid, value, [percentile / 100]).select(F.round("percentile", 9).alias("_limit"))
     return grid.join(F.broadcast(limit)).withColumn("hotspot", F.round(value, 9) >= F.col("_limit")).drop("_limit")

@@ -28,13 +28,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts the lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._saved_in = path
+    return made
 
 
 def dropped(df: DataFrame) -> None:
-    """Removes the files of a table made by saved, which nothing reads any more."""
+    """Removes the files of a table made by saved, which nothing reads any more; of a table derived from such ones, theirs."""
     context = df.sparkSession.sparkContext
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+    own = getattr(df, "_saved_in", None)
+    for path in {own} if own else {f.rpartition("/")[0] for f in df.inputFiles()}:
         place = context._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 

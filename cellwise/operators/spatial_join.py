@@ -1,7 +1,7 @@
 """Joins of points by distance, and by distance and time, through buckets of the join's own size.
 
-band_join gives the pairs as rows. Where only sums over pairs are wanted, block_pairs hands whole blocks of points to a function
-instead, so that no pair becomes a row.
+block_pairs hands pairs of blocks of points to a function, a large bucket's dealt over many tasks. band_join gives the pairs of
+points as rows; neighbour_counts, and others where sums over pairs are wanted, make no row of a pair.
 """
 
 from __future__ import annotations
@@ -17,28 +17,10 @@ from pyspark.sql import types as T
 from cellwise.operators.lineage import saved
 
 
-def band_join(left: DataFrame, right: DataFrame, radius: float, seconds: float | None = None) -> DataFrame:
-    """All (a, b, dist) with distance <= radius, and times at most seconds apart: an equi-join on buckets, then the exact test.
-
-    Both sides have id, x, y (and ts, in seconds). The right side is sent to its 9 (27 with time) neighbouring buckets.
-    """
-    timed = seconds is not None
-    bx, by = F.floor(F.col("x") / radius), F.floor(F.col("y") / radius)
-    keys = {"bx": bx, "by": by} | ({"bt": F.floor(F.col("ts") / seconds)} if timed else {})
-    near = left.select(F.col("id").alias("a"), F.col("x").alias("x1"), F.col("y").alias("y1"), *([F.col("ts").alias("t1")] if timed else []), *[c.alias(k) for k, c in keys.items()])
-    far = right.select(F.col("id").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"), *([F.col("ts").alias("t2")] if timed else []), *[c.alias(k) for k, c in keys.items()])
-    steps = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    for k in keys:
-        far = far.withColumn("_d", F.explode(steps)).withColumn(k, F.col(k) + F.col("_d")).drop("_d")
-    dist = F.sqrt(F.pow(F.col("x1") - F.col("x2"), 2) + F.pow(F.col("y1") - F.col("y2"), 2))
-    joined = near.join(far, list(keys)).withColumn("dist", dist).where(F.col("dist") <= radius)
-    if timed:
-        joined = joined.where(F.abs(F.col("t1") - F.col("t2")) <= seconds)
-    return joined.select("a", "b", "dist")
-
-
 #: Points of a block, blocks of a bucket that one task pairs with its neighbours', and points that a bucket should have on average.
 BLOCK, SPLIT, FILL = 1024, 8, 64
+#: Rows that a task gathers before it gives them on.
+SENT = 1 << 19
 
 
 def _scale(points: DataFrame, radius: float, seconds: float | None) -> int:
@@ -112,16 +94,69 @@ def block_pairs(points: DataFrame, radius: float, keys: tuple[str, ...], values:
     both = left.join(moved, [*where, "part"]).where("NOT same OR number <= number2").select(*keys, "data", "data2", (F.expr("same AND number = number2")).alias("one"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
+
+        def told() -> pa.RecordBatch:
+            columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[]] * len(made_of)
+            return pa.RecordBatch.from_arrays([pa.array(c, field.type) for c, field in zip(columns, made_of, strict=True)], schema=made_of)
+
         for batch in batches:
-            found = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 a, b = (np.frombuffer(d, np.float64).reshape(len(names), -1) for d in row[len(keys) : len(keys) + 2])
                 if len(more := f(row[: len(keys)], a, b, row[-1])):
                     found.append(more)
-            columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[]] * len(made_of)
-            yield pa.RecordBatch.from_arrays([pa.array(c, field.type) for c, field in zip(columns, made_of, strict=True)], schema=made_of)
+                    size += len(more[0])
+                if size > SENT:
+                    yield told()
+                    found, size = [], 0
+        yield told()
 
     kind = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
     out = T.StructType.fromDDL(schema)
     made_of = pa.schema([pa.field(field.name, kind[field.dataType.simpleString()]) for field in out.fields])
     return both.mapInArrow(run, out)
+
+
+def _gaps(a: np.ndarray, b: np.ndarray, seconds: float | None, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of block a's points from b's, and which are within reach."""
+    dist = np.sqrt((a[0][:, None] - b[0]) ** 2 + (a[1][:, None] - b[1]) ** 2)
+    near = dist <= radius
+    return dist, near if seconds is None else near & (np.abs(a[-1][:, None] - b[-1]) <= seconds)
+
+
+def _placed(points: DataFrame, seconds: float | None) -> DataFrame:
+    return points.dropna(subset=["id", "x", "y", *(["ts"] if seconds is not None else [])])
+
+
+def band_join(left: DataFrame, right: DataFrame, radius: float, seconds: float | None = None) -> DataFrame:
+    """All (a, b, dist) with distance <= radius, and times at most seconds apart; a is an id of left, b one of right.
+
+    Both sides have id (a whole number), x, y (and ts, in seconds); rows with a null there meet none, repeated ids are rows of
+    their own. Either side may have all its points in one bucket: its blocks are dealt over the tasks.
+    """
+    timed = ["ts"] if seconds is not None else []
+    sides = [_placed(side.select("id", "x", "y", *timed, F.lit(k).cast("long").alias("side")), seconds) for k, side in enumerate((left, right))]
+
+    def pairs(_, a, b, one):
+        dist, near = _gaps(a, b, seconds, radius)
+        ids, own, other = a[2].view(np.int64), a[3].view(np.int64), b[3].view(np.int64)
+        found = []
+        for meet, turned in (((own[:, None] == 0) & (other == 1), False), *([] if one else [((own[:, None] == 1) & (other == 0), True)])):
+            i, j = np.nonzero(near & meet)
+            one_side, far_side = ids[i], b[2].view(np.int64)[j]
+            found.append((far_side, one_side, dist[i, j]) if turned else (one_side, far_side, dist[i, j]))
+        return [np.concatenate(c) for c in zip(*found, strict=True)]
+
+    return block_pairs(sides[0].unionByName(sides[1]), radius, (), ("id", "side"), pairs, "a long, b long, dist double", seconds)
+
+
+def neighbour_counts(points: DataFrame, radius: float, seconds: float | None = None) -> DataFrame:
+    """id and n, the other points within radius (and seconds), of every point that has any; points have unique ids."""
+
+    def count(_, a, b, one):
+        near = _gaps(a, b, seconds, radius)[1]
+        ids, n = (a[2], near.sum(axis=1) - 1) if one else (np.r_[a[2], b[2]], np.r_[near.sum(axis=1), near.sum(axis=0)])
+        return [ids.view(np.int64)[n > 0], n[n > 0]]
+
+    found = block_pairs(_placed(points, seconds), radius, (), ("id",), count, "id long, n long", seconds)
+    return found.groupBy("id").agg(F.sum("n").alias("n"))

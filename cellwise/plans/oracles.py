@@ -325,3 +325,4 @@ def _body(name: str) -> str:
 ORACLES["largest_clusters"] = f"SELECT * FROM {_body('cluster_summary')} ORDER BY n_events DESC, cluster LIMIT 10"
 ORACLES["validation_bundle"] = f"SELECT * FROM {_body('report')}, {_body('auc')}, {_body('average_precision')}, {_body('confusion')}"
 ORACLES["compare_in_full"] = f"SELECT 'Mean' AS model, pai, hit_rate, auc, f1, \"precision\", recall, rmse, mae FROM {_body('report')}, {_body('auc')}, {_body('confusion')}"
+ORACLES["neighbour_count"] = ORACLES["band_join_count"]

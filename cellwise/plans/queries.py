@@ -12,7 +12,7 @@ from cellwise.functions.grid import GridSpec
 from cellwise.functions.period import Periods
 from cellwise.operators import cluster, cube, evaluate, explore, forecast, hotspot, neighbors, regress
 from cellwise.operators.lineage import fresh_path
-from cellwise.operators.spatial_join import band_join
+from cellwise.operators.spatial_join import band_join, neighbour_counts
 from cellwise.sources import events as sources
 from cellwise.sources import sinks
 from cellwise.sources.adapter import BBOX, GRID, event_points, order_points, points_of_events
@@ -309,6 +309,13 @@ def band_join_count(spark, sf):
     return pairs.groupBy(F.col("a").alias("event_id")).agg(F.count("*").alias("n"))
 
 
+@query
+def neighbour_count(spark, sf):
+    """Neighbours within 500 m and a day, per event, counted without pairs as rows."""
+    points = event_points(spark, sf).select(F.col("event_id").alias("id"), "x", "y", (F.unix_micros(F.col("datetime").cast("timestamp")) / 1e6).alias("ts"))
+    return neighbour_counts(points, 500.0, 86400.0).withColumnRenamed("id", "event_id")
+
+
 @query
 def stdbscan(spark, sf):
     return cluster.stdbscan(event_points(spark, sf), 500.0, 86400.0, 8)

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from cellwise.functions import numerics
 from cellwise.functions.grid import GridSpec
-from cellwise.operators import cluster, explore
+from cellwise.operators import cluster, explore, spatial_join
 from cellwise.operators.lineage import connected_components
-from cellwise.operators.spatial_join import band_join
+from cellwise.operators.spatial_join import band_join, neighbour_counts
 from tests.test_cube_and_hotspots import SPEC, dense, grid_cube
 
 
@@ -132,6 +132,22 @@ def test_band_join_against_brute_force(spark):
     assert got == {(i, j) for i in range(80) for j in range(80) if math.hypot(*(a[i, :2] - a[j, :2])) <= 7 and abs(a[i, 2] - a[j, 2]) <= 20}
 
 
+def test_band_join_of_two_sides_in_one_bucket(spark, monkeypatch):
+    """Different sides that share ids, nulls, repeated rows, points at one place; small blocks, and a table cut while it is sent."""
+    for name, value in (("BLOCK", 32), ("SPLIT", 2), ("SENT", 100)):
+        monkeypatch.setattr(spatial_join, name, value)
+    rng = np.random.default_rng(8)
+    sides = [[(int(i), *map(float, rng.uniform(0, 3, 2))) for i in range(n)] + [(5, 1.0, 1.0)] * 2 for n in (200, 150)]
+    a, b = (spark.createDataFrame([*rows, (1000, None, 1.0)], "id long, x double, y double") for rows in sides)
+    got = sorted((r.a, r.b) for r in band_join(a, b, 1.0).collect())
+    assert got == sorted((p[0], q[0]) for p in sides[0] for q in sides[1] if math.hypot(p[1] - q[1], p[2] - q[2]) <= 1.0)
+    own = sides[0][:200]
+    near = {p[0]: sum(q[0] != p[0] and math.hypot(p[1] - q[1], p[2] - q[2]) <= 0.2 for q in own) for p in own}
+    alone = spark.createDataFrame(own, "id long, x double, y double")
+    assert {r.id: r.n for r in neighbour_counts(alone, 0.2).collect()} == {k: n for k, n in near.items() if n}
+    assert band_join(a.limit(0), b, 1.0).count() == 0
+
+
 def plain_stdbscan(a, eps, eps_t, least):
     """In row order: a core event without a cluster opens the next and takes what it reaches."""
     n = len(a)
