@@ -55,6 +55,8 @@ TABLES = {
     "bo": (_binned("po", "month"), ("po",)),
     "ce": (_cube("be"), ("be",)),
     "co": (_cube("bo"), ("bo",)),
+    "closed": ("SELECT * FROM ce WHERE t <= (SELECT max(t) FROM be WHERE date_trunc('day', datetime) + INTERVAL 1 DAY <= (SELECT max(datetime) FROM pe) - INTERVAL 1 DAY)", ("ce", "be", "pe")),
+    "closed_mk": (_kendall("closed", "count"), ("closed",)),
     "ne": (_near("ce", "count", True), ("ce",)),
     "no": (_near("co", "count", True), ("co",)),
     "le": (_near("ce", "count", False), ("ce",)),
@@ -194,6 +196,7 @@ def _legend() -> str:
 
 
 ORACLES = {
+    "stream_trends": _sql(f"SELECT {KEYS}, n, {_r('s')}, {_r('z')}, trend, significant FROM closed_mk", "closed_mk"),
     "stream_counts": _sql(
         f"""SELECT strftime(date_trunc('day', datetime), '%Y-%m-%d %H:%M:%S') AS period_start, {KEYS}, flat_idx, count(*) AS n FROM be
 WHERE date_trunc('day', datetime) + INTERVAL 1 DAY <= (SELECT max(datetime) FROM pe) - INTERVAL 1 DAY GROUP BY ALL""",

@@ -17,6 +17,7 @@ from cellwise.sources import events as sources
 from cellwise.sources import sinks
 from cellwise.sources.adapter import BBOX, GRID, event_points, order_points, points_of_events
 from cellwise.streaming.cube_stream import streaming_counts, write_counts
+from cellwise.streaming.trend_stream import running_trends, trends_at, write_trends
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,6 +118,17 @@ def stream_counts(spark, sf):
     return rounded(spark.read.parquet(out).withColumn("period_start", F.col("period_start").cast("timestamp_ntz")))
 
 
+@query
+def stream_trends(spark, sf):
+    """The trend of every cell over the windows that the stream's watermark has closed, from the state that a window leaves."""
+    stream = points_of_events(spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).parquet(f"{sf}/[e]vents.parquet"))
+    out = fresh_path(spark, "stream-trends")
+    write_trends(running_trends(streaming_counts(stream, GRID)), out, fresh_path(spark, "trend-state")).awaitTermination()
+    rows = spark.read.parquet(out)
+    ends = rows.agg(F.min("t"), F.max("t")).first()
+    return rounded(trends_at(rows, GRID, ends[0] or 0, -1 if ends[1] is None else ends[1]))
+
+
 @query
 def count_cube(spark, sf):
     return _daily(spark, sf)[0]

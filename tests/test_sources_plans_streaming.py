@@ -1,16 +1,19 @@
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from cellwise.functions import geo
-from cellwise.operators import cluster, cube
+from cellwise.functions.period import Periods
+from cellwise.operators import cluster, cube, hotspot
 from cellwise.plans import batch
 from cellwise.sources import events, sinks, socrata
 from cellwise.sources.adapter import BBOX, GRID, event_points
 from cellwise.streaming.cube_stream import streaming_counts, write_counts
+from cellwise.streaming.trend_stream import running_trends, trends_at, write_trends
 
 
 def test_utm_known_point_and_round_trip(spark):
@@ -137,13 +140,39 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     late.write.mode("append").parquet(f"{tmp_path}/in")
     write_counts(counts, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(120)
     got = {(r.period_start.date(), r.flat_idx): r.n for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    from cellwise.functions.period import Periods
-
     periods = Periods.fit(rows, "D")
     plain = cube.count_cube(rows, GRID, periods).where("count > 0").withColumn("d", F.to_date(periods.begins(F.col("t")))).collect()
     assert got == {(r.d, r.flat_idx): int(r["count"]) for r in plain}
 
 
+def test_stream_of_trends_equals_batch_also_after_a_restart(spark, tmp_path):
+    """Files by time, half of them before the restart; cells that start late, end early, have gaps, or no events at all."""
+    day = dt.datetime(2024, 3, 1)
+    rng = np.random.default_rng(3)
+    rows = [(k, *map(float, rng.uniform(0, 6000, 2)), day + dt.timedelta(hours=int(h)), "x") for k, h in enumerate(np.sort(rng.integers(0, 20 * 24, 300)))]
+    rows += [(1000 + k, 15000.0, 15000.0, day + dt.timedelta(days=int(d)), "x") for k, d in enumerate([7, 7, 9, 12])]
+    rows += [(2000, 500.0, 500.0, day, "x"), (2001, 500.0, 500.0, day + dt.timedelta(days=19, hours=5), "x")]
+    form = "event_id long, x double, y double, datetime timestamp_ntz, crime_type string"
+    table = spark.createDataFrame(rows, form)
+    closer = spark.createDataFrame([(3000, 0.0, 0.0, day + dt.timedelta(days=60), "x")], form)
+    halves = [table.where(F.col("datetime") < day + dt.timedelta(days=11)), table.where(F.col("datetime") >= day + dt.timedelta(days=11)), closer]
+    store = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    for part in halves:
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        trends = running_trends(streaming_counts(stream, GRID, "1 day", "12 days"))
+        query = write_trends(trends, f"{tmp_path}/out", f"{tmp_path}/cp")
+        query.awaitTermination()
+        assert query.exception() is None
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == store
+    periods = Periods.fit(table, "D")
+    first = (day - dt.datetime(1970, 1, 1)).days
+    got = trends_at(spark.read.parquet(f"{tmp_path}/out"), GRID, first, first + periods.n - 1)
+    plain = hotspot.mann_kendall(cube.count_cube(table, GRID, periods))
+    columns = ["row", "col", "n", "s", "z", "trend", "significant"]
+    assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, plain.select(columns).collect()))
+
+
 def test_entry_and_registration(spark, sf_dir):
     assert __spark_entry__.entry(spark).count() == 10
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
