@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellwise.llm.common import SPACE, buffers, chunked, ints, mix64, order_id, rolling, row_groups, spread_ranges, text_key, token_blocks, word_pieces
+from cellwise.llm.common import SPACE, buffers, chunked, ints, joined_by_key, mix64, order_id, rolling, row_groups, saved, spread_ranges, text_key, token_blocks, word_pieces
 from cellwise.llm.windows import Plan, anchor_runs, broadcast, covered, in_round, merged, merged_sketch, runs
 
 GRAM = 8
@@ -166,8 +166,8 @@ def deduplicate(docs: DataFrame, window: int = 50) -> DataFrame:
     other columns are not carried. A text longer than CHUNK goes in blocks, at some two times its bytes of memory.
     """
     rows = docs.select("doc_id", order_id().alias("_id"), text_key().alias("_key"), F.coalesce("text", F.lit("")).alias("_text"))
-    spans = repeated_spans(rows.select("_id", "_key", "_text"), window)
-    joined = rows.join(spans, ["_id", "_key"], "left").select("doc_id", "_text", "spans")
+    spans = saved(repeated_spans(rows.select("_id", "_key", "_text"), window), "spans")
+    joined = joined_by_key(rows, spans, ["_id", "_key"]).select("doc_id", "_text", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunked(batches, CHUNK):
