@@ -15,7 +15,7 @@ from cellwise.functions.grid import GridSpec
 from cellwise.functions.stats import two_sided_p, z_threshold
 from cellwise.operators.forecast import by_length, series_of
 from cellwise.operators.neighbors import neighbour_sums
-from cellwise.operators.spatial_join import block_pairs
+from cellwise.operators.spatial_join import block_pairs, pairs_upto, squared
 
 
 def kde_bandwidth(points: DataFrame) -> float:
@@ -163,21 +163,20 @@ def lisa_p_values(cube: DataFrame, spec: GridSpec, value: str = "count", permuta
 def pair_counts(points: DataFrame, distances: list[float], keys: tuple[str, ...] = ()) -> DataFrame:
     """Ordered pairs of different points within each distance: (keys,) distance, pairs; also n, the number of points.
 
-    Points at one place are one row with a weight. Distances are counted block by block and never become rows.
+    Points at one place are one row with a weight. Pairs are counted by groups of points and never become rows.
     """
     reach = np.array(sorted(map(float, distances)))
 
+    limits = np.array([squared(d) for d in reach])
+
     def count(own: tuple, a: np.ndarray, b: np.ndarray, one: bool) -> list[np.ndarray]:
-        wa, wb = a[2].view(np.int64), b[2].view(np.int64)
-        dist = np.sqrt((a[0][:, None] - b[0][None, :]) ** 2 + (a[1][:, None] - b[1][None, :]) ** 2)
-        plain = wa.max() == 1 == wb.max()
-        upto = [np.count_nonzero(dist <= d) if plain else wa @ (dist <= d) @ wb for d in reach]
-        return [*[np.full(len(reach), v) for v in own], np.arange(len(reach)), np.diff([0, *upto]) * (1 if one else 2)]
+        pairs = pairs_upto(a, b, limits)[:-1] * (1 if one else 2)
+        return [*[np.full(len(reach), v) for v in own], np.arange(len(reach)), pairs]
 
     rows = points.groupBy(*keys, "x", "y").agg(F.count("*").alias("w"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     steps = F.array(*[F.lit(float(d)) for d in reach])
-    found = block_pairs(rows, float(reach[-1]), keys, ("w",), count, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "k int, pairs long"]))
+    found = block_pairs(rows, float(reach[-1]), keys, ("w",), count, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "k int, pairs long"]), whole=True)
     binned = found.groupBy(*keys, "k").agg(F.sum("pairs").alias("pairs"))
     n = points.groupBy(*keys).agg(F.count("*").alias("n")) if keys else points.agg(F.count("*").alias("n"))
     every = n.select(*keys, "n", F.posexplode(steps).alias("k", "distance"))
