@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellwise.operators.lineage import connected_components, saved
@@ -25,74 +25,122 @@ def _keyed(events: DataFrame) -> DataFrame:
 
 
 def stdbscan(events: DataFrame, eps_spatial: float = 1000.0, eps_seconds: float = 30 * 86400.0, min_samples: int = 10) -> DataFrame:
-    """event_id and cluster of every event, a row each also where event_ids repeat; -1 is noise. See clusters_of."""
-    rows = _keyed(events.select("event_id", "x", "y", "datetime"))
-    return rows.select("_row", "event_id").join(clusters_of(rows, eps_spatial, eps_seconds, min_samples), "_row").select("event_id", "cluster")
+    """event_id and cluster of every event, a row each also where event_ids repeat; -1 is noise. See labelled."""
+    return labelled(_keyed(events.select("event_id", "x", "y", "datetime")), eps_spatial, eps_seconds, min_samples).select("event_id", "cluster")
 
 
-def clusters_of(events: DataFrame, eps_spatial: float = 1000.0, eps_seconds: float = 30 * 86400.0, min_samples: int = 10) -> DataFrame:
-    """_row and cluster of every event; -1 is noise.
+#: A cell's side as a part of eps_spatial: its diagonal is shorter than that, so that all events of a cell are neighbours.
+SIDE = 0.7
+CELL = ["_cx", "_cy", "_ct"]
+#: Cells that events within reach may lie in.
+AROUND = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in (-1, 0, 1)]
+
+
+def _celled(events: DataFrame, eps: float, micros: int) -> DataFrame:
+    """events with _ts, in microseconds, and their cell; nulls without event_id, place or time."""
+    rows = events.withColumn("_ts", F.unix_micros(F.col("datetime").cast("timestamp")))
+    known = F.expr("event_id IS NOT NULL AND _ts IS NOT NULL AND x - x = 0 AND y - y = 0")
+    span = max(1, micros)
+    cell = [F.floor(F.col("x") / (SIDE * eps)), F.floor(F.col("y") / (SIDE * eps)), F.expr(f"(_ts - pmod(_ts, {span})) DIV {span}")]
+    return rows.withColumns({c: F.when(known, v) for c, v in zip(CELL, cell, strict=True)})
+
+
+def _sent(rows: DataFrame, around: list[tuple[int, int, int]], eps: float | None = None) -> DataFrame:
+    """rows once for each cell around their own; with eps, of a place's only those whose square it reaches."""
+    moves = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("ijk", m, strict=True)]) for m in around]))
+    to = rows.withColumn("_m", moves).withColumns({c: F.col(c) + F.col(f"_m.{m}") for c, m in zip(CELL, "ijk", strict=True)}).drop("_m")
+    if eps is None:
+        return to
+    gap = [F.greatest(F.col(c) * (SIDE * eps) - F.col(v), F.col(v) - (F.col(c) + 1) * (SIDE * eps), F.lit(0.0)) for c, v in (("_cx", "x"), ("_cy", "y"))]
+    # A little more than eps, as a cell's border is rounded.
+    return to.where(gap[0] * gap[0] + gap[1] * gap[1] <= (1.001 * eps) ** 2)
+
+
+def labelled(events: DataFrame, eps_spatial: float = 1000.0, eps_seconds: float = 30 * 86400.0, min_samples: int = 10) -> DataFrame:
+    """events, which have _row, with the cluster of each; -1 is noise.
 
     An event is core with min_samples neighbours or more, itself not counted. Clusters are the components of core events
     within reach of each other, numbered by their smallest event_id; a border event belongs to the smallest-numbered
-    cluster it reaches. Events without place or time are noise. Pairs of neighbours are counted, linked and labelled block by
-    block and never become rows: a pair of blocks gives as many links as connect its events.
-    """
+    cluster it reaches. Events without place or time are noise.
 
-    def count(_, a, b, one):
-        near = _near(a, b, one, eps_spatial, eps_seconds)
-        found = [(a, near.sum(axis=1)), *([] if one else [(b, near.sum(axis=0))])]
-        ids, n = np.concatenate([x[2].view(np.int64) for x, _ in found]), np.concatenate([n for _, n in found])
-        return [ids[n > 0], n[n > 0]]
+    All events of a small cell are neighbours. So those of a cell of more than min_samples are core, and the core events of a
+    cell are of one cluster: only events of other cells are compared with those around, and clusters are components of
+    cells, linked by a few events of each; core events are compared only where cells around are then still apart.
+    """
+    eps, micros = float(eps_spatial), int(round(eps_seconds * 1e6, 3))
+    placed = _celled(events, eps, micros)
+    points = placed.where("_cx IS NOT NULL").select(F.col("_row").alias("id"), "event_id", "x", "y", F.col("_ts").alias("ts"), *CELL)
+    many = saved(points.groupBy(*CELL).agg(F.count("*").alias("n")), "cells")
+    near = F.expr(f"sqrt((x - x2) * (x - x2) + (y - y2) * (y - y2)) <= {eps!r}D AND abs(ts - ts2) <= {micros}L")
+
+    few = points.join(many.where(F.col("n") <= min_samples), CELL)
+    other = points.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("ts").alias("ts2"), *CELL)
+    met = _sent(few, [m for m in AROUND if m != (0, 0, 0)], eps).join(other, CELL).where(near)
+    lone = saved(met.groupBy("id", "n").agg(F.count("*").alias("met")).where(F.col("met") + F.col("n") - 1 >= min_samples).select("id"), "core")
+    judged = points.join(many, CELL).join(lone.withColumn("found", F.lit(True)), "id", "left").withColumn("core", (F.col("n") > min_samples) | F.col("found").isNotNull()).drop("n", "found")
+    core = judged.where("core")
+
+    # Of each cell's core events: some at its corners and ends, and the bounds.
+    ends = [f(F.struct("x", "y", "ts"), v) for v in (F.col("x") + F.col("y"), F.col("x") - F.col("y"), F.col("ts")) for f in (F.min_by, F.max_by)]
+    bounds = {f"{c}_{e}": f(c) for c in ("x", "y", "ts") for e, f in (("a", F.min), ("b", F.max))}
+    cells = saved(core.groupBy(*CELL).agg(F.min("id").alias("node"), F.min("event_id").alias("least"), F.array_distinct(F.array(*ends)).alias("some"), *[v.alias(c) for c, v in bounds.items()]), "core-cells")
+    twin = cells.select(*CELL, *[F.col(c).alias(f"{c}2") for c in ("node", "some", *bounds)])
+    apart = _gap("x") * _gap("x") + _gap("y") * _gap("y")
+    both = _sent(cells, [m for m in AROUND if m > (0, 0, 0)]).join(twin, CELL).where((F.sqrt(apart) <= eps) & (_gap("ts") <= micros))
+    linked = both.where(F.exists("some", lambda p: F.exists("some2", lambda q: _reach(p, q, eps, micros)))).select(F.col("node").alias("a"), F.col("node2").alias("b"))
+    parts = connected_components(linked)
+    rooted = saved(cells.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+
+    far = rooted.select(*CELL, *[F.col(c).alias(f"{c}2") for c in ("root", *bounds)])
+    own = ["root", *bounds]
+    open_pairs = _sent(rooted.select(*CELL, *own), [m for m in AROUND if m != (0, 0, 0)]).join(far, CELL).where("root <> root2").where((F.sqrt(apart) <= eps) & (_gap("ts") <= micros))
+    left = core.join(open_pairs.select(*CELL, "root2", *[F.col(c).alias(f"{c}1") for c in bounds], F.col("root").alias("root1")), CELL)
+    within = [F.greatest(F.col(f"{c}_a1") - F.col(c), F.col(c) - F.col(f"{c}_b1"), F.lit(0)) for c in ("x", "y", "ts")]
+    left = left.where((F.sqrt(within[0] * within[0] + within[1] * within[1]) <= eps) & (within[2] <= micros))
+    left = left.select("id", F.col("root2").alias("root"), "x", "y", F.col("ts").cast("double").alias("ts")).distinct()
 
     def link(_, a, b, one):
-        near = _near(a, b, one, eps_spatial, eps_seconds)
+        near = _near(a, b, one, eps, micros)
         ids = np.r_[a[2], b[2]].view(np.int64)
-        left, right = np.arange(len(a[0])), np.arange(len(b[0])) + (0 if one else len(a[0]))
-        while True:
-            new_left = np.minimum(left, np.where(near, right, len(ids)).min(axis=1))
-            new_right = np.minimum(right, np.where(near, new_left[:, None], len(ids)).min(axis=0))
-            if one:
-                new_left = new_right = np.minimum(new_left, new_right)
-            if (new_left == left).all() and (new_right == right).all():
-                break
-            left, right = new_left, new_right
-        label = left if one else np.r_[left, right]
-        moved = np.flatnonzero(label != np.arange(len(label)))
-        return [ids[moved], ids[label[moved]]]
-
-    def border(_, a, b, one):
-        near = _near(a, b, one, eps_spatial, eps_seconds)
-        out = []
-        for x, y, by in ((a, b, near), *([] if one else [(b, a, near.T)])):
-            own, other = x[3].view(np.int64), y[3].view(np.int64)
-            at, cores = np.flatnonzero(own < 0), np.flatnonzero(other >= 0)
-            if len(at) and len(cores):
-                least = np.where(by[np.ix_(at, cores)], other[cores], 2**62).min(axis=1)
-                out.append((x[2].view(np.int64)[at[least < 2**62]], least[least < 2**62]))
-        return [np.concatenate(c) for c in zip(*out, strict=True)] if out else []
-
-    points = events.select(F.col("_row").alias("id"), "event_id", "x", "y", (F.unix_micros(F.col("datetime").cast("timestamp")) / 1e6).alias("ts"))
-    known = points.where("x IS NOT NULL AND y IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL")
-    counts = block_pairs(known, eps_spatial, (), ("id",), count, "id long, n long", eps_seconds)
-    core = saved(counts.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("id"), "core")
-    links = block_pairs(known.join(core, "id", "left_semi"), eps_spatial, (), ("id",), link, "a long, b long", eps_seconds)
-    parts = connected_components(links)
-    rooted = core.join(parts, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
-    roots = rooted.join(points.select("id", "event_id"), "id").groupBy("root").agg(F.min("event_id").alias("least"))
+        i, j = np.nonzero(near & (a[2].view(np.int64)[:, None] != b[2].view(np.int64)))
+        found = np.unique(np.stack([ids[i], ids[j + len(a[2])]]), axis=1)
+        return [found[0], found[1]] if len(i) else []
+
+    again = connected_components(block_pairs(left, eps, (), ("root",), link, "a long, b long", float(max(1, micros))))
+    final = rooted.join(again.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("root", F.coalesce("top", "root"))
+    final = saved(final.select(*CELL, "root", "least"), "final")
+    roots = final.groupBy("root").agg(F.min("least").alias("least"))
     # One row a cluster: far fewer than events; numbered in the order of their smallest event.
-    numbers = roots.withColumn("cluster", (F.row_number().over(Window.orderBy("least", "root")) - 1).cast("long"))
-    labelled = saved(rooted.join(numbers, "root").select("id", "cluster"), "labelled")
-    marked = known.join(labelled, "id", "left").withColumn("own", F.coalesce("cluster", F.lit(-1)))
-    reached = block_pairs(marked, eps_spatial, (), ("id", "own"), border, "id long, near long", eps_seconds).groupBy("id").agg(F.min("near").alias("near"))
-    out = points.join(labelled, "id", "left").join(reached, "id", "left")
-    return out.select(F.col("id").alias("_row"), F.coalesce("cluster", "near", F.lit(-1)).cast("int").alias("cluster"))
+    numbers = roots.withColumn("cluster", (F.row_number().over(Window.orderBy("least", "root")) - 1).cast("int"))
+    named = saved(final.join(numbers, "root").select(*CELL, "cluster"), "named")
+
+    border = _sent(judged.where("NOT core").select("id", "x", "y", "ts", *CELL), AROUND, eps)
+    theirs = core.join(named, CELL).select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("ts").alias("ts2"), "cluster", *CELL)
+    reached = border.join(theirs, CELL).where(near).groupBy(F.col("id").alias("_row")).agg(F.min("cluster").alias("_near"))
+    told = placed.join(many.select(*CELL, (F.col("n") > min_samples).alias("_all")), CELL, "left").join(named, CELL, "left")
+    told = told.join(lone.select(F.col("id").alias("_row"), F.lit(True).alias("_core")), "_row", "left").join(reached, "_row", "left")
+    cluster = F.when(F.coalesce("_all", F.lit(False)) | F.col("_core").isNotNull(), F.col("cluster")).otherwise(F.coalesce("_near", F.lit(-1)))
+    return told.select(*events.columns, cluster.cast("int").alias("cluster"))
+
+
+def _gap(c: str) -> Column:
+    """How far the bounds of one cell's events are from those of another's."""
+    return F.greatest(F.col(f"{c}_a2") - F.col(f"{c}_b"), F.col(f"{c}_a") - F.col(f"{c}_b2"), F.lit(0))
+
+
+def _reach(p: Column, q: Column, eps: float, micros: int) -> Column:
+    dx, dy = p["x"] - q["x"], p["y"] - q["y"]
+    return (F.sqrt(dx * dx + dy * dy) <= eps) & (F.abs(p["ts"] - q["ts"]) <= micros)
+
+
+def clusters_of(events: DataFrame, eps_spatial: float = 1000.0, eps_seconds: float = 30 * 86400.0, min_samples: int = 10) -> DataFrame:
+    """_row and cluster of every event; see labelled."""
+    return labelled(events, eps_spatial, eps_seconds, min_samples).select("_row", "cluster")
 
 
 def fit_transform(events: DataFrame, **options) -> DataFrame:
     """events with their cluster: as many rows as before, also where event_ids repeat."""
-    rows = _keyed(events)
-    return rows.join(clusters_of(rows, **options), "_row").drop("_row")
+    return labelled(_keyed(events), **options).drop("_row")
 
 
 def cluster_summary(clustered: DataFrame) -> DataFrame:

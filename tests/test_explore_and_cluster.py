@@ -266,3 +266,19 @@ def test_a_row_of_paired_blocks_carries_one_block(spark):
     made = neighbour_counts(spark.createDataFrame([(i, i % 7 + 0.0, i % 5 + 0.0) for i in range(50)], "id long, x double, y double"), 2.0)
     assert "data2" not in made._jdf.queryExecution().toString() and "data" in made._jdf.queryExecution().toString()
     assert spatial_join.BLOCK <= 256
+
+
+def test_stdbscan_of_dense_cells(spark, monkeypatch):
+    """Dense places at, just under and just over the reach of each other, lone events between: labels of the plain procedure, and few events meet in blocks."""
+    seen = []
+    monkeypatch.setattr(cluster, "block_pairs", lambda points, *rest: seen.append(points.count()) or spatial_join.block_pairs(points, *rest))
+    rng = np.random.default_rng(13)
+    blobs = [np.column_stack([x + rng.uniform(-w, w, n), y + rng.uniform(-w, w, n), rng.uniform(0, 25, n)]) for x, y, w, n in ((0, 0, 2, 120), (10, 0, 2, 120), (30, 0, 1, 60), (38, 0, 1, 60), (-25, 0, 0, 15), (-19, 0, 0, 15), (-12.999, 0, 0, 4))]
+    a = np.concatenate([*blobs, np.column_stack([rng.uniform(-40, 50, (40, 2)), rng.uniform(0, 90, 40)])])
+    a = np.round(a[rng.permutation(len(a))], 3)
+    base = pd.Timestamp("2024-01-01")
+    rows = [(i, float(x), float(y), (base + pd.Timedelta(milliseconds=round(t * 1000))).to_pydatetime()) for i, (x, y, t) in enumerate(a)]
+    events = spark.createDataFrame([*rows, (900, float("nan"), 1.0, base.to_pydatetime())], "event_id long, x double, y double, datetime timestamp_ntz")
+    got = {r.event_id: r.cluster for r in cluster.stdbscan(events, 6.0, 30.0, 5).collect()}
+    assert [got[i] for i in range(len(a))] == plain_stdbscan(a, 6.0, 30.0, 5) and got[900] == -1
+    assert seen and max(seen) < len(a) / 2
