@@ -34,6 +34,15 @@ WORDS, NEAR = 8, 99
 PARTNERS, HELD = 1, 1024
 
 
+def sorted_in_rows(value: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The places of the values, sorted in each row, rows ascending: lexsort's, but that equal values of a row may come in any order."""
+    if not len(row) or row.max() >= 1 << 16:
+        return np.lexsort((value, row))
+    order = np.argsort(value)
+    # Numbers of sixteen bits are sorted by radix.
+    return order[np.argsort(row.astype(np.uint16)[order], kind="stable")]
+
+
 def shingle_sets(column: pa.ChunkedArray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct shingles of all texts, sorted in each, the number of each text's, and a hash of each text's set.
 
@@ -53,7 +62,7 @@ def shingle_sets(column: pa.ChunkedArray, shingle: int) -> tuple[np.ndarray, np.
         found.append(value)
         row.append(short)
     value, row = np.concatenate(found), np.concatenate(row)
-    order = np.lexsort((value, row))
+    order = sorted_in_rows(value, row)
     value, row = value[order], row[order]
     new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
