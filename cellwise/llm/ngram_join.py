@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellwise.llm.common import chunked, dropped, extended, mix64, saved, spread_ranges
-from cellwise.llm.near_copies import sets_of_keys, shingle_sets
+from cellwise.llm.near_copies import shingle_sets
 from cellwise.llm.windows import Plan, Sketch, merged_sketch
 from cellwise.operators.lineage import connected_components
 
@@ -36,6 +36,8 @@ WIDTH = 8
 WORDS = WIDTH * ORDERS
 #: Members of a token's texts that are held to compare others with.
 BLOCK = 1024
+#: Larger sets than this have bitmaps that are too full to tell them apart, so that counts by cell of the bitmap are compared before whole sets are.
+COUNTED = 512
 #: Candidates that a text gives for each other component in the first round, and how this grows.
 PARTNERS, GROWTH = 2, 8
 #: Steps of the sketch's counts that make a class, as multiples of its mean count.
@@ -62,12 +64,12 @@ def _signed(docs: DataFrame, keep: list[str], shingle: int) -> DataFrame:
     return rows.mapInArrow(run, extended(rows.drop("text"), "key bigint, n bigint"))
 
 
-def token_sketch(docs: DataFrame, total: int, shingle: int, most_bits: int = 28) -> Sketch:
-    """Which shingles may be in two texts, and the class of their number. Four cells a shingle, 2**most_bits at most a row.
+def token_sketch(docs: DataFrame, total: int, shingle: int, most_bits: int = 30) -> Sketch:
+    """Which shingles may be in two texts, and the class of their number. Two cells a shingle, 2**most_bits at most a row.
 
     Beyond that size more shingles count as shared, and prefixes are shuffled that lead to nothing: a tenth of the shingles at most.
     """
-    bits = min(most_bits, max(16, math.ceil(math.log2(4 * max(1, total)))))
+    bits = min(most_bits, max(16, math.ceil(math.log2(2 * max(1, total)))))
     step = max(16, 64 * -(-total >> bits))
     return merged_sketch(docs.select("text"), lambda part: shingle_sets(part.column("text"), shingle)[0], Plan(shingle, shingle, bits, 1), lambda b: chunked(b, PART), tuple(step * c for c in CLASSES))
 
@@ -83,6 +85,12 @@ def bitmap(owner: np.ndarray, token: np.ndarray, n: int, odd: bool) -> np.ndarra
     return np.packbits(flat.reshape(n, 64 * WIDTH), axis=1, bitorder="little").view(np.uint64)
 
 
+def cell_counts(token: np.ndarray) -> np.ndarray:
+    """How many tokens of a set have each bit of a bitmap, 255 at most. Two sets differ in as many tokens as these in all, at least."""
+    place = (mix64(token ^ np.uint64(SALT)) % np.uint64(64 * WIDTH)).astype(np.int64)
+    return np.minimum(np.bincount(place, minlength=64 * WIDTH), 255).astype(np.uint8)
+
+
 def prefixes(value: np.ndarray, many: np.ndarray, sketch: Sketch, over: int, under: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the sets whose prefixes hold shared tokens: which they are, the place in these and the token of each shared one in the
     first order's prefix, and the bitmaps (sets x WORDS).
@@ -112,8 +120,48 @@ def prefixes(value: np.ndarray, many: np.ndarray, sketch: Sketch, over: int, und
     return sets, *found, np.concatenate(maps, axis=1)
 
 
+def _at(docs: DataFrame) -> Column:
+    """What a text is found again by."""
+    return F.xxhash64(docs["text"])
+
+
+def whole_sets(docs: DataFrame, pairs: DataFrame, sets: DataFrame, shingle: int) -> DataFrame:
+    """key, values (the whole set) and, of sets over COUNTED, counts by cell of each key in pairs (and of a few more).
+
+    Which texts are looked into is sent as a bitmap of 16 MB at most; the others are read, but not cut into shingles.
+    """
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = saved(sets.select("key", "at").join(keys, "key").select("at"), "join-wanted")
+    bits = min(27, max(15, (8 * wanted.count()).bit_length()))
+    place = F.pmod("at", F.lit(1 << bits)) + 1
+    parts = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("map"))
+    bitmap = np.zeros((1 << bits) // 8, np.uint8)
+    for r in parts.toLocalIterator():
+        bitmap[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["map"], np.uint8)
+    dropped(wanted)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("at").to_numpy().view(np.uint64) & np.uint64(8 * len(sent.value) - 1)
+            yield batch.filter(pa.array((sent.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunked(hit(batches), PART):
+            value, many, key = shingle_sets(part.column("text"), shingle)
+            once = np.zeros(len(key), bool)
+            once[np.unique(key, return_index=True)[1]] = True
+            inner = value[np.repeat(once, many)].view(np.int64)
+            lists = pa.LargeListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many[once])]), pa.array(inner)).cast(pa.list_(pa.int64()))
+            counts = [cell_counts(own).tobytes() if len(own) > COUNTED else None for own, yes in zip(np.split(value, np.cumsum(many)[:-1]), once, strict=True) if yes]
+            yield from pa.table({"key": pa.array(key[once].view(np.int64)), "values": lists, "counts": pa.array(counts, pa.binary())}).to_batches(256)
+
+    found = docs.select("text", _at(docs).alias("at")).mapInArrow(run, "key long, values array<long>, counts binary")
+    return found.groupBy("key").agg(F.any_value("values").alias("values"), F.any_value("counts").alias("counts"))
+
+
 def _prefixed(docs: DataFrame, sketch: Sketch, shingle: int, over: int, under: int) -> DataFrame:
-    """key, n, tokens (of the first order's prefix) and bitmaps w0 ... of each distinct set that may be similar to another."""
+    """key, at (a hash of one of its texts), n, tokens (of the first order's prefix) and bitmaps w0 ... of each distinct set that may be similar to another."""
     names = [f"w{k}" for k in range(WORDS)]
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
@@ -127,10 +175,11 @@ def _prefixed(docs: DataFrame, sketch: Sketch, shingle: int, over: int, under: i
             sizes = np.bincount(owner, minlength=len(which))
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(token.view(np.int64)))
             words = maps.view(np.int64)
-            out = pa.table([pa.array(key[which].view(np.int64)), pa.array(many[which].astype(np.int64)), lists, *(pa.array(words[:, k]) for k in range(WORDS))], ["key", "n", "tokens", *names])
+            at = part.column("at").combine_chunks().filter(pa.array(once)).take(pa.array(which))
+            out = pa.table([pa.array(key[which].view(np.int64)), at, pa.array(many[which].astype(np.int64)), lists, *(pa.array(words[:, k]) for k in range(WORDS))], ["key", "at", "n", "tokens", *names])
             yield from out.to_batches(4096)
 
-    found = docs.select("text").mapInArrow(run, ", ".join(["key bigint, n bigint, tokens array<bigint>", *(f"{x} bigint" for x in names)]))
+    found = docs.select("text", _at(docs).alias("at")).mapInArrow(run, ", ".join(["key bigint, at bigint, n bigint, tokens array<bigint>", *(f"{x} bigint" for x in names)]))
     return found.dropDuplicates(["key"])
 
 
@@ -170,7 +219,7 @@ def _dealt(members: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     home = F.pmod(F.xxhash64("key", "token"), F.col("blocks")).cast("int")
     residents = rows.select("token", home.alias("block"), F.lit(0).alias("visits"), "key", "part", "minor")
     visitors = rows.where("minor").select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("visits"), "key", "part", "minor")
-    return residents.unionByName(visitors).join(sets.drop("tokens"), "key")
+    return residents.unionByName(visitors).join(sets.drop("tokens", "at"), "key")
 
 
 def near_in_block(own: dict[str, np.ndarray], other: dict[str, np.ndarray], partners: int, over: int, under: int) -> np.ndarray:
@@ -235,8 +284,18 @@ def _candidates(dealt: DataFrame, partners: int, over: int, under: int) -> DataF
 
 
 def verified(pairs: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
+    """The pairs (a, b) whose whole sets are similar. Of two large sets, the counts by cell go along first: the whole sets only with pairs that these leave."""
     x, y = sets.select(F.col("key").alias("a"), F.col("values").alias("x")), sets.select(F.col("key").alias("b"), F.col("values").alias("y"))
+    p, q = (sets.select(F.col("key").alias(k), F.col("counts").alias(c), F.size("values").alias(n)) for k, c, n in (("a", "p", "n"), ("b", "q", "m")))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            both = (batch.column("p").is_valid().to_numpy(zero_copy_only=False) & batch.column("q").is_valid().to_numpy(zero_copy_only=False)).nonzero()[0]
+            for k in both.tolist():
+                u, v = (np.frombuffer(batch.column(c)[k].as_py(), np.uint8).astype(np.int64) for c in ("p", "q"))
+                keep[k] = (batch.column("n")[k].as_py() + batch.column("m")[k].as_py()) * (under - over) >= int(np.abs(u - v).sum()) * (under + over)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,7 +306,8 @@ def verified(pairs: DataFrame, sets: DataFrame, over: int, under: int) -> DataFr
                 keep[k] = under * same >= over * (len(p) + len(q) - same)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    left = pairs.select("a", "b").join(p, "a").join(q, "b").select("a", "b", "p", "q", "n", "m").mapInArrow(near, "a bigint, b bigint")
+    return left.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(docs: DataFrame, total: int, shingle: int, over: int = OVER, under: int = UNDER, block: int = BLOCK, partners: int = PARTNERS) -> DataFrame | None:
@@ -259,9 +319,10 @@ def components(docs: DataFrame, total: int, shingle: int, over: int = OVER, unde
     members = saved(spread.join(shared, "token").select("token", "key"), "join-members")
     if members.isEmpty():
         return None
-    values = saved(sets_of_keys(docs, members.select("key").distinct(), shingle), "join-sets")
     tried = saved(_with_hubs(members, sets, over, under), "join-tried")
+    values = saved(whole_sets(docs, tried, sets, shingle), "join-sets")
     links = saved(verified(tried, values, over, under), "join-links")
+    dropped(values)
     while True:
         labelled, found = _labelled(members, links)
         pairs = saved(_candidates(_dealt(labelled, sets, block), partners, over, under), "join-pairs")
@@ -269,8 +330,9 @@ def components(docs: DataFrame, total: int, shingle: int, over: int = OVER, unde
         more = not pairs.where("more = 1").isEmpty()
         if new.isEmpty() and not more:
             break
+        values = saved(whole_sets(docs, new, sets, shingle), "join-sets")
         good = verified(new, values, over, under)
-        links, tried, before = saved(links.unionByName(good), "join-links"), saved(tried.unionByName(new.select("a", "b")), "join-tried"), (links, tried, pairs, new)
+        links, tried, before = saved(links.unionByName(good), "join-links"), saved(tried.unionByName(new.select("a", "b")), "join-tried"), (links, tried, pairs, new, values)
         for t in before:
             dropped(t)
         if not more:
@@ -279,7 +341,7 @@ def components(docs: DataFrame, total: int, shingle: int, over: int = OVER, unde
             break
         dropped(found)
         partners *= GROWTH
-    for t in (sets, members, values, links, tried):
+    for t in (sets, members, links, tried):
         dropped(t)
     return found
 

@@ -98,3 +98,39 @@ def test_a_long_text_and_its_copy(spark):
     got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     sets = [shingles(t) for _, t in rows]
     assert got == {5: 3, 3: 3, 9: 3 if len(sets[0] & sets[2]) * 10 >= 9 * len(sets[0] | sets[2]) else 9}
+
+
+def test_whole_sets_go_with_candidate_pairs_only(spark, monkeypatch):
+    """Texts that share a phrase, and a sketch that calls all shared: every text has a shared token, few pairs are candidates."""
+    dice = random.Random(5)
+    rows = [(k, " ".join(["one two three four", *(f"w{dice.randrange(10**9)}" for _ in range(30))])) for k in range(80)]
+    rows += [(k + 100, text + " end") for k, text in rows[:5]]
+    seen = []
+
+    def counted(pairs, sets, *limits, verified=ngram_join.verified):
+        seen.append((pairs.select("a").union(pairs.select("b")).distinct().count(), sets.count()))
+        return verified(pairs, sets, *limits)
+
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    monkeypatch.setattr(ngram_join, "token_sketch", lambda docs, total, shingle, make=ngram_join.token_sketch: make(docs, total, shingle, most_bits=10))
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert all(sets <= keys + 2 for keys, sets in seen) and sum(sets for _, sets in seen) < len(rows) // 2
+
+
+def test_the_sketch_has_room_for_the_shingles_of_six_gigabytes(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(ngram_join, "merged_sketch", lambda rows, make, plan, *_: plans.append(plan))
+    for total in (10**6, 10**8, 15 * 10**8):
+        ngram_join.token_sketch(spark.createDataFrame([("a b c",)], "text string"), total, 3)
+    assert all(total <= 1.5 * 2**plan.bits for total, plan in zip((10**6, 10**8, 15 * 10**8), plans, strict=True))
+
+
+def test_large_sets_that_share_tokens_are_told_apart_by_counts(spark, monkeypatch):
+    """Bitmaps of large sets are full; with a full sketch, counts by cell must lose no pair and let few through."""
+    dice = random.Random(6)
+    common = [f"c{k}" for k in range(400)]
+    texts = [" ".join([*common, *(f"w{dice.randrange(10**9)}" for _ in range(2600))]) for _ in range(12)]
+    texts += [texts[0] + " end", " ".join(texts[1].split()[:2750])]
+    monkeypatch.setattr(ngram_join, "token_sketch", lambda docs, total, shingle, make=ngram_join.token_sketch: make(docs, total, shingle, most_bits=10))
+    rows = list(enumerate(texts))
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
