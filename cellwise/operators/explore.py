@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellwise.functions import numerics
@@ -15,7 +16,10 @@ from cellwise.functions.grid import GridSpec
 from cellwise.functions.stats import two_sided_p, z_threshold
 from cellwise.operators.forecast import by_length, series_of
 from cellwise.operators.neighbors import neighbour_sums
-from cellwise.operators.spatial_join import block_pairs, pairs_upto, squared
+from cellwise.operators.spatial_join import STRIP, block_pairs, pairs_around, pairs_upto, squared
+
+#: Points of a tile of a random pattern, about.
+TILE = 65536
 
 
 def kde_bandwidth(points: DataFrame) -> float:
@@ -176,7 +180,7 @@ def pair_counts(points: DataFrame, distances: list[float], keys: tuple[str, ...]
     rows = points.groupBy(*keys, "x", "y").agg(F.count("*").alias("w"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     steps = F.array(*[F.lit(float(d)) for d in reach])
-    found = block_pairs(rows, float(reach[-1]), keys, ("w",), count, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "k int, pairs long"]), whole=True)
+    found = block_pairs(rows, float(reach[-1]), keys, ("w",), count, ", ".join([*[f"{k} {kinds[k]}" for k in keys], "k int, pairs long"]), whole=True, ahead_of=1 << 14)
     binned = found.groupBy(*keys, "k").agg(F.sum("pairs").alias("pairs"))
     n = points.groupBy(*keys).agg(F.count("*").alias("n")) if keys else points.agg(F.count("*").alias("n"))
     every = n.select(*keys, "n", F.posexplode(steps).alias("k", "distance"))
@@ -185,6 +189,64 @@ def pair_counts(points: DataFrame, distances: list[float], keys: tuple[str, ...]
     return found.select(*keys, "distance", "n", (F.col("upto") - F.col("n")).alias("pairs"))
 
 
+def tile_sides(n: int, reach: float, width: float, height: float) -> tuple[int, int]:
+    """Tiles by x and by y, of about TILE points each, and none narrower than reach if there are several."""
+    side = math.sqrt(max(width * height, 1e-300) * TILE / max(n, 1))
+    return tuple(max(1, int(min(length / side + 0.5, length / reach))) for length in (width, height))
+
+
+def tile_points(n: int, tiles: tuple[int, int], bbox: tuple[float, float, float, float], seed: int, sim: int, wanted: list[tuple[int, int]]) -> list[np.ndarray]:
+    """x, y (and a weight of one) of the wanted tiles' points of a pattern of n independent uniform points.
+
+    How many a tile has is drawn for all tiles together, then its places from its own number, so that whoever asks for a tile gets the same points.
+    """
+    (left, low, right, high), (nx, ny) = bbox, tiles
+    sizes = np.random.default_rng([seed, sim]).multinomial(n, np.full(nx * ny, 1 / (nx * ny)))
+    made = []
+    for i, j in wanted:
+        x, y = np.random.default_rng([seed, sim, j * nx + i]).random((2, sizes[j * nx + i]))
+        made.append(np.stack([left + (i + x) * ((right - left) / nx), low + (j + y) * ((high - low) / ny), np.ones(len(x), np.int64).view(np.float64)]))
+    return made
+
+
+def random_pair_counts(spark: SparkSession, n: int, distances: list[float], bbox: tuple[float, float, float, float], simulations: int, seed: int) -> DataFrame:
+    """sim, distance, pairs: ordered pairs of different points within each distance, of each of as many patterns of n uniform points.
+
+    A row is a tile of a pattern: its task draws the tile's points and its neighbours', which so need no shuffle.
+    """
+    reach = np.array(sorted(map(float, distances)))
+    limits = np.array([squared(d) for d in reach])
+    nx, ny = tile_sides(n, float(reach[-1]), bbox[2] - bbox[0], bbox[3] - bbox[1])
+    tall, ideal = (bbox[3] - bbox[1]) / ny, STRIP * math.sqrt((bbox[2] - bbox[0]) * (bbox[3] - bbox[1]) / max(n, 1))
+    strips = max(1, round(tall / max(ideal, reach[-1] / 4096)))
+
+    def run(batches):
+        for batch in batches:
+            total: dict = {}
+            for number in batch.column(0).to_pylist():
+                sim, tile = divmod(number, nx * ny)
+                i, j = tile % nx, tile // nx
+                wanted = [(i + dx, j + dy) for dx, dy in ((0, 0), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1)) if 0 <= i + dx < nx and j + dy < ny]
+                own, *other = tile_points(n, (nx, ny), bbox, seed, sim, wanted)
+                if not own.shape[1]:
+                    continue
+                far = reach[-1] + 1e-3
+                near = [m[:, (m[0] >= own[0].min() - far) & (m[0] <= own[0].max() + far) & (m[1] <= own[1].max() + far)] for m in other]
+                beside, above = (np.concatenate([np.zeros((3, 0)), *[m for m, (_, at) in zip(near, wanted[1:], strict=True) if at == row]], axis=1) for row in (j, j + 1))
+                found = pairs_around(own, beside, above, bbox[1] + j * tall, tall / strips, strips, limits)
+                found -= own.shape[1]
+                total[sim] = total.get(sim, 0) + found
+            sims = sorted(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(sims, np.int32), len(reach))), pa.array(np.tile(np.arange(len(reach), dtype=np.int32), len(sims))), pa.array(np.concatenate([np.zeros(0, np.int64), *[total[k] for k in sims]]))], ["sim", "k", "pairs"])
+
+    tasks = simulations * nx * ny
+    parts = max(1, min(tasks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), tasks // 16)))
+    found = spark.range(0, tasks, 1, parts).mapInArrow(run, "sim int, k int, pairs long").groupBy("sim", "k").agg(F.sum("pairs").alias("pairs"))
+    steps = F.array(*[F.lit(float(d)) for d in reach])
+    every = spark.range(simulations).select(F.col("id").cast("int").alias("sim"), F.posexplode(steps).alias("k", "distance"))
+    return every.join(found, ["sim", "k"], "left").select("sim", "distance", F.coalesce("pairs", F.lit(0)).alias("pairs"))
+
+
 def ripley(points: DataFrame, distances: list[float], area: float) -> DataFrame:
     """distance, K, L of the points, without edge correction."""
     counts = pair_counts(points.select("x", "y").dropna(), distances)
@@ -193,19 +255,14 @@ def ripley(points: DataFrame, distances: list[float], area: float) -> DataFrame:
 
 
 def ripley_envelope(points: DataFrame, distances: list[float], bbox: tuple[float, float, float, float], simulations: int = 39, seed: int = 42) -> DataFrame:
-    """ripley with K_lower .. L_upper of as many random patterns; nulls for none. All patterns are one keyed plan."""
+    """ripley with K_lower .. L_upper of as many random patterns; nulls for none."""
     area = (bbox[2] - bbox[0]) * (bbox[3] - bbox[1])
     own = ripley(points, distances, area)
     if not simulations:
         return own.select("*", *[F.lit(None).cast("double").alias(c) for c in ("K_lower", "K_upper", "L_lower", "L_upper")])
     n = points.select("x", "y").dropna().count()
-    drawn = points.sparkSession.range(0, simulations * n).select(
-        F.expr(f"CAST(id DIV {n} AS INT)").alias("sim"),
-        # Patterns lie side by side, further apart than any distance, so that none meets another in the join.
-        (F.lit(bbox[0]) + F.rand(seed) * (bbox[2] - bbox[0]) + F.expr(f"id DIV {n}") * (bbox[2] - bbox[0] + 2 * max(distances))).alias("x"),
-        (F.lit(bbox[1]) + F.rand(seed + 1) * (bbox[3] - bbox[1])).alias("y"),
-    )
-    k = pair_counts(drawn, distances, ("sim",)).select("sim", "distance", (F.col("pairs") * area / (F.col("n") * (F.col("n") - 1))).alias("K"))
+    pairs = random_pair_counts(points.sparkSession, n, distances, bbox, simulations, seed)
+    k = pairs.select("sim", "distance", (F.col("pairs") * area / F.lit(float(n * (n - 1)))).alias("K"))
     both = k.withColumn("L", F.sqrt(F.col("K") / math.pi) - F.col("distance"))
     ends = both.groupBy("distance").agg(F.min("K").alias("K_lower"), F.max("K").alias("K_upper"), F.min("L").alias("L_lower"), F.max("L").alias("L_upper"))
     return own.join(ends, "distance")

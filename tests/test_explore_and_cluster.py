@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -282,3 +283,40 @@ def test_stdbscan_of_dense_cells(spark, monkeypatch):
     got = {r.event_id: r.cluster for r in cluster.stdbscan(events, 6.0, 30.0, 5).collect()}
     assert [got[i] for i in range(len(a))] == plain_stdbscan(a, 6.0, 30.0, 5) and got[900] == -1
     assert seen and max(seen) < len(a) / 2
+
+
+@pytest.mark.parametrize(("n", "bbox", "steps", "size"), [(2000, (0.0, 0.0, 40.0, 40.0), [1.0, 3.0, 10.0], 150), (600, (-5.0, 3.0, 1000.0, 300.0), [50.0, 100.0], 64), (3, (0.0, 0.0, 9.0, 9.0), [50.0], 64)])
+def test_pairs_of_random_patterns_by_tiles_against_brute_force(spark, monkeypatch, n, bbox, steps, size):
+    # Patterns are drawn tile by tile and their pairs counted there: no drawn point is a row.
+    monkeypatch.setattr(explore, "TILE", size)
+    nx, ny = explore.tile_sides(n, steps[-1], bbox[2] - bbox[0], bbox[3] - bbox[1])
+    assert nx * ny > 1 or n < 10
+    got = {(r.sim, r.distance): r.pairs for r in explore.random_pair_counts(spark, n, steps, bbox, 3, 7).collect()}
+    for sim in range(3):
+        m = np.concatenate(explore.tile_points(n, (nx, ny), bbox, 7, sim, [(i, j) for j in range(ny) for i in range(nx)]), axis=1)
+        assert m.shape[1] == n and (m[0] >= bbox[0]).all() and (m[0] <= bbox[2]).all() and (m[1] >= bbox[1]).all() and (m[1] <= bbox[3]).all()
+        d = np.hypot(m[0][:, None] - m[0], m[1][:, None] - m[1])
+        np.fill_diagonal(d, np.inf)
+        assert [got[sim, s] for s in steps] == [(d <= s).sum() for s in steps]
+
+
+def test_random_patterns_are_uniform_and_differ():
+    tiles, bbox = (4, 3), (0.0, 0.0, 40.0, 30.0)
+    one, two = (np.concatenate(explore.tile_points(24_000, tiles, bbox, 7, sim, [(i, j) for j in range(3) for i in range(4)]), axis=1) for sim in (0, 1))
+    assert not np.isin(one[0], two[0]).any() and len(np.unique(one[0])) == 24_000
+    counts = np.histogram2d(one[0], one[1], bins=(16, 12), range=((0, 40), (0, 30)))[0]
+    # 192 cells of 125 points: chi-square of 191 degrees of freedom.
+    assert 120 < ((counts - 125) ** 2 / 125).sum() < 280 and counts.reshape(4, 4, 3, 4).sum(axis=(1, 3)).std() > 5
+
+
+def test_pairs_by_strips_against_brute_force():
+    rng = np.random.default_rng(9)
+    limits = np.array([spatial_join.squared(d) for d in (1.0, 2.0, 5.0)])
+    for place in (rng.uniform(0, 30, (2, 700)), np.round(rng.uniform(0, 30, (2, 700))), np.zeros((2, 50)), np.stack([np.arange(60.0), np.zeros(60)]), np.stack([np.full(60, 1e6), np.arange(60.0)]), rng.uniform(0, 1e-7, (2, 40)) + 20_000):
+        w = rng.integers(1, 4, place.shape[1])
+        a = np.stack([*place, w.view(np.float64)])
+        for x, y in ((a, a), (a[:, ::2], a[:, 1::2]), (a[:, :5], a)):
+            d2 = (x[0][:, None] - y[0]) ** 2 + (x[1][:, None] - y[1]) ** 2
+            both = x[2].view(np.int64)[:, None] * y[2].view(np.int64)
+            want = [both[d2 <= k].sum() for k in limits]
+            assert np.cumsum(spatial_join.pairs_upto(x, y, limits)).tolist() == [*want, both.sum()]
